@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality
+import public_tokenizers
+
+from . import langid, lm, mixing, packing, pii, quality, secrets, simhash, warc
+from .common import n_words
+from ..session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +30,48 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.join_spans(base), 256).alias("base_sha256"), pii.join_spans(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
-QUERIES = {"op3_quality": op3_quality, "op7_pii": op7_pii}
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = warc.new_folder(spark)
+    records = warc.read(warc.write(pages, folder), folder, payloads=False)
+    return records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url", "intact")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, keep_text=False).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_held_out(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("__n"))
+    return mixing.mix(materialize(sized, "sized"), size="__n").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(materialize(pieces, "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs, drop=("text",))
+    base = [r.name for r in secrets.RULES if r.base]
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(secrets.join_spans(F.filter("secrets", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), secrets.join_spans(F.col("secrets")).alias("spans"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_langid": op9_langid, "op10_secrets": op10_secrets}
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -87,4 +132,37 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.BA
 FROM d LEFT JOIN g ON d.r = g.r
 """
 
-ORACLE_SQL = {"op3_quality": OP3_SQL, "op7_pii": OP7_SQL}
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, url FROM pages),
+d AS (SELECT *, upper(sha1(h)) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substring(x, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to, url, true AS intact
+FROM d
+"""
+
+
+def _secret_sql(kind: str, k: int, pattern: str, check: str) -> str:
+    return f"""
+SELECT r, {k} AS k, '{kind}' AS kind, a, z FROM (
+  SELECT r, h[i] AS x, list_sum(list_transform(g[1:i], lambda v: length(v)))::BIGINT + coalesce(list_sum(list_transform(h[1:i - 1], lambda v: length(v))), 0)::BIGINT AS a, a + length(h[i]) AS z
+  FROM (SELECT r, h, g, unnest(range(1, len(h) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS h, regexp_split_to_array(t, '{pattern}') AS g FROM d))
+) WHERE {check}"""
+
+
+_ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""(?:{_ANY_CASE})["'']?\x20*[:=]\x20*["'']?"""
+_SECRET_PARTS = (
+    ("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(x, '^{_ASSIGN}', '')) >= 6"),
+    *((r.name, r.pattern, f"length(x) >= {r.least}") for r in secrets.RULES[1:]),
+)
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_secret_sql(n, k, p, c) for k, (n, p, c) in enumerate(_SECRET_PARTS))}),
+g AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (k < 3) AS b, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.r = g.r
+"""
+
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op3_quality": OP3_SQL, "op7_pii": OP7_SQL, "op10_secrets": OP10_SQL}
