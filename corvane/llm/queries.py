@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import langid, lm, mixing, packing, pii, quality, secrets, simhash, warc
+from . import langid, lm, mixing, packing, pii, quality, search, secrets, simhash, warc
 from .common import n_words
 from ..session import materialize
 
@@ -52,6 +52,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(materialize(sized, "sized"), size="__n").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0")).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -71,7 +77,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(secrets.join_spans(F.filter("secrets", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), secrets.join_spans(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_mixing": op5_mixing, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_langid": op9_langid, "op10_secrets": op10_secrets}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_mixing": op5_mixing, "op6_search": op6_search, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_langid": op9_langid, "op10_secrets": op10_secrets}
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -165,4 +171,14 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN g ON d.r = g.r
 """
 
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op3_quality": OP3_SQL, "op7_pii": OP7_SQL, "op10_secrets": OP10_SQL}
+OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BLANK}+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM d),
+p AS (SELECT r, doc_id, len(any_value(ws)) AS len, w, count(*) AS tf FROM (SELECT r, doc_id, ws, unnest(ws) AS w FROM d) GROUP BY r, doc_id, w),
+f AS (SELECT w, count(*) AS df FROM p GROUP BY w),
+q AS (SELECT doc_id AS query_id, w, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) AS x FROM p JOIN f USING (w), g WHERE doc_id % 50 = 0),
+s AS (SELECT query_id, r, doc_id, sum(x * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM p JOIN q USING (w), g GROUP BY query_id, r, doc_id)
+SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_search": OP6_SQL, "op3_quality": OP3_SQL, "op7_pii": OP7_SQL, "op10_secrets": OP10_SQL}

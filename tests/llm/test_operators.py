@@ -305,3 +305,24 @@ def test_quality(docs, none):
 def test_word_counts(docs):
     for r in docs.withColumn("n", n_words(F.col("text"))).collect():
         assert r.n == len(plain_words(r.text))
+
+
+def test_search(docs, none):
+    from corvane.llm import search
+
+    texts = [(r[0], plain_words(ascii_lower(r[1]))) for r in rows()]
+    df, mean = Counter(w for _, ws in texts for w in set(ws)), sum(len(ws) for _, ws in texts) / len(texts)
+    counted = [(i, Counter(ws), len(ws)) for i, ws in texts]
+    want = {}
+    for q, qs in texts:
+        if q is None or q % 5:
+            continue
+        idf = {w: c * math.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) for w, c in Counter(qs).items()}
+        scores = [(sum(x * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * n / mean)) for w, x in idf.items()), i) for i, tf, n in counted]
+        want[q] = sorted((-round(s, 9), 10**9 if i is None else i) for s, i in scores if s > 0)[:3]
+    for terms in (search.MAX_TERMS, 50):  # the second: several groups of queries
+        got = {}
+        for r in search.top_k(docs, docs.where("doc_id % 5 = 0"), k=3, max_terms=terms).collect():
+            got.setdefault(r.query_id, []).append((r.rank, -round(r.score, 9), 10**9 if r.doc_id is None else r.doc_id))
+        assert {q: [(s, i) for _, s, i in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items() if v}
+    assert search.top_k(none, docs).count() == 0 and search.top_k(docs, none).count() == 0
