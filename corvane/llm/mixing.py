@@ -28,7 +28,7 @@ from .common import add_columns, n_words
 
 WEIGHTS = (5, 2, 1)
 SEED = 7
-BLOCK, SHARD_TOKENS = 64, 4_000_000
+BLOCK, SHARD_TOKENS = 64, 1_000_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
