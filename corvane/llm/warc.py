@@ -29,6 +29,8 @@ from ..session import broadcast_if_small, materialize, scratch
 
 #: A range is joined to the one before if at most so many bytes lie between, up to so many bytes.
 GAP, RANGE = 64 * 1024, 8 * 1024 * 1024
+#: Bytes of records that one task reads.
+TASK = 16 * 1024 * 1024
 #: Rows that are written or yielded at once.
 ROWS = 128
 #: A new archive is begun after so many bytes.
@@ -155,7 +157,9 @@ def read(index: DataFrame, path: str, payloads: bool = True) -> DataFrame:
                         found = [x | {"payload": None} for x in found]
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in zip(names, types)], names=names)
 
-    sorted_ = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    spans = index.select("file", "offset", "length")
+    parts = max(1, -(-(spans.agg(F.sum("length")).first()[0] or 0) // TASK))
+    sorted_ = spans.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return sorted_.mapInArrow(run, READ)
 
 
