@@ -10,6 +10,9 @@ others; an empty table gives an empty result; columns named like a new one are r
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +23,9 @@ from .common import SLICE_ROWS
 
 LENGTH, GROUP = 2048, 100_000
 #: Words whose ids a task keeps at hand.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+
+PHRASE_END = re.compile(rb"([A-Za-z]+)([.,;:!?]+)")
 
 
 class Words(dict):
@@ -38,15 +43,30 @@ class Words(dict):
     def __missing__(self, run: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        got = np.array(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        # ASCII letters are lower-cased, and what closes a phrase is a token run of its own.
+        if parts := PHRASE_END.fullmatch(run):
+            got = self[parts[1].lower()] + self[parts[2]]
+        elif run.isascii() and not run.islower() and run.isalpha():
+            got = self[run.lower()]
+        else:
+            got = self.encode(run)
         if len(run) < 100:
             self[run] = got
         return got
 
+    def encode(self, run: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
+@lru_cache(1)
+def worker_words(path: str) -> Words:
+    """One for all tasks of a Python worker."""
+    return Words(path)
+
+
 def tokenize(docs: DataFrame, path: str, text: str = "text", length: int = LENGTH, close: int = 0) -> DataFrame:
     """One row for each piece: the columns of `docs` but the text, piece, start, length, ids (binary: unsigned 32-bit, little-endian)."""
     new = ["piece", "start", "length", "ids"]
@@ -55,7 +75,7 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", length: int = LENGT
     schema = T.StructType([*[read.schema[c] for c in keep], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
-        words, end = Words(path), np.array([close], "<u4").tobytes()
+        words, end = worker_words(path), np.array([close], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 b = whole.slice(at, SLICE_ROWS)
