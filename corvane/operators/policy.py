@@ -96,6 +96,6 @@ def match_teams(hints: DataFrame, keywords: DataFrame) -> DataFrame:
     word = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.lower("keyword"), F.lit(r"\E(?![a-z0-9])"))
     k = keywords.where(F.length("keyword") >= 3).withColumn("pattern", word)
     # Keywords are configuration: some hundreds at most.
-    hit = hints.join(F.broadcast(k), F.lower(F.left("text", F.lit(200))).rlike(F.col("pattern"))).groupBy("persona").agg(F.sort_array(F.collect_set("team")).alias("teams"))
+    hit = hints.join(F.broadcast(k), F.rlike(F.lower(F.left("text", F.lit(200))), F.col("pattern"))).groupBy("persona").agg(F.sort_array(F.collect_set("team")).alias("teams"))
     every = hints.select("persona").distinct().join(hit, "persona", "left")
     return every.select("persona", F.when(F.col("teams").isNull(), "none").when(F.size("teams") == 1, "one").otherwise("ambiguous").alias("outcome"), F.coalesce("teams", F.array().cast("array<string>")).alias("teams"))

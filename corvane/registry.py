@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import queries
+
+QUERIES: dict = dict(queries.QUERIES)
+ORACLE_SQL: dict = dict(queries.ORACLE_SQL)

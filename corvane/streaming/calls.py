@@ -34,20 +34,24 @@ def decide(times: dict[str, list[int]], now: int, tool: str, limits: dict[str, i
 def limit_calls(calls: DataFrame, limits: dict[str, int], user: str = "user_id", at_us: str = "us", tool: str = "tool", call: str = "call_id") -> DataFrame:
     """Decisions on all calls, in order of time and call.
 
-    After a pause of a whole window nothing is left to remember, so each burst between pauses is a group of
-    its own: a user's history is never in one task, only the longest burst.
+    After a pause of a whole window nothing is left to remember, so each burst between pauses is dealt
+    out on its own, and read in order: a task remembers the calls of one window, never a user's history.
     """
     w = Window.partitionBy(user).orderBy(at_us, call)
     paused = (F.col(at_us) - F.lag(at_us).over(w) >= WINDOW_US).cast("int")
     bursts = calls.select(F.col(user).alias("u"), F.col(at_us).alias("us"), F.col(tool).alias("tool"), F.col(call).alias("call_id"), F.sum(F.coalesce(paused, F.lit(0))).over(w).alias("burst"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["us", "call_id"])
-        times: dict[str, list[int]] = {}
-        got = [decide(times, us, t, limits) for us, t in zip(group["us"], group["tool"])]
-        return pd.DataFrame({"call_id": group["call_id"], "allowed": [g[0] for g in got], "retry_after": pd.array([g[1] for g in got], dtype="Int32")})
-
-    return bursts.groupBy("u", "burst").applyInPandas(run, OUT)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, times = None, {}
+        for f in frames:
+            got = []
+            for u, burst, us, t in zip(f["u"], f["burst"], f["us"], f["tool"]):
+                if (u, burst) != last:
+                    last, times = (u, burst), {}
+                got.append(decide(times, us, t, limits))
+            yield pd.DataFrame({"call_id": f["call_id"], "allowed": [g[0] for g in got], "retry_after": pd.array([g[1] for g in got], dtype="Int32")})
+
+    return bursts.repartition("u", "burst").sortWithinPartitions("u", "burst", "us", "call_id").mapInPandas(run, OUT)
 
 
 def limit_stream(calls: DataFrame, limits: dict[str, int], user: str = "user_id") -> DataFrame:
