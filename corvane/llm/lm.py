@@ -40,7 +40,7 @@ class Settings:
     weight: of the bigram estimate; head: tokens with broadcast counts; max_bytes: of segments broadcast at once."""
 
     base: float = 1.5
-    bits: int = 14
+    bits: int = 12
     probes: int = 5
     segment: int = 1_000_000
     weight: float = 0.6
@@ -116,14 +116,13 @@ def fill(h: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
 class Filter:
     """Some of the segments of a filter."""
 
-    def __init__(self, segments: list[tuple[int, bytes]], total: int, probes: int):
+    def __init__(self, segments: pa.Table, total: int, probes: int):
         self.total, self.probes = np.uint64(max(total, 1)), probes
         self.size, self.at = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
-        place = 0
-        for k, b in segments:
-            self.size[k], self.at[k] = len(b) // 8, place
-            place += len(b) // 8
-        self.words = np.frombuffer(b"".join(b for _, b in segments), "<u8")
+        own = [np.frombuffer(b.as_buffer(), "<u8") for b in segments.column("words")]
+        for k, n, place in zip(segments.column("segment").to_pylist(), map(len, own), np.cumsum([0, *map(len, own)])):
+            self.size[k], self.at[k] = n, place
+        self.words = np.concatenate(own) if own else np.zeros(0, np.uint64)
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by repeated probes; 0 for what isn't in these segments."""
@@ -220,7 +219,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     groups = _groups(model)
 
     def send(group: list[int]):
-        return spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in model.segments.where(F.col("segment").isin(group)).collect()])
+        # As one Arrow table: the driver holds these bytes once.
+        return spark.sparkContext.broadcast(model.segments.where(F.col("segment").isin(group)).toArrow())
 
     def look(h: np.ndarray, n: np.ndarray, f: Filter) -> np.ndarray:
         """Levels of each token's bigram, and of the token itself."""

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -119,7 +120,7 @@ def test_filter_finds_levels():
     counts = r.zipf(1.7, len(h)).clip(1, 10**6)
     s = lm.Settings()
     k = (h % np.uint64(4)).astype(int)
-    f = lm.Filter([(i, lm.fill(h[k == i], counts[k == i], s).tobytes()) for i in range(4)], 4, s.probes)
+    f = lm.Filter(pa.table({"segment": range(4), "words": [lm.fill(h[k == i], counts[k == i], s).tobytes() for i in range(4)]}), 4, s.probes)
     want, got = lm.levels(counts, s.base), f.level(h)
     assert (got >= want).all() and (got > want).mean() < 0.05
     assert (f.level(r.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
