@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 from .common import SLICE_ROWS
 
 LENGTH, GROUP = 2048, 100_000
+#: Pieces in a group where their ids are carried along: 80 MB at most.
+WIDE_GROUP = 10_000
 #: Words whose ids a task keeps at hand.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 PHRASE_END = re.compile(rb"([A-Za-z]+)([.,;:!?]+)")
 
@@ -122,11 +124,12 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def pack(pieces: DataFrame, capacity: int = LENGTH, group: int = GROUP, size: str = "length") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = LENGTH, group: int | None = None, size: str = "length") -> DataFrame:
     """`pieces` with sequence_id and offset. No sequence has more than `capacity` tokens, and none has a gap.
 
     Reads `pieces` more than once: they should be cheap to read (a written table).
     """
+    group = group or (WIDE_GROUP if "ids" in pieces.columns else GROUP)
     kept = pieces.drop("sequence_id", "offset")
     short = kept.where(F.col(size) < capacity)
     n_groups = max(1, round(short.count() / group))
