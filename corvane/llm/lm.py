@@ -119,10 +119,17 @@ class Filter:
     def __init__(self, segments: pa.Table, total: int, probes: int):
         self.total, self.probes = np.uint64(max(total, 1)), probes
         self.size, self.at = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
-        own = [np.frombuffer(b.as_buffer(), "<u8") for b in segments.column("words")]
-        for k, n, place in zip(segments.column("segment").to_pylist(), map(len, own), np.cumsum([0, *map(len, own)])):
-            self.size[k], self.at[k] = n, place
-        self.words = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        chunks = segments.column("words").chunks
+        self.words = np.zeros(0, np.uint64)
+        if chunks:
+            # The words of one chunk lie together in its buffer: they are seen there, not copied.
+            own = chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
+            _, offsets, data = own.buffers()
+            wide = pa.types.is_large_binary(own.type)
+            ends = np.frombuffer(offsets, "<i8" if wide else "<i4")[own.offset : own.offset + len(own) + 1].astype(np.int64)
+            self.words = np.frombuffer(data, "<u8", int(ends[-1] - ends[0]) // 8, int(ends[0])) if ends[-1] > ends[0] else self.words
+            numbers = segments.column("segment").to_numpy()
+            self.size[numbers], self.at[numbers] = np.diff(ends) // 8, (ends[:-1] - ends[0]) // 8
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by repeated probes; 0 for what isn't in these segments."""
@@ -219,8 +226,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     groups = _groups(model)
 
     def send(group: list[int]):
-        # As one Arrow table: the driver holds these bytes once.
-        return spark.sparkContext.broadcast(model.segments.where(F.col("segment").isin(group)).toArrow())
+        # As one chunk, which all tasks of a worker read where it lies.
+        return spark.sparkContext.broadcast(model.segments.where(F.col("segment").isin(group)).toArrow().combine_chunks())
 
     def look(h: np.ndarray, n: np.ndarray, f: Filter) -> np.ndarray:
         """Levels of each token's bigram, and of the token itself."""
