@@ -6,8 +6,8 @@ made of segments, one for about so many tokens of the corpus, so that it grows w
 unchanged error rate. Segments are broadcast in groups of at most `max_bytes`; where they take more than
 one group, texts are read once for each. The model is a bigram model, interpolated with unigrams.
 
-Exact unigram counts are kept beside it for the base score: the commonest `head` tokens are broadcast
-(a fixed number), the counts of the others are joined; no token outside the head is frequent.
+Exact unigram counts are kept beside it for the base score: the commonest tokens, at most `head`, are
+broadcast, the counts of the others are joined; no token outside the head is frequent.
 
 Tokens are told apart by 64-bit XXH64. Defined results: a null text is empty and has one token (the end);
 a null key is in no held-out part; repeated rows are scored alike; with no training text every count is 0;
@@ -37,7 +37,7 @@ CACHE_WORDS = 400_000
 @dataclass(frozen=True)
 class Settings:
     """base: of the levels; bits: of the filter for each entry; probes: bits set for an entry; segment: tokens for each segment;
-    weight: of the bigram estimate; head: tokens with broadcast counts; max_bytes: of segments broadcast at once."""
+    weight: of the bigram estimate; head: most tokens with broadcast counts; max_bytes: of segments broadcast at once."""
 
     base: float = 1.5
     bits: int = 12
@@ -213,6 +213,18 @@ def _groups(model: Model) -> list[list[int]]:
     return groups or [[]]
 
 
+def _head(model: Model) -> DataFrame:
+    """The commonest tokens, at most `head`: all with a count from some power of 1.1 on, so that nothing is sorted in one task."""
+    power = F.floor(F.log("c") / math.log(1.1))
+    room, least = model.settings.head, math.inf
+    for j, n in sorted(model.counts.groupBy(power.alias("j")).count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = j
+    return model.counts.where(power >= F.lit(float(least)))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` without the text, with n_tokens, n_known, base_score and score (log10 probabilities), train_tokens.
 
@@ -220,7 +232,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     s, spark = model.settings, docs.sparkSession
     total, v, texts, n_segments = float(model.tokens), model.distinct, float(model.texts), model.n_segments
-    top = model.counts.orderBy(F.desc("c"), "h").limit(s.head).toArrow()
+    top = _head(model).toArrow()
     order = np.argsort(top.column("h").to_numpy().view(np.uint64))
     head = spark.sparkContext.broadcast((top.column("h").to_numpy().view(np.uint64)[order].copy(), top.column("c").to_numpy()[order].copy()))
     groups = _groups(model)
