@@ -31,7 +31,7 @@ from .common import SLICE_ROWS, add_columns, remainder
 #: Hashes of the marks for the begin and end of a text (fixed values).
 BEGIN, END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Words whose hash a task keeps at hand.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 @dataclass(frozen=True)
