@@ -113,6 +113,11 @@ def fill(h: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
     return words
 
 
+def release() -> None:
+    """Give back what Arrow keeps of freed buffers: workers outlive their tasks, and the next one brings a filter."""
+    pa.default_memory_pool().release_unused()
+
+
 class Filter:
     """Some of the segments of a filter."""
 
@@ -194,7 +199,10 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     def build(group: pa.Table) -> pa.Table:
         u, at = np.unique(group.column("h").to_numpy().view(np.uint64), return_inverse=True)
         words = fill(u, np.bincount(at, weights=group.column("c").to_numpy()), s)
-        return pa.table({"segment": group.column("segment")[:1].cast(pa.int32()), "words": pa.array([words.tobytes()], pa.binary())})
+        built = pa.table({"segment": group.column("segment")[:1].cast(pa.int32()), "words": pa.array([words.tobytes()], pa.binary())})
+        del group, u, at, words
+        release()
+        return built
 
     segments = _counted(docs, text, 2, n_segments).groupBy("segment").applyInArrow(build, "segment int, words binary")
     return Model(s, n_segments, materialize(segments, "segments"), counts, tokens, distinct, texts)
@@ -247,6 +255,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def part(segments):
         def make():
+            release()
             words, f = Hasher(), Filter(segments.value, n_segments, s.probes)
 
             def work(texts_, so_far):
@@ -266,6 +275,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     last = send(groups[-1])
 
     def make():
+        release()
         words, f = Hasher(), Filter(last.value, n_segments, s.probes)
         known, count = head.value
         smooth = lambda c: (c + 0.1) / (total + 0.1 * (v + 1))
