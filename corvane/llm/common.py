@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_ROWS = 256
 
 
-def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list[list]]], drop: tuple[str, ...] = ()) -> DataFrame:
-    """`df` with more columns, made by Python from the columns `inputs`, a few rows at a time.
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """What runs within sends at most so many rows at once to Python workers, where these need their memory for a model."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list[list]]], drop: tuple[str, ...] = (), rows: int = SLICE_ROWS) -> DataFrame:
+    """`df` with more columns, made by Python from the columns `inputs`, at most `rows` rows at a time.
 
     `make()` runs once in each task and returns a function from lists (one for each input) to lists
     (one for each field). Columns in `drop` are read but not returned. A column of `df` that has the
@@ -33,8 +46,8 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                b = whole.slice(at, SLICE_ROWS)
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
                 got = work(*[b.column(n + i).to_pylist() for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(v, type=k) for v, k in zip(got, kinds, strict=True)]], names=[*keep, *new])
 

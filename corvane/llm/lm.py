@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import SLICE_ROWS, add_columns, remainder
+from .common import SLICE_ROWS, add_columns, remainder, short_batches
 
 #: Hashes of the marks for the begin and end of a text (fixed values).
 BEGIN, END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -271,7 +271,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     df = docs.withColumns({"__bytes": F.col(f"`{text}`").cast("binary"), "__levels": F.lit(None).cast("binary")}).drop(text)
     for group in groups[:-1]:
-        df = materialize(add_columns(df, ["__bytes", "__levels"], [T.StructField("__levels", T.BinaryType())], part(send(group))), "levels")
+        with short_batches(spark):
+            df = materialize(add_columns(df, ["__bytes", "__levels"], [T.StructField("__levels", T.BinaryType())], part(send(group)), rows=SLICE_ROWS // 4), "levels")
     last = send(groups[-1])
 
     def make():
@@ -305,7 +306,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     long, double = T.LongType(), T.DoubleType()
     fields = [T.StructField("n_tokens", long), T.StructField("__known", long), T.StructField("__base", double), T.StructField("score", double), T.StructField("__rest", T.ArrayType(long))]
-    done = materialize(add_columns(df, ["__bytes", "__levels"], fields, make, drop=("__bytes", "__levels")).withColumn("__row", F.monotonically_increasing_id()), "scored")
+    with short_batches(spark):
+        done = materialize(add_columns(df, ["__bytes", "__levels"], fields, make, drop=("__bytes", "__levels"), rows=SLICE_ROWS // 4).withColumn("__row", F.monotonically_increasing_id()), "scored")
     rare = done.select("__row", F.explode("__rest").alias("h")).groupBy("__row", "h").agg(F.count("*").alias("n"))
     c = F.coalesce("c", F.lit(0))
     found = rare.join(model.counts, "h", "left").groupBy("__row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("__k"), F.sum(F.col("n") * F.log10((c + 0.1) / F.lit(max(total + 0.1 * (v + 1), 0.1)))).alias("__b"))
