@@ -249,6 +249,13 @@ def longest_description(spark, sf):
     return graph.merge_entities(m, F.col("doc_id"))
 
 
+@query("""SELECT source AS source_id, lang AS key, min_by('n' || doc_id, doc_id) AS name, min_by('t' || doc_id % 3, doc_id) AS type, max(length(text)) AS length, sha256(arg_max(text, (length(text), -doc_id))) AS description_hash FROM documents GROUP BY 1, 2""")
+def longest_whole_description(spark, sf):
+    """The whole text is the description; its length and hash come out."""
+    m = t(spark, sf, "documents").select(F.col("source").alias("source_id"), F.col("lang").alias("key"), F.concat(F.lit("n"), "doc_id").alias("name"), F.concat(F.lit("t"), F.col("doc_id") % 3).alias("type"), F.col("text").alias("description"), "doc_id")
+    return graph.merge_entities(m, F.col("doc_id")).select("source_id", "key", "name", "type", F.length("description").cast("long").alias("length"), F.sha2("description", 256).alias("description_hash"))
+
+
 @query("""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), c AS (SELECT doc_id, (('0x' || substr(sha256(w), 1, 8))::BIGINT % 64)::INT AS idx, count(*) AS tf FROM k GROUP BY 1, 2)
 SELECT doc_id, idx, tf, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 9) AS weight FROM c""")
 def hash_embedding(spark, sf):
