@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +100,54 @@ def retrieval_metrics(hits: DataFrame, expected: DataFrame, by: list[str]) -> Da
     share = lambda n: F.avg(F.when(F.col("rank") <= n, 1.0).otherwise(0.0))
     each = firsts.groupBy("q", *by).agg(share(3).alias("r3"), share(5).alias("r5"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"))
     return each.groupBy(*by).agg(F.count("*").alias("questions"), F.avg("r3").alias("recall_3"), F.avg("r5").alias("recall_5"), F.avg("rr").alias("mrr"))
+
+
+def neighbours_of(vectors: DataFrame, questions: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """(q, doc, rank): the k most similar rows of `vectors` (doc, v) for each question (q, v), itself (doc = q) aside.
+
+    Exact, by cosine rounded to 9 digits, of equals the smaller doc; a zero vector comes last. Questions go out in blocks of
+    `block` (from the driver's iterator, so that one block is held); a task keeps the best k of each question.
+    """
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        n = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
+
+    def best(qs: np.ndarray, qv: np.ndarray):
+        asked = unit(qv)
+
+        def run(batches):
+            doc, score = np.zeros((len(qs), 0), np.int64), np.zeros((len(qs), 0))
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    ids = b.column(0).to_numpy(zero_copy_only=False)
+                    s = np.round(asked @ unit(np.array(b.column(1).to_pylist(), float)).T, 9)
+                    s = np.where(ids[None, :] == qs[:, None], -np.inf, np.where(np.isnan(s), -2.0, s))
+                    doc, score = np.concatenate([doc, np.broadcast_to(ids, s.shape)], 1), np.concatenate([score, s], 1)
+                    keep = np.lexsort((doc, -score), axis=1)[:, :k]
+                    doc, score = np.take_along_axis(doc, keep, 1), np.take_along_axis(score, keep, 1)
+            q, at = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(doc[q, at]), pa.array(score[q, at])], names=["q", "doc", "s"])
+
+        return run
+
+    rows, found, part = questions.select("q", "v").toLocalIterator(), [], []
+
+    def send():
+        run = best(np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], float))
+        found.append(vectors.select("doc", "v").mapInArrow(run, "q long, doc long, s double"))
+        part.clear()
+
+    for r in rows:
+        part.append(r)
+        if len(part) == block:
+            send()
+    if part:
+        send()
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "q long, doc long, rank int")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "doc"))).where(F.col("rank") <= k).select("q", "doc", "rank")

@@ -455,6 +455,16 @@ def retrieval_metrics(spark, sf):
     return m.select("label", "questions", *[F.round(c, 9).alias(c) for c in ("recall_3", "recall_5", "mrr")])
 
 
+@query()
+def retrieval_metrics_all(spark, sf):
+    """Every vector with an id divisible by 50 asks all others; expected are all others of its label."""
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), "label", F.col("embedding").alias("v"))
+    q = e.where("doc % 50 = 0").withColumnRenamed("doc", "q")
+    expected = e.select("doc", "label").join(q.select("q", "label"), "label").where("doc <> q").select("q", "doc", "label")
+    m = retrieval.retrieval_metrics(retrieval.neighbours_of(e, q, 10), expected, ["label"])
+    return m.select("label", "questions", *[F.round(c, 9).alias(c) for c in ("recall_3", "recall_5", "mrr")])
+
+
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def set_difference(spark, sf):
     return rollups.uncovered(t(spark, sf, "part").select(F.col("p_partkey").alias("requirement")), t(spark, sf, "lineitem").where("l_quantity > 48").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("satisfies"))).select(F.col("requirement").alias("p_partkey"))
