@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import selected
 from ..operators.ingest import classify_file
+from ..session import materialize
 
 
 def folder(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), most: int = 200 << 20) -> DataFrame:
@@ -24,12 +25,14 @@ def unread(listing: DataFrame, cursor: DataFrame) -> DataFrame:
     return listing.join(cursor.select("path", "generation"), ["path", "generation"], "left_anti")
 
 
-def restricted_pages(pages: DataFrame, depth: int = 20) -> DataFrame:
-    """Ids of pages (id, parent, restricted) that are restricted themselves or below one that is; unknown is restricted."""
-    found = last = pages.where(F.coalesce("restricted", F.lit(True))).select("id")
-    for _ in range(depth):
-        last = pages.join(last.select(F.col("id").alias("parent")), "parent").select("id")
-        if last.isEmpty():
-            break
-        found = found.unionByName(last)
-    return found.distinct()
+def restricted_pages(pages: DataFrame) -> DataFrame:
+    """Ids of pages (id, parent, restricted) that are restricted themselves or below one that is, however deep; unknown is restricted.
+
+    Each round is written, and goes on from the pages that were not found before, so that a circle of parents ends too.
+    """
+    found = last = materialize(pages.where(F.coalesce("restricted", F.lit(True))).select("id").distinct(), "restricted")
+    while not last.isEmpty():
+        below = pages.join(last.select(F.col("id").alias("parent")), "parent").select("id").distinct()
+        last = materialize(below.join(found, "id", "left_anti"), "restricted")
+        found = materialize(found.unionByName(last), "restricted-found")
+    return found
