@@ -1,22 +1,28 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 A count c has level 1 + floor(log(c) / log(base)); an n-gram is put into the filter once for each level up to
-its own, and its level is found again by probing level after level until one is missing. The filter is
-made of segments, one for about so many tokens of the corpus, so that it grows with what was read at an
-unchanged error rate. Segments are broadcast in groups of at most `max_bytes`; where they take more than
-one group, texts are read once for each. The model is a bigram model, interpolated with unigrams.
-
-Exact unigram counts are kept beside it for the base score: the commonest tokens, at most `head`, are
-broadcast, the counts of the others are joined; no token outside the head is frequent.
-
-Tokens are told apart by 64-bit XXH64. Defined results: a null text is empty and has one token (the end);
-a null key is in no held-out part; repeated rows are scored alike; with no training text every count is 0;
-columns named like a new one are replaced.
+its own, and its level is found again by probing level after level until one is missing. Words are kept at
+any count, pairs and triples of words from `least` occurrences on (their levels begin with that of `least`). The
+model interpolates triples with pairs and pairs with words: p3 = (c(abc) + prior p2) / (c(ab) + prior), and so on.
+
+The filter is made of segments, one for about so many bytes of text, so that it grows with what was read at an
+unchanged error rate. Up to `max_bytes` of segments are broadcast to the tasks that score. Beyond, the distinct n-grams of
+each slice of texts are sent to the segment that holds them, probed there, and their levels sent back: each text
+is then read and shuffled once more, however many segments there are.
+
+Tasks add counts up over TOKENS tokens, and send one row a segment, not one an n-gram. Exact word counts come
+out of the same shuffle for the base score: the commonest words, at most `head`, are broadcast, the counts of the others
+are joined; no word outside the head is frequent.
+
+Words are told apart by 64-bit XXH64, pairs and triples by 48 bits within their segment. Defined results: a null text is
+empty and has one token (the end); a null key is in no held-out part; repeated rows are scored alike; with no
+training text every count is 0; columns named like a new one are replaced.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,20 +36,24 @@ from .common import SLICE_ROWS, add_columns, remainder, short_batches
 
 #: Hashes of the marks for the begin and end of a text (fixed values).
 BEGIN, END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: Words whose hash a task keeps at hand.
-CACHE_WORDS = 100_000
+#: Words whose hash a task keeps at hand; tokens whose counts it adds up before it sends them.
+CACHE_WORDS, TOKENS = 100_000, 2_000_000
+#: Bytes of text in a slice, where n-grams are sent to their segments.
+SLICE_BYTES = 4_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """base: of the levels; bits: of the filter for each entry; probes: bits set for an entry; segment: tokens for each segment;
-    weight: of the bigram estimate; head: most tokens with broadcast counts; max_bytes: of segments broadcast at once."""
+    """base: of the levels; bits: of the filter for each entry; probes: bits set for an entry; segment: bytes of text for each
+    segment; least: pairs and triples that occur less often aren't kept; prior: occurrences that the shorter n-gram's estimate
+    counts for; head: most words with broadcast counts; max_bytes: of segments that are broadcast."""
 
     base: float = 1.5
     bits: int = 12
     probes: int = 5
-    segment: int = 1_000_000
-    weight: float = 0.6
+    segment: int = 6_000_000
+    least: int = 2
+    prior: float = 2.0
     head: int = 1_000_000
     max_bytes: int = 160_000_000
 
@@ -55,12 +65,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def bigrams(h: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Hashes of each token with the one before it; `firsts` are the places where texts begin."""
+def keys(h: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """48-bit keys of each token, of the pair and of the triple that end with it; `firsts` are the places where texts begin.
+
+    The first token's pair has the begin before it; it has no triple: the key in its place is that of the pair.
+    """
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[firsts] = np.uint64(BEGIN)
-    return mix(before * np.uint64(0x9FB21C651E98DF25) + h)
+    pair = mix(before * np.uint64(0x9FB21C651E98DF25) + h)
+    triple = np.empty_like(h)
+    triple[1:] = mix(pair[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])
+    triple[firsts] = pair[firsts]
+    cut = np.uint64(16)
+    return h >> cut, pair >> cut, triple >> cut
+
+
+def segment_of(key: np.ndarray, n: int) -> np.ndarray:
+    """The segment of each 48-bit key: segments are equal ranges of keys, in order."""
+    return (((key >> np.uint64(16)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def thin(key: np.ndarray) -> np.ndarray:
+    """48-bit keys as six bytes each."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def wide(raw: bytes) -> np.ndarray:
+    got = np.zeros((len(raw) // 6, 8), np.uint8)
+    got[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return got.reshape(-1).view("<u8")
 
 
 class Hasher(dict):
@@ -85,13 +119,13 @@ def levels(counts: np.ndarray, base: float) -> np.ndarray:
     return (1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(base) + 1e-9)).astype(np.int64)
 
 
-def estimate(level: np.ndarray, base: float) -> np.ndarray:
-    """The count that a level stands for: the mean of the integers with that level; 0 for level 0."""
+def stands_for(base: float) -> np.ndarray:
+    """The count that each level stands for: the mean of the integers with that level; 0 for level 0."""
     table = [0.0]
     for j in range(1, 256):
         low, high = math.ceil(base ** (j - 1) - 1e-9), math.ceil(base**j - 1e-9) - 1
         table.append((low + max(high, low)) / 2)
-    return np.array(table)[level]
+    return np.array(table)
 
 
 def _entry(h: np.ndarray, level: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,12 +137,11 @@ def _entry(h: np.ndarray, level: int, probes: int) -> tuple[np.ndarray, np.ndarr
     return mix(x) >> np.uint64(16), mask
 
 
-def fill(h: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
-    """A segment: 64-bit words with the entries of these n-grams."""
-    level = levels(counts, s.base)
+def fill(key: np.ndarray, level: np.ndarray, s: Settings) -> np.ndarray:
+    """A segment: 64-bit words with the entries of these n-grams, one for each level from 1 to the n-gram's."""
     words = np.zeros(max(1, -(-int(level.sum()) * s.bits // 64)), np.uint64)
     for j in range(1, int(level.max(initial=0)) + 1):
-        at, mask = _entry(h[level >= j], j, s.probes)
+        at, mask = _entry(key[level >= j], j, s.probes)
         np.bitwise_or.at(words, (at % np.uint64(len(words))).astype(np.int64), mask)
     return words
 
@@ -122,32 +155,32 @@ class Filter:
     """Some of the segments of a filter."""
 
     def __init__(self, segments: pa.Table, total: int, probes: int):
-        self.total, self.probes = np.uint64(max(total, 1)), probes
-        self.size, self.at = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
+        self.total, self.probes = max(total, 1), probes
+        self.size, self.at = np.zeros(self.total, np.uint64), np.zeros(self.total, np.uint64)
         chunks = segments.column("words").chunks
         self.words = np.zeros(0, np.uint64)
         if chunks:
             # The words of one chunk lie together in its buffer: they are seen there, not copied.
             own = chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
             _, offsets, data = own.buffers()
-            wide = pa.types.is_large_binary(own.type)
-            ends = np.frombuffer(offsets, "<i8" if wide else "<i4")[own.offset : own.offset + len(own) + 1].astype(np.int64)
+            long = pa.types.is_large_binary(own.type)
+            ends = np.frombuffer(offsets, "<i8" if long else "<i4")[own.offset : own.offset + len(own) + 1].astype(np.int64)
             self.words = np.frombuffer(data, "<u8", int(ends[-1] - ends[0]) // 8, int(ends[0])) if ends[-1] > ends[0] else self.words
             numbers = segments.column("segment").to_numpy()
             self.size[numbers], self.at[numbers] = np.diff(ends) // 8, (ends[:-1] - ends[0]) // 8
 
-    def level(self, h: np.ndarray) -> np.ndarray:
+    def level(self, key: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by repeated probes; 0 for what isn't in these segments."""
-        got = np.zeros(len(h), np.uint8)
+        got = np.zeros(len(key), np.uint8)
         if not len(self.words):
             return got
-        segment = (h % self.total).astype(np.int64)
+        segment = segment_of(key, self.total)
         own = np.flatnonzero(self.size[segment] > 0)
         for j in range(1, 256):
             if not len(own):
                 break
             k = segment[own]
-            at, mask = _entry(h[own], j, self.probes)
+            at, mask = _entry(key[own], j, self.probes)
             hit = self.words[(self.at[k] + at % self.size[k]).astype(np.int64)] & mask == mask
             own = own[hit]
             got[own] = j
@@ -156,7 +189,7 @@ class Filter:
 
 @dataclass
 class Model:
-    """What training leaves: n_segments and the written segments, (h, c) of all tokens as a written table, totals."""
+    """What training leaves: n_segments and the written segments, (h, c) of all words, totals; size: bytes of the segments."""
 
     settings: Settings
     n_segments: int
@@ -165,64 +198,87 @@ class Model:
     tokens: int
     distinct: int
     texts: int
+    size: int
 
 
-def _counted(train: DataFrame, text: str, order: int, n_segments: int = 0) -> DataFrame:
-    """(segment, h, c) of the n-grams, added up over some texts at a time."""
+COUNTED = "segment int, h binary, hc binary, g binary, gc binary"
+
+
+def _counted(train: DataFrame, text: str, n_segments: int) -> DataFrame:
+    """Rows of COUNTED: hashes (h) and 48-bit keys of pairs and triples (g) that go to a segment, with their counts (hc, gc)."""
+    names = [x.split()[0] for x in COUNTED.split(", ")]
+
+    def send(hs: list[np.ndarray], gs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        u, uc = np.unique(np.concatenate(hs), return_counts=True)
+        g, gc = np.unique(np.concatenate(gs), return_counts=True)
+        us, gseg = segment_of(u >> np.uint64(16), n_segments), segment_of(g, n_segments)
+        own = np.union1d(us, gseg)
+        a, b = np.append(np.searchsorted(us, own), len(u)), np.append(np.searchsorted(gseg, own), len(g))
+        uc, gc = uc.astype("<u4"), gc.astype("<u4")
+        for i in range(0, len(own), 256):
+            part = range(i, min(i + 256, len(own)))
+            cut = lambda x, at: [x[at[k] : at[k + 1]].tobytes() for k in part]
+            yield pa.RecordBatch.from_arrays([pa.array(own[part.start : part.stop], pa.int32()), *[pa.array(v, pa.binary()) for v in (cut(u, a), cut(uc, a), [thin(g[b[k] : b[k + 1]]).tobytes() for k in part], cut(gc, b))]], names=names)
 
     def run(batches):
-        words = Hasher()
+        words, hs, gs, held = Hasher(), [], [], 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 8 * SLICE_ROWS):
-                h, n = words.tokens(whole.slice(at, 8 * SLICE_ROWS).column(0).to_pylist())
-                if not len(h):
-                    continue
-                if order == 1:
-                    u, c = np.unique(h, return_counts=True)
-                else:
-                    u, c = np.unique(np.concatenate([bigrams(h, np.cumsum(n) - n), h]), return_counts=True)
-                k = (u % np.uint64(max(n_segments, 1))).astype(np.int32)
-                for i in range(0, len(u), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000]), pa.array(u[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000].astype(np.int32))], names=["segment", "h", "c"])
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                h, n = words.tokens(whole.slice(at, SLICE_ROWS).column(0).to_pylist())
+                if len(h):
+                    firsts = np.cumsum(n) - n
+                    _, pair, triple = keys(h, firsts)
+                    hs.append(h)
+                    gs += [pair, np.delete(triple, firsts)]
+                    held += len(h)
+                if held >= TOKENS:
+                    yield from send(hs, gs)
+                    hs, gs, held = [], [], 0
+        if hs:
+            yield from send(hs, gs)
+        release()
 
-    return train.select(F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(run, "segment int, h long, c int")
+    return train.select(F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(run, COUNTED)
 
 
 def train(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> Model:
     """Count all n-grams of all texts, and build the filter's segments, each in a task of its own."""
     s = settings
-    counts = materialize(_counted(docs, text, 1).groupBy("h").agg(F.sum("c").alias("c")), "tokens")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    texts = counts.where(F.col("h") == np.uint64(END).view(np.int64).item()).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    n_segments = max(1, -(-tokens // s.segment))
+    texts, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()
+    n_segments = max(1, -(-size // s.segment))
+    first = int(levels(np.array([s.least]), s.base)[0]) - 1
+
+    def sums(group: pa.Table, of: str, counts: str, read) -> tuple[np.ndarray, np.ndarray]:
+        value = np.concatenate([read(x) for x in group.column(of).to_pylist()])
+        u, at = np.unique(value, return_inverse=True)
+        c = np.concatenate([np.frombuffer(x, "<u4") for x in group.column(counts).to_pylist()])
+        return u, np.bincount(at, weights=c, minlength=len(u)).astype(np.int64)
 
     def build(group: pa.Table) -> pa.Table:
-        u, at = np.unique(group.column("h").to_numpy().view(np.uint64), return_inverse=True)
-        words = fill(u, np.bincount(at, weights=group.column("c").to_numpy()), s)
-        built = pa.table({"segment": group.column("segment")[:1].cast(pa.int32()), "words": pa.array([words.tobytes()], pa.binary())})
-        del group, u, at, words
+        h, hc = sums(group, "h", "hc", lambda x: np.frombuffer(x, "<u8"))
+        g, gc = sums(group, "g", "gc", wide)
+        often = gc >= s.least
+        words = fill(np.concatenate([h >> np.uint64(16), g[often]]), np.concatenate([levels(hc, s.base), levels(gc[often], s.base) - first]), s)
+        built = pa.table({"segment": group.column("segment")[:1].cast(pa.int32()), "words": pa.array([words.tobytes()], pa.binary()), "h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([hc.tobytes()], pa.binary())})
+        del group, g, gc, words
         release()
         return built
 
-    segments = _counted(docs, text, 2, n_segments).groupBy("segment").applyInArrow(build, "segment int, words binary")
-    return Model(s, n_segments, materialize(segments, "segments"), counts, tokens, distinct, texts)
+    built = materialize(_counted(docs, text, n_segments).groupBy("segment").applyInArrow(build, "segment int, words binary, h binary, c binary"), "segments")
 
+    def unpack(batches):
+        for b in batches:
+            for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(np.frombuffer(c, "<i8"))], names=["h", "c"])
 
-def _groups(model: Model) -> list[list[int]]:
-    """Segments in groups of at most max_bytes (a single larger one alone)."""
-    groups: list[list[int]] = []
-    room = 0
-    for k, n in model.segments.select("segment", F.length("words")).orderBy("segment").collect():
-        if not groups or room < n:
-            groups.append([])
-            room = model.settings.max_bytes
-        groups[-1].append(k)
-        room -= n
-    return groups or [[]]
+    counts = materialize(built.select("h", "c").mapInArrow(unpack, "h long, c long"), "tokens")
+    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    size = built.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
+    return Model(s, n_segments, built.select("segment", "words"), counts, tokens, distinct, texts, size)
 
 
 def _head(model: Model) -> DataFrame:
-    """The commonest tokens, at most `head`: all with a count from some power of 1.1 on, so that nothing is sorted in one task."""
+    """The commonest words, at most `head`: all with a count from some power of 1.1 on, so that nothing is sorted in one task."""
     power = F.floor(F.log("c") / math.log(1.1))
     room, least = model.settings.head, math.inf
     for j, n in sorted(model.counts.groupBy(power.alias("j")).count().collect(), reverse=True):
@@ -233,81 +289,128 @@ def _head(model: Model) -> DataFrame:
     return model.counts.where(power >= F.lit(float(least)))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` without the text, with n_tokens, n_known, base_score and score (log10 probabilities), train_tokens.
+class Scorer:
+    """Sums over texts from the levels of their n-grams and the exact counts of the commonest words."""
+
+    def __init__(self, model: Model, head: tuple[np.ndarray, np.ndarray]):
+        self.s, self.head = model.settings, head
+        self.total, self.least, self.texts = float(model.tokens), 0.1 * (model.distinct + 1), float(model.texts)
+        self.count = stands_for(self.s.base)
+        first = int(levels(np.array([self.s.least]), self.s.base)[0]) - 1
+        self.often = np.concatenate([[0.0], self.count[1 + first :]])
+
+    def base(self, c):
+        return (c + 0.1) / (self.total + self.least)
+
+    def work(self, h: np.ndarray, n: np.ndarray, word: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> list[list]:
+        """n_tokens, known, base and score of each text, and its words outside the head; the levels are those of each token's n-grams."""
+        if not len(n):
+            return [[], [], [], [], []]
+        begins = np.cumsum(n) - n
+        one, two, three = self.count[word], self.often[pair], self.often[triple]
+        before, context = np.empty_like(one), np.empty_like(two)
+        before[1:], context[1:] = one[:-1], two[:-1]
+        before[begins], context[begins] = self.texts, 0
+        two = np.minimum(two, before)
+        three = np.where(context > 0, np.minimum(three, context), 0.0)
+        p = self.base(one)
+        p = (two + self.s.prior * p) / (before + self.s.prior)
+        p = (three + self.s.prior * p) / (context + self.s.prior)
+        known, count = self.head
+        u, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
+        there = (known[at] == u if len(known) else np.zeros(len(u), bool))[back]
+        c = np.where(there, count[at][back] if len(known) else 0, 0)
+        base = np.where(there, np.log10(self.base(c)), 0.0)
+        rest = [h[b : b + k][~there[b : b + k]].view(np.int64).tolist() for b, k in zip(begins.tolist(), n.tolist())]
+        sums = lambda x: np.add.reduceat(x, begins).tolist()
+        return [n.tolist(), sums(there.astype(np.int64)), sums(base), sums(np.log10(p)), rest]
+
+
+_LONG, _DOUBLE = T.LongType(), T.DoubleType()
+SUMS = [T.StructField("n_tokens", _LONG), T.StructField("__known", _LONG), T.StructField("__base", _DOUBLE), T.StructField("score", _DOUBLE), T.StructField("__rest", T.ArrayType(_LONG))]
+
+
+def _by_broadcast(docs: DataFrame, model: Model, scorer: Scorer, head) -> DataFrame:
+    """Sums of each text, all segments being sent to the tasks."""
+    # As one chunk, which all tasks of a worker read where it lies.
+    sent = docs.sparkSession.sparkContext.broadcast(model.segments.toArrow().combine_chunks())
+    total, probes = model.n_segments, model.settings.probes
 
-    base_score: unigrams, add 0.1. score: the model's, all counts from the filter.
-    """
-    s, spark = model.settings, docs.sparkSession
-    total, v, texts, n_segments = float(model.tokens), model.distinct, float(model.texts), model.n_segments
-    top = _head(model).toArrow()
-    order = np.argsort(top.column("h").to_numpy().view(np.uint64))
-    head = spark.sparkContext.broadcast((top.column("h").to_numpy().view(np.uint64)[order].copy(), top.column("c").to_numpy()[order].copy()))
-    groups = _groups(model)
+    def make():
+        release()
+        words, f = Hasher(), Filter(sent.value, total, probes)
+        scorer.head = head.value
 
-    def send(group: list[int]):
-        # As one chunk, which all tasks of a worker read where it lies.
-        return spark.sparkContext.broadcast(model.segments.where(F.col("segment").isin(group)).toArrow().combine_chunks())
+        def work(texts):
+            h, n = words.tokens(texts)
+            k, back = np.unique(np.concatenate(keys(h, np.cumsum(n) - n)), return_inverse=True)
+            return scorer.work(h, n, *f.level(k)[back].reshape(3, -1))
 
-    def look(h: np.ndarray, n: np.ndarray, f: Filter) -> np.ndarray:
-        """Levels of each token's bigram, and of the token itself."""
-        return np.concatenate([f.level(bigrams(h, np.cumsum(n) - n)), f.level(h)])
+        return work
 
-    def part(segments):
-        def make():
-            release()
-            words, f = Hasher(), Filter(segments.value, n_segments, s.probes)
+    with short_batches(docs.sparkSession):
+        done = materialize(add_columns(docs, ["__bytes"], SUMS, make, drop=("__bytes",), rows=SLICE_ROWS // 4), "scored")
+    sent.destroy()
+    return done
 
-            def work(texts_, so_far):
-                h, n = words.tokens(texts_)
-                both = look(h, n, f).reshape(2, -1)
-                ends = np.cumsum(n)
-                new = [both[:, e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist())]
-                return [[x if old is None else (np.frombuffer(x, np.uint8) | np.frombuffer(old, np.uint8)).tobytes() for x, old in zip(new, so_far)]]
 
-            return work
+def _by_shuffle(docs: DataFrame, model: Model, scorer: Scorer, head) -> DataFrame:
+    """The same, the distinct n-grams of each slice of texts being sent to the segments that hold them, and their levels back.
 
-        return make
+    A segment gets each n-gram once a slice at most, and its share of all n-grams stays about the same however large the corpus is.
+    """
+    total, probes, spark = model.n_segments, model.settings.probes, docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("__bytes")), F.lit(0))).first()[0]
+    n_slices = max(spark.sparkContext.defaultParallelism, -(-size // SLICE_BYTES))
+    sliced = materialize(docs.withColumn("__slice", F.floor(F.rand(7) * n_slices)), "slices")
 
-    df = docs.withColumns({"__bytes": F.col(f"`{text}`").cast("binary"), "__levels": F.lit(None).cast("binary")}).drop(text)
-    for group in groups[:-1]:
-        with short_batches(spark):
-            df = materialize(add_columns(df, ["__bytes", "__levels"], [T.StructField("__levels", T.BinaryType())], part(send(group)), rows=SLICE_ROWS // 4), "levels")
-    last = send(groups[-1])
+    def ask(group: pa.Table) -> pa.Table:
+        words = Hasher()
+        h, n = words.tokens(group.column("__bytes").to_pylist())
+        k = np.unique(np.concatenate(keys(h, np.cumsum(n) - n)))
+        seg = segment_of(k, total)
+        own = np.unique(seg)
+        at = np.append(np.searchsorted(seg, own), len(k))
+        return pa.table({"__slice": pa.array(np.full(len(own), group.column("__slice")[0].as_py())), "segment": pa.array(own, pa.int32()), "k": pa.array([thin(k[a:z]).tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary())})
+
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        f = Filter(segment.combine_chunks(), total, probes)
+        found = [f.level(wide(k)).tobytes() for k in asked.column("k").to_pylist()]
+        return pa.table({"__slice": asked.column("__slice"), "segment": asked.column("segment"), "l": pa.array(found, pa.binary())})
+
+    asked = sliced.select("__slice", "__bytes").groupBy("__slice").applyInArrow(ask, "__slice long, segment int, k binary")
+    level = materialize(asked.groupBy("segment").cogroup(model.segments.groupBy("segment")).applyInArrow(answer, "__slice long, segment int, l binary"), "levels")
+    keep = [c for c in sliced.columns if c not in ("__slice", "__bytes")]
+
+    def score_(texts: pa.Table, found: pa.Table) -> pa.Table:
+        scorer.head = head.value
+        h, n = Hasher().tokens(texts.column("__bytes").to_pylist())
+        _, back = np.unique(np.concatenate(keys(h, np.cumsum(n) - n)), return_inverse=True)
+        found = found.sort_by("segment")
+        every = np.frombuffer(b"".join(found.column("l").to_pylist()), np.uint8)
+        got = scorer.work(h, n, *every[back].reshape(3, -1))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+        return pa.table([*[texts.column(c) for c in keep], *[pa.array(v, k) for v, k in zip(got, kinds)]], names=[*keep, *[f.name for f in SUMS]])
+
+    schema = T.StructType([*[sliced.schema[c] for c in keep], *SUMS])
+    return materialize(sliced.groupBy("__slice").cogroup(level.groupBy("__slice")).applyInArrow(score_, schema), "scored")
 
-    def make():
-        release()
-        words, f = Hasher(), Filter(last.value, n_segments, s.probes)
-        known, count = head.value
-        smooth = lambda c: (c + 0.1) / (total + 0.1 * (v + 1))
-
-        def work(texts_, so_far):
-            h, n = words.tokens(texts_)
-            begins = np.cumsum(n) - n
-            level = look(h, n, f).reshape(2, -1)
-            if so_far and so_far[0] is not None:
-                level = level | np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in so_far], axis=1)
-            pair, own = estimate(level[0], s.base), estimate(level[1], s.base)
-            before = np.empty_like(own)
-            before[1:] = own[:-1]
-            before[begins] = texts
-            given = np.where(before > 0, np.minimum(pair, before) / np.maximum(before, 1), 0.0)
-            p = np.where(before > 0, s.weight * given + (1 - s.weight) * smooth(own), smooth(own))
-            u, back = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
-            there = (known[at] == u if len(known) else np.zeros(len(u), bool))[back]
-            c = np.where(there, count[at][back] if len(known) else 0, 0)
-            base = np.where(there, np.log10(smooth(c)), 0.0)
-            rest = [h[b : b + k][~there[b : b + k]].view(np.int64).tolist() for b, k in zip(begins.tolist(), n.tolist())]
-            total_of = lambda x: np.add.reduceat(x, begins).tolist() if len(begins) else []
-            return [n.tolist(), [int(x) for x in total_of(there.astype(np.int64))], total_of(base), total_of(np.log10(p)), rest]
 
-        return work
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """`docs` without the text, with n_tokens, n_known, base_score and score (log10 probabilities), train_tokens.
 
-    long, double = T.LongType(), T.DoubleType()
-    fields = [T.StructField("n_tokens", long), T.StructField("__known", long), T.StructField("__base", double), T.StructField("score", double), T.StructField("__rest", T.ArrayType(long))]
-    with short_batches(spark):
-        done = materialize(add_columns(df, ["__bytes", "__levels"], fields, make, drop=("__bytes", "__levels"), rows=SLICE_ROWS // 4).withColumn("__row", F.monotonically_increasing_id()), "scored")
+    base_score: unigrams, add 0.1. score: the model's, all counts from the filter.
+    """
+    total, v = float(model.tokens), model.distinct
+    top = _head(model).toArrow()
+    order = np.argsort(top.column("h").to_numpy().view(np.uint64))
+    head = docs.sparkSession.sparkContext.broadcast((top.column("h").to_numpy().view(np.uint64)[order].copy(), top.column("c").to_numpy()[order].copy()))
+    new = ("n_tokens", "n_known", "base_score", "score", "train_tokens")
+    read = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*new, text)], F.col(f"`{text}`").cast("binary").alias("__bytes"))
+    way = _by_broadcast if model.size <= model.settings.max_bytes else _by_shuffle
+    done = way(read, model, Scorer(model, (np.zeros(0, np.uint64), np.zeros(0, np.int64))), head).withColumn("__row", F.monotonically_increasing_id())
+    head.destroy()
     rare = done.select("__row", F.explode("__rest").alias("h")).groupBy("__row", "h").agg(F.count("*").alias("n"))
     c = F.coalesce("c", F.lit(0))
     found = rare.join(model.counts, "h", "left").groupBy("__row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("__k"), F.sum(F.col("n") * F.log10((c + 0.1) / F.lit(max(total + 0.1 * (v + 1), 0.1)))).alias("__b"))

@@ -116,15 +116,48 @@ def test_base_score(docs, none):
 
 def test_filter_finds_levels():
     r = np.random.default_rng(1)
-    h = np.unique(r.integers(0, 2**63, 20_000).astype(np.uint64))
+    h = np.unique(r.integers(0, 2**48, 20_000).astype(np.uint64))
     counts = r.zipf(1.7, len(h)).clip(1, 10**6)
     s = lm.Settings()
-    k = (h % np.uint64(4)).astype(int)
-    f = lm.Filter(pa.table({"segment": range(4), "words": [lm.fill(h[k == i], counts[k == i], s).tobytes() for i in range(4)]}), 4, s.probes)
-    want, got = lm.levels(counts, s.base), f.level(h)
+    k, want = lm.segment_of(h, 4), lm.levels(counts, s.base)
+    assert (np.diff(k) >= 0).all() and set(k.tolist()) == {0, 1, 2, 3}
+    f = lm.Filter(pa.table({"segment": range(4), "words": [lm.fill(h[k == i], want[k == i], s).tobytes() for i in range(4)]}), 4, s.probes)
+    got = f.level(h)
     assert (got >= want).all() and (got > want).mean() < 0.05
-    assert (f.level(r.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
-    assert np.all(np.abs(np.log(lm.estimate(want, s.base) / counts)) < np.log(s.base))
+    assert (f.level(r.integers(0, 2**48, 20_000).astype(np.uint64)) > 0).mean() < 0.05
+    assert np.all(np.abs(np.log(lm.stands_for(s.base)[want] / counts)) < np.log(s.base))
+    assert (lm.wide(lm.thin(h).tobytes()) == h).all()
+
+
+@pytest.mark.parametrize("max_bytes", [10**9, 0])  # broadcast, and by shuffle
+def test_model_score(docs, max_bytes):
+    """The model's score from exact counts, each put to the count that its level stands for; a filter with room has next to no false hits."""
+    s = lm.Settings(bits=64, probes=8, segment=3000, max_bytes=max_bytes)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    marked = lambda t: ["<", *plain_words(ascii_lower(t)), ">"]
+    learned = [marked(r[1]) for r in rows() if not held(r[0])]
+    one = Counter(x for t in learned for x in t[1:])
+    two, three = (Counter(tuple(t[i : i + k]) for t in learned for i in range(len(t) - k + 1)) for k in (2, 3))
+    n, v, table = sum(one.values()), len(one), lm.stands_for(s.base)
+    stands = lambda c, least=1: float(table[lm.levels(np.array([c]), s.base)[0]]) if c >= least else 0.0
+
+    def score(t):
+        ws, total = marked(t), 0.0
+        for i in range(1, len(ws)):
+            before = stands(one[ws[i - 1]]) if i > 1 else float(len(learned))
+            p = (stands(one[ws[i]]) + 0.1) / (n + 0.1 * (v + 1))
+            p = (min(stands(two[*ws[i - 1 : i + 1]], 2), before) + s.prior * p) / (before + s.prior)
+            if i > 1:
+                context = min(stands(two[*ws[i - 2 : i]], 2), stands(one[ws[i - 2]]) if i > 2 else float(len(learned)))
+                p = (min(stands(three[*ws[i - 2 : i + 1]], 2), context) + s.prior * p) / (context + s.prior)
+            total += math.log10(p)
+        return total
+
+    want = {(r[0], len(marked(r[1])) - 1): score(r[1]) for r in rows()}
+    got = lm.score_held_out(docs, settings=s).collect()
+    assert len(got) == len(rows())
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id, r.n_tokens], rel=1e-6)
 
 
 def test_targets_and_quotas():
