@@ -176,9 +176,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to
 g AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM d),
 p AS (SELECT r, doc_id, len(any_value(ws)) AS len, w, count(*) AS tf FROM (SELECT r, doc_id, ws, unnest(ws) AS w FROM d) GROUP BY r, doc_id, w),
 f AS (SELECT w, count(*) AS df FROM p GROUP BY w),
-q AS (SELECT doc_id AS query_id, w, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) AS x FROM p JOIN f USING (w), g WHERE doc_id % 50 = 0),
-s AS (SELECT query_id, r, doc_id, sum(x * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM p JOIN q USING (w), g GROUP BY query_id, r, doc_id)
-SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+q AS (SELECT r AS query, doc_id AS query_id, w, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) AS x FROM p JOIN f USING (w), g WHERE doc_id % 50 = 0),
+s AS (SELECT query, query_id, r, doc_id, sum(x * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM p JOIN q USING (w), g GROUP BY query, query_id, r, doc_id)
+SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10
 """
 
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_search": OP6_SQL, "op3_quality": OP3_SQL, "op7_pii": OP7_SQL, "op10_secrets": OP10_SQL}

@@ -1,35 +1,56 @@
-"""Exact BM25 top-k: an inverted index per shard with block-max pruning, merged exactly under global statistics.
+"""Exact BM25 top-k: an inverted index written by shard, block-max WAND pruning in each, merged exactly under global statistics.
 
-A shard is a run of rows of one task, of bounded text. Its postings are cut into blocks of `block`
-documents, ordered by length; each term and block has the largest weight in it. Of a query, the sums of these
-bounds over its terms tell which blocks can hold a document among the best k so far; the most promising are
-scored first, which raises the threshold, and the rest are skipped or scored whole. A task keeps
-each query's best k from shard to shard and returns them once; the lists of all tasks are merged.
+A shard is a run of documents of one task, of bounded text, in the order of their lengths. Its postings are
+written once, one row a shard. Documents are cut into blocks of BLOCK; each long list of postings has a largest weight in each
+block, each short one a largest weight in the shard. For a query, the lists of a shard are sorted by how many documents they have,
+the most first, which is the order in which their cursors would reach a next document. The bounds are added up in this order; the
+list at which the sum reaches a share of the threshold is the pivot. Lists from the pivot on are walked. Those before it
+aren't: a document with nothing else can't be among the best k, and only documents that their own weights so far and their block's
+bounds let through are looked up in them, list after list, until the bounds of those left can't lift them any more. Blocks
+that no document gets through are skipped.
 
-Document frequencies, the number of documents and their mean length cover all documents. They are put into the
-queries' weights, so that shards need none of them but the mean length. Queries are sent to the tasks in
-groups of at most `max_terms` terms; with more groups the documents are read again for each.
+The threshold is a query's k-th score so far. One shard in FIRST is searched first, by all queries; its lists give the thresholds
+with which the others begin, so that these needn't find good documents again. Each task keeps each query's best k.
+
+Document frequencies, the number of documents and their mean length cover all documents; they come from the written
+index. Queries are sent to the tasks in groups of at most `max_terms` terms; each group is searched, its lists written and its
+broadcast destroyed before the next: for each the index is read again, not the documents. Queries that are a share of the
+documents make work grow with the square of the input, however much is skipped.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, A-Z in lower case, told apart by 64-bit XXH64; a null text has none; a
 query without words, or without matches, has no rows; only documents with a positive score are found; equal
-scores go by key, null keys last; repeated rows are found each; an empty table gives an empty result.
+scores (to 9 digits) go by key, null keys last; repeated rows are found each; each row of queries is a query of its own, also where
+keys repeat or are null (`query` tells them apart); an empty table gives an empty result; keys that aren't integers are an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .lm import Hasher
 
 K1, B = 1.2, 0.75
-BLOCK, SHARD_BYTES, SHARD_ROWS = 64, 48_000_000, 16_384
+BLOCK, SHARD_BYTES, SHARD_ROWS = 64, 24_000_000, 8_192
+#: A list is long if it has more than one in so many documents of its shard.
+LONG = 8
+#: One in so many shards is searched first, for the thresholds.
+FIRST = 8
 MAX_TERMS = 4_000_000
-#: Stands for a null key while keys are numbers.
-NO_KEY = 2**63 - 1
+INDEX = "shard long, n int, keys binary, known binary, lengths binary, terms binary, ends binary, docs binary, tf binary"
+#: Bounds are sums in another order than scores: so much more, for rounding. Scores are rounded, so that equal documents tie in every shard.
+ROUND, DIGITS, SAME = 1 + 1e-9, 9, 1e-9
+#: Long lists that are looked up at once.
+LOOK = 8
+#: The lists before the pivot stay below this share of the threshold, so that few documents need them looked up.
+PIVOT = 0.6
 
 
 def spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -45,141 +66,274 @@ def _terms(words: Hasher, text: bytes | None) -> tuple[np.ndarray, np.ndarray, i
     return *np.unique(h, return_counts=True), len(h)
 
 
+def _row(number: int, keys: list[int | None], parts: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+    """A shard as a row of INDEX: documents in order of length, postings by term, then document."""
+    order = sorted(range(len(keys)), key=lambda i: (parts[i][2], i))
+    own = [keys[i] for i in order]
+    n = np.array([len(parts[i][0]) for i in order])
+    term, tf = (np.concatenate([parts[i][k] for i in order]) for k in (0, 1))
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    at = np.argsort(term, kind="stable")
+    terms, counts = np.unique(term, return_counts=True)
+    columns = (np.array([x or 0 for x in own], "<i8"), np.array([x is not None for x in own], np.uint8), np.array([parts[i][2] for i in order], "<i4"), terms, np.cumsum(counts).astype("<i8"), doc[at].astype("<i4"), tf[at].astype("<i4"))
+    names = [c.split()[0] for c in INDEX.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(own)], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], names=names)
+
+
+@dataclass
+class Index:
+    """shards: a written table of INDEX; frequencies: (h, df) of every term, written; n documents of so many words in the mean."""
+
+    shards: DataFrame
+    frequencies: DataFrame
+    n: int
+    mean: float
+
+
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS) -> Index:
+    """Index all documents: one row a shard, written, and the statistics over all shards."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"keys are integers: {key} is {docs.schema[key].dataType.simpleString()}")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words, keys, parts, size, number = Hasher(), [], [], 0, TaskContext.get().partitionId() << 32
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys.append(k)
+                parts.append(_terms(words, t))
+                size += len(t or b"")
+                if size >= SHARD_BYTES or len(keys) >= shard_rows:
+                    yield _row(number, keys, parts)
+                    keys, parts, size, number = [], [], 0, number + 1
+        if keys:
+            yield _row(number, keys, parts)
+
+    shards = materialize(docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("binary")).mapInArrow(run, INDEX), "index")
+
+    def frequencies(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for terms, ends in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, "<i8")), pa.array(np.diff(np.frombuffer(ends, "<i8"), prepend=0))], names=["h", "df"])
+
+    def lengths(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = [int(np.frombuffer(x, "<i4").sum(dtype=np.int64)) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(total)], pa.int64())], names=["words"])
+
+    counts = materialize(shards.select("terms", "ends").mapInArrow(frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")), "frequencies")
+    n = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = shards.select("lengths").mapInArrow(lengths, "words long").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    return Index(shards, counts, n, words / max(n, 1))
+
+
+@dataclass
+class Seen:
+    """Blocks of all searches, and those of which documents were looked up; postings of the queries' terms, those walked, and lookups."""
+
+    blocks: int = 0
+    blocks_scored: int = 0
+    postings: int = 0
+    walked: int = 0
+    looked_up: int = 0
+
+
+@dataclass
 class Shard:
-    """Postings of some documents by term and document; bounds by term and block."""
-
-    def __init__(self, keys: list[int], parts: list[tuple[np.ndarray, np.ndarray, int]], mean: float):
-        order = sorted(range(len(keys)), key=lambda i: (parts[i][2], i))
-        self.keys = np.array([keys[i] for i in order], np.int64)
-        n = np.array([len(parts[i][0]) for i in order])
-        term, tf = (np.concatenate([parts[i][k] for i in order]) if len(n) else np.zeros(0, np.uint64) for k in (0, 1))
-        doc = np.repeat(np.arange(len(n), dtype=np.int64), n)
-        length = np.repeat(np.array([parts[i][2] for i in order], float), n)
-        at = np.argsort(term, kind="stable")
-        term, self.doc, tf, length = term[at], doc[at], tf[at].astype(float), length[at]
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
-        block = self.doc // BLOCK
-        new = np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, bool)
-        self.begin = np.flatnonzero(new)
-        self.end = np.append(self.begin[1:], len(term))
-        self.block = block[self.begin]
-        self.most = np.maximum.reduceat(self.weight, self.begin) if len(term) else np.zeros(0)
-        pair_term = term[self.begin]
-        head = np.concatenate([[True], pair_term[1:] != pair_term[:-1]]) if len(term) else np.zeros(0, bool)
-        self.pair = np.append(np.flatnonzero(head), len(pair_term))
-        self.term = pair_term[head]
-        self.blocks = -(-len(keys) // BLOCK)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, keys) of the best k of what is here and what `best` already has."""
-        at = np.searchsorted(self.term, terms)
-        there = np.flatnonzero(self.term[np.minimum(at, len(self.term) - 1)] == terms) if len(self.term) else []
+    """A row of INDEX with weights, block bounds, and the long lists as rows over all documents."""
+
+    n: int
+    keys: np.ndarray
+    known: np.ndarray
+    terms: np.ndarray
+    begin: np.ndarray
+    docs: np.ndarray
+    weight: np.ndarray
+    bound: np.ndarray
+    row: np.ndarray
+    long: np.ndarray
+    most: np.ndarray
+    pair: np.ndarray
+    block: np.ndarray
+    start: np.ndarray
+    seen: Seen = field(default_factory=Seen)
+
+    @staticmethod
+    def load(row: dict, mean: float) -> Shard:
+        n, get = row["n"], lambda c, t: np.frombuffer(row[c], t)
+        length, ends, docs = get("lengths", "<i4").astype(float), get("ends", "<i8"), get("docs", "<i4")
+        begin = np.concatenate([[0], ends])
+        tf, size = get("tf", "<i4").astype(float), np.diff(begin)
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[docs] / max(mean, 1e-9)))
+        # Places where another list, or another block of a list, begins.
+        block = docs // BLOCK
+        new = np.ones(len(docs), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[begin[:-1]] = True
+        pairs = np.flatnonzero(new)
+        top = np.maximum.reduceat(weight, pairs) if len(pairs) else np.zeros(0)
+        pair = np.searchsorted(pairs, begin)
+        bound = np.maximum.reduceat(top, pair[:-1]) if len(top) else np.zeros(0)
+        heavy = np.flatnonzero(size * LONG > n)
+        rows = np.full(len(size), -1)
+        rows[heavy] = np.arange(len(heavy))
+        long, most = np.zeros((len(heavy), n)), np.zeros((len(heavy), -(-n // BLOCK)))
+        for i, k in enumerate(heavy.tolist()):
+            long[i, docs[begin[k] : begin[k + 1]]] = weight[begin[k] : begin[k + 1]]
+            most[i, block[pairs[pair[k] : pair[k + 1]]]] = top[pair[k] : pair[k + 1]]
+        return Shard(n, get("keys", "<i8"), get("known", np.uint8) > 0, get("terms", "<u8"), begin, docs, weight, bound, rows, long, most, pair, block[pairs], np.append(pairs, len(docs)))
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, best: tuple, least: float = 0.0) -> tuple:
+        """(scores, keys, known) of the best k of what is here and what `best` already has; scores below `least` may be left out."""
+        at = np.searchsorted(self.terms, terms)
+        there = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else []
         if not len(there):
             return best
         at, weights = at[there], weights[there]
-        first, last = self.pair[at], self.pair[at + 1]
-        pairs, w = spread(first, last), np.repeat(weights, last - first)
-        bound = np.bincount(self.block[pairs], w * self.most[pairs], self.blocks) * (1 + 1e-9)
-        todo = bound > 0
-        # The most promising blocks first; then all that the threshold they gave lets through.
-        for some in (2, self.blocks):
-            reach = best[0][-1] if len(best[0]) == k else 0.0
-            todo &= bound >= reach
-            left = np.flatnonzero(todo)
-            if not len(left):
-                break
-            own = left[np.argsort(-bound[left], kind="stable")[:some]]
-            chosen = np.zeros(self.blocks, bool)
-            chosen[own] = True
-            todo[own] = False
-            p = np.flatnonzero(chosen[self.block[pairs]])
-            a, z = self.begin[pairs[p]], self.end[pairs[p]]
-            posts = spread(a, z)
-            score = np.bincount(self.doc[posts], np.repeat(w[p], z - a) * self.weight[posts], len(self.keys))
-            hit = np.flatnonzero((score > 0) & (score >= reach))
-            s, keys = np.concatenate([best[0], score[hit]]), np.concatenate([best[1], self.keys[hit]])
-            if len(s) > k:
-                cut = s >= np.partition(s, len(s) - k)[len(s) - k]
-                s, keys = s[cut], keys[cut]
-            order = np.lexsort((keys, -s))[:k]
-            best = s[order], keys[order]
+        size = self.begin[at + 1] - self.begin[at]
+        order = np.argsort(-size, kind="stable")
+        at, weights, size = at[order], weights[order], size[order]
+        n_long = int((self.row[at] >= 0).sum())
+        row, short, w_short = self.row[at[:n_long]], at[n_long:], weights[n_long:]
+        # Bounds of the long lists in each block, added up one list after the other; of the short ones together.
+        upto = np.cumsum(weights[:n_long, None] * self.most[row], axis=0) * ROUND if n_long else np.zeros((1, self.most.shape[1]))
+        reach = max(least, best[0][-1] - SAME if len(best[0]) == k else 0.0)
+        self.seen.blocks += upto.shape[1]
+        self.seen.postings += int(size.sum())
+        open_ = upto[-1] + float(w_short @ self.bound[short]) * ROUND >= reach
+        if not open_.any():
+            return best
+        # Lists at or past the pivot of every block are walked, but for blocks that are out of reach already.
+        begin, end, w = self.begin[short], self.begin[short + 1], w_short
+        if 2 * open_.sum() < len(open_):
+            first, last = self.pair[short], self.pair[short + 1]
+            p, w = spread(first, last), np.repeat(w_short, last - first)
+            own = open_[self.block[p]]
+            begin, end, w = self.start[p[own]], self.start[p[own] + 1], w[own]
+        posts = spread(begin, end)
+        score = np.bincount(self.docs[posts], np.repeat(w, end - begin) * self.weight[posts], self.n) if len(posts) else np.zeros(self.n)
+        self.seen.walked += len(posts)
+        # The pivot: long lists from it on are added whole, those before it together stay below a share of the threshold.
+        pivot = int((upto.max(axis=1) < PIVOT * reach).sum()) if n_long else 0
+        if pivot < n_long:
+            score = score + weights[pivot:n_long] @ self.long[row[pivot:]]
+            self.seen.walked += int(size[pivot:n_long].sum())
+        block = np.arange(self.n) // BLOCK
+        hope = score * ROUND + (upto[pivot - 1][block] if pivot else 0.0)
+        left = open_[block] & (hope > 0)
+        for some in (4 * k, self.n):
+            # The most promising documents first: their scores raise the threshold for the rest.
+            own = np.flatnonzero(left & (hope >= reach))
+            if len(own) > some:
+                own = own[np.argpartition(-hope[own], some)[:some]]
+            left[own] = False
+            self.seen.blocks_scored += int((np.bincount(block[own], minlength=1) > 0).sum())
+            got = score[own]
+            for z in range(pivot, 0, -LOOK):
+                if not len(own):
+                    break
+                # From the pivot backwards, until the lists that are left can't lift a document to the threshold any more.
+                a = max(0, z - LOOK)
+                got = got + weights[a:z] @ self.long[row[a:z, None], own[None, :]]
+                self.seen.looked_up += (z - a) * len(own)
+                if a:
+                    keep = got * ROUND + upto[a - 1][block[own]] >= reach
+                    own, got = own[keep], got[keep]
+            got = np.round(got, DIGITS)
+            hit = (got > 0) & (got >= reach)
+            best = merge(best, (got[hit], self.keys[own[hit]], self.known[own[hit]]), k)
+            reach = max(least, best[0][-1] - SAME if len(best[0]) == k else 0.0)
         return best
 
 
-def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int, float]:
-    """(h, df) of every term as a written table, the number of documents, their mean length."""
+NONE = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))
+
+
+def merge(a: tuple, b: tuple, k: int) -> tuple:
+    """The best k of two lists of (scores, keys, known); equal scores by key, unknown keys last."""
+    score, key, known = (np.concatenate([x, y]) for x, y in zip(a, b))
+    if len(score) > k:
+        cut = score >= np.partition(score, len(score) - k)[len(score) - k]
+        score, key, known = score[cut], key[cut], known[cut]
+    order = np.lexsort((key, ~known, -score))[:k]
+    return score[order], key[order], known[order]
+
+
+def weigh(queries: DataFrame, index: Index, key: str, text: str) -> DataFrame:
+    """(query, q, terms, weights, n) of each row of queries, written: query numbers the rows, weights are counts in the query times idf."""
 
     def run(batches):
         words = Hasher()
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                parts = [_terms(words, t) for t in b.slice(at, 2048).column(0).to_pylist()]
-                h, df = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
-                # Totals go along under no term.
-                yield pa.RecordBatch.from_arrays([pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array([*df.tolist(), len(parts)], pa.int64()), pa.array([*[0] * len(h), sum(p[2] for p in parts)], pa.int64())], names=["h", "df", "words"])
+            for row, q, t in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                h, c, _ = _terms(words, t)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.int64()), pa.array([q] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["query", "q", "h", "c"])
 
-    counts = materialize(docs.select(F.col(f"`{text}`").cast("binary")).mapInArrow(run, "h long, df long, words long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "frequencies")
-    total = counts.where("h IS NULL").first()
-    n, words = (total["df"], total["words"]) if total else (0, 0)
-    return counts.where("h IS NOT NULL").select("h", "df"), n, words / max(n, 1)
+    read = queries.select(F.monotonically_increasing_id().alias("query"), F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("binary"))
+    each = materialize(read.mapInArrow(run, "query long, q long, h long, c long"), "query-terms")
+    idf = F.log1p((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    pairs = each.join(index.frequencies, "h").groupBy("query").agg(F.first("q").alias("q"), F.sort_array(F.collect_list(F.struct("h", (F.col("c") * idf).alias("w")))).alias("p"))
+    return materialize(pairs.select("query", "q", F.col("p.h").alias("terms"), F.col("p.w").alias("weights"), F.size("p").alias("n")), "queries")
 
 
-def weigh(queries: DataFrame, frequencies: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(q, terms, weights) of each query: weights are counts in the query times idf; one row a query, written."""
+HIT = "array<struct<s:double,u:boolean,k:long>>"
+
+
+def _search(shards: DataFrame, mean: float, sent, k: int) -> DataFrame:
+    """(query, hits) from these shards: a query's best k of each task."""
 
     def run(batches):
-        words = Hasher()
+        names, at, terms, weights, least = sent.value
+        best = [NONE] * len(names)
         for b in batches:
-            for q, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h, c, _ = _terms(words, t)
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["q", "h", "c"])
+            for row in b.to_pylist():
+                shard = Shard.load(row, mean)
+                for i in range(len(names)):
+                    best[i] = shard.search(terms[at[i] : at[i + 1]], weights[at[i] : at[i + 1]], k, best[i], least[i])
+        kind = pa.list_(pa.struct([("s", pa.float64()), ("u", pa.bool_()), ("k", pa.int64())]))
+        for i in range(0, len(names), 512):
+            own = [j for j in range(i, min(i + 512, len(names))) if len(best[j][0])]
+            hits = [[{"s": -s, "u": not ok, "k": x} for s, x, ok in zip(*[c.tolist() for c in best[j]])] for j in own]
+            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in own], pa.int64()), pa.array(hits, kind)], names=["query", "hits"])
 
-    each = queries.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("binary")).mapInArrow(run, "q long, h long, c long")
-    idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    pairs = each.join(frequencies, "h").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("h", (F.col("c") * idf).alias("w")))).alias("p"))
-    return materialize(pairs.select("q", F.col("p.h").alias("terms"), F.col("p.w").alias("weights"), F.size("p").alias("n")), "queries")
+    # Lists of k are merged twice, so that none is long however many tasks there were.
+    ranked = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits")
+    found = shards.drop("shard").mapInArrow(run, f"query long, hits {HIT}")
+    return found.withColumn("p", F.spark_partition_id() % 64).groupBy("query", "p").agg(ranked).groupBy("query").agg(ranked)
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "doc_id", query_text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best documents of each query. Keys are integers; a query's key is its own."""
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "doc_id", query_text: str = "text", max_terms: int = MAX_TERMS, index: Index | None = None) -> DataFrame:
+    """(query, query_id, rank, doc_id, score): the k best documents of each row of queries; query_id is its key."""
+    if not isinstance(queries.schema[query_key].dataType, T.IntegralType):
+        raise ValueError(f"keys are integers: {query_key} is {queries.schema[query_key].dataType.simpleString()}")
     spark = docs.sparkSession
-    frequencies, n, mean = statistics(docs, text)
-    ready = weigh(queries, frequencies, n, query_key, query_text)
+    index = index or build(docs, key, text)
+    ready = weigh(queries, index, query_key, query_text)
     n_groups = max(1, -(-ready.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // max_terms))
-    found = None
-    read = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("binary").alias("t"))
+    parts = []
+    first = F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0
     for g in range(n_groups):
-        rows = ready.where(F.pmod(F.xxhash64("q"), F.lit(n_groups)) == g).toArrow()
-        sent = spark.sparkContext.broadcast((rows.column("q").to_pylist(), np.cumsum([0, *rows.column("n").to_pylist()]), rows.column("terms").combine_chunks().flatten().to_numpy().view(np.uint64) if rows.num_rows else np.zeros(0, np.uint64), rows.column("weights").combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0)))
+        rows = ready.where(F.pmod(F.xxhash64("query"), F.lit(n_groups)) == g).select("query", "terms", "weights", "n").toArrow().combine_chunks()
+        flat = lambda c, t: rows.column(c).combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, t)  # noqa: E731, B023
+        names = rows.column("query").to_numpy()
+        query = names.tolist(), np.cumsum([0, *rows.column("n").to_pylist()]), flat("terms", np.int64).view(np.uint64), flat("weights", float)
 
-        def run(batches, sent=sent):
-            names, at, terms, weights = sent.value
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
-            words, keys, parts, size = Hasher(), [], [], 0
+        def step(shards: DataFrame, least: np.ndarray, query=query) -> DataFrame:
+            sent = spark.sparkContext.broadcast((*query, least))
+            found = materialize(_search(shards, index.mean, sent, k), "found")
+            sent.destroy()
+            return found
 
-            def look():
-                shard = Shard(keys, parts, mean)
-                for i in range(len(names)):
-                    best[i] = shard.search(terms[at[i] : at[i + 1]], weights[at[i] : at[i + 1]], k, best[i])
-
-            for b in batches:
-                for key_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    keys.append(NO_KEY if key_ is None else key_)
-                    parts.append(_terms(words, t))
-                    size += len(t or b"")
-                    if size >= SHARD_BYTES or len(keys) >= SHARD_ROWS:
-                        look()
-                        keys, parts, size = [], [], 0
-            if keys:
-                look()
-            for i in range(0, len(names), 512):
-                own = [j for j in range(i, min(i + 512, len(names))) if len(best[j][0])]
-                hits = [[{"s": -s, "k": x} for s, x in zip(best[j][0].tolist(), best[j][1].tolist())] for j in own]
-                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in own], pa.int64()), pa.array(hits, pa.list_(pa.struct([("s", pa.float64()), ("k", pa.int64())])))], names=["q", "hits"])
-
-        lists = read.mapInArrow(run, "q long, hits array<struct<s:double,k:long>>")
-        found = lists if found is None else found.unionByName(lists)
-    # Lists of k are merged twice, so that none is long however many tasks there were.
-    ranked = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits")
-    merged = found.withColumn("p", F.spark_partition_id() % 64).groupBy("q", "p").agg(ranked).groupBy("q").agg(ranked)
-    return merged.select(F.col("q").alias("query_id"), F.posexplode("hits").alias("rank", "hit")).select("query_id", (F.col("rank") + 1).alias("rank"), F.nullif(F.col("hit.k"), F.lit(NO_KEY)).alias("doc_id"), (-F.col("hit.s")).alias("score"))
+        head = step(index.shards.where(first), np.zeros(len(names)))
+        full = head.where(F.size("hits") >= k).select("query", (-F.get("hits", F.lit(k - 1))["s"]).alias("s")).toArrow()
+        least, place = np.zeros(len(names)), {q: i for i, q in enumerate(names.tolist())}
+        for q, s in zip(full.column("query").to_pylist(), full.column("s").to_pylist()):
+            least[place[q]] = s - SAME
+        parts += [head, step(index.shards.where(~first), least)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    merged = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
+    named = merged.join(ready.select("query", "q"), "query").select("query", F.col("q").alias("query_id"), F.posexplode("hits").alias("rank", "hit"))
+    return named.select("query", "query_id", (F.col("rank") + 1).alias("rank"), F.when(~F.col("hit.u"), F.col("hit.k")).alias("doc_id"), (-F.col("hit.s")).alias("score"))

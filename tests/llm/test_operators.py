@@ -347,16 +347,47 @@ def test_search(docs, none):
     texts = [(r[0], plain_words(ascii_lower(r[1]))) for r in rows()]
     df, mean = Counter(w for _, ws in texts for w in set(ws)), sum(len(ws) for _, ws in texts) / len(texts)
     counted = [(i, Counter(ws), len(ws)) for i, ws in texts]
-    want = {}
-    for q, qs in texts:
-        if q is None or q % 5:
-            continue
-        idf = {w: c * math.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) for w, c in Counter(qs).items()}
+
+    def best(ws, k=3):
+        idf = {w: c * math.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) for w, c in Counter(ws).items() if w in df}
         scores = [(sum(x * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * n / mean)) for w, x in idf.items()), i) for i, tf, n in counted]
-        want[q] = sorted((-round(s, 9), 10**9 if i is None else i) for s, i in scores if s > 0)[:3]
-    for terms in (search.MAX_TERMS, 50):  # the second: several groups of queries
+        return sorted((-round(s, 9), 10**9 if i is None else i) for s, i in scores if s > 0)[:k]
+
+    # Each row is a query, also where keys repeat or are null: rows 8 and 16 ask twice.
+    asked = [r for r in rows() if r[0] is None or r[0] % 4 == 0]
+    df_asked = docs.where("doc_id IS NULL OR doc_id % 4 = 0")
+    want = Counter((r[0], tuple(best(plain_words(ascii_lower(r[1]))))) for r in asked)
+    want = Counter({k: n for k, n in want.items() if k[1]})
+    assert max(want.values()) == 2
+    for terms, shard in ((search.MAX_TERMS, search.SHARD_ROWS), (50, 5)):  # the second: several groups of queries, many shards
         got = {}
-        for r in search.top_k(docs, docs.where("doc_id % 5 = 0"), k=3, max_terms=terms).collect():
-            got.setdefault(r.query_id, []).append((r.rank, -round(r.score, 9), 10**9 if r.doc_id is None else r.doc_id))
-        assert {q: [(s, i) for _, s, i in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items() if v}
+        for r in search.top_k(docs, df_asked, k=3, max_terms=terms, index=search.build(docs, shard_rows=shard)).collect():
+            got.setdefault((r.query, r.query_id), []).append((r.rank, -round(r.score, 9), 10**9 if r.doc_id is None else r.doc_id))
+        assert Counter((q, tuple((s, i) for _, s, i in sorted(v))) for (_, q), v in got.items()) == want
     assert search.top_k(none, docs).count() == 0 and search.top_k(docs, none).count() == 0
+    with pytest.raises(ValueError, match="integers"):
+        search.build(docs, key="text")
+
+
+def test_search_prunes_and_stays_exact():
+    from corvane.llm import search
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in np.minimum(r.zipf(1.15, int(r.integers(5, 200))), 3000)).encode() for _ in range(3000)]
+    texts += texts[:40]
+    words = search.Hasher()
+    parts = [search._terms(words, t) for t in texts]
+    mean = float(np.mean([p[2] for p in parts]))
+    shards = [search.Shard.load(search._row(0, list(range(a, min(a + 1000, len(texts)))), parts[a : a + 1000]).to_pylist()[0], mean) for a in range(0, len(texts), 1000)]
+    df = Counter(x for p in parts for x in p[0].tolist())
+    for q in range(0, len(texts), 60):
+        h, c, _ = parts[q]
+        w = c * np.log1p([(len(texts) - df[x] + 0.5) / (df[x] + 0.5) for x in h.tolist()])
+        idf = dict(zip(h.tolist(), w))
+        every = sorted((-round(sum(idf.get(x, 0.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) for x, tf in zip(t.tolist(), tfs.tolist())), 9), i) for i, (t, tfs, n) in enumerate(parts))[:10]
+        best = search.NONE
+        for s in shards:
+            best = s.search(h, w, 10, best)
+        assert [(-x, i) for x, i in zip(best[0].tolist(), best[1].tolist())] == [(pytest.approx(s, abs=2e-9), i) for s, i in every]
+    total = lambda of: sum(getattr(s.seen, of) for s in shards)
+    assert total("walked") + total("looked_up") < 0.95 * total("postings") and total("blocks_scored") < 0.9 * total("blocks")
