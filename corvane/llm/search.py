@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .common import short_batches
 from .lm import Hasher
 
 K1, B = 1.2, 0.75
-BLOCK, SHARD_BYTES, SHARD_ROWS = 64, 24_000_000, 8_192
+BLOCK, SHARD_BYTES, SHARD_ROWS = 64, 40_000_000, 8_192
 #: A list is long if it has more than one in so many documents of its shard.
 LONG = 8
 #: One in so many shards is searched first, for the thresholds.
@@ -49,6 +50,8 @@ INDEX = "shard long, n int, keys binary, known binary, lengths binary, terms bin
 ROUND, DIGITS, SAME = 1 + 1e-9, 9, 1e-9
 #: Long lists that are looked up at once.
 LOOK = 8
+#: Documents that are looked up in one round, without the most promising ones first.
+MANY = 256
 #: The lists before the pivot stay below this share of the threshold, so that few documents need them looked up.
 PIVOT = 0.6
 
@@ -74,8 +77,10 @@ def _row(number: int, keys: list[int | None], parts: list[tuple[np.ndarray, np.n
     term, tf = (np.concatenate([parts[i][k] for i in order]) for k in (0, 1))
     doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
     at = np.argsort(term, kind="stable")
-    terms, counts = np.unique(term, return_counts=True)
-    columns = (np.array([x or 0 for x in own], "<i8"), np.array([x is not None for x in own], np.uint8), np.array([parts[i][2] for i in order], "<i4"), terms, np.cumsum(counts).astype("<i8"), doc[at].astype("<i4"), tf[at].astype("<i4"))
+    term = term[at]
+    ends = np.append(np.flatnonzero(term[1:] != term[:-1]) + 1, len(term)) if len(term) else np.zeros(0)
+    terms = term[ends.astype(np.int64) - 1] if len(term) else term
+    columns = (np.array([x or 0 for x in own], "<i8"), np.array([x is not None for x in own], np.uint8), np.array([parts[i][2] for i in order], "<i4"), terms, ends.astype("<i8"), doc[at].astype("<i4"), tf[at].astype("<i4"))
     names = [c.split()[0] for c in INDEX.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(own)], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], names=names)
 
@@ -122,7 +127,8 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows:
             total = [int(np.frombuffer(x, "<i4").sum(dtype=np.int64)) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([sum(total)], pa.int64())], names=["words"])
 
-    counts = materialize(shards.select("terms", "ends").mapInArrow(frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")), "frequencies")
+    with short_batches(docs.sparkSession, 1):
+        counts = materialize(shards.select("terms", "ends").mapInArrow(frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")), "frequencies")
     n = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = shards.select("lengths").mapInArrow(lengths, "words long").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     return Index(shards, counts, n, words / max(n, 1))
@@ -161,11 +167,15 @@ class Shard:
 
     @staticmethod
     def load(row: dict, mean: float) -> Shard:
+        """From n and the buffers of the other columns of INDEX."""
         n, get = row["n"], lambda c, t: np.frombuffer(row[c], t)
         length, ends, docs = get("lengths", "<i4").astype(float), get("ends", "<i8"), get("docs", "<i4")
         begin = np.concatenate([[0], ends])
         tf, size = get("tf", "<i4").astype(float), np.diff(begin)
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[docs] / max(mean, 1e-9)))
+        weight = (K1 * (1 - B + B * length / max(mean, 1e-9)))[docs]
+        weight += tf
+        np.divide(tf * (K1 + 1), weight, out=weight)
+        del tf
         # Places where another list, or another block of a list, begins.
         block = docs // BLOCK
         new = np.ones(len(docs), bool)
@@ -184,10 +194,18 @@ class Shard:
             most[i, block[pairs[pair[k] : pair[k + 1]]]] = top[pair[k] : pair[k + 1]]
         return Shard(n, get("keys", "<i8"), get("known", np.uint8) > 0, get("terms", "<u8"), begin, docs, weight, bound, rows, long, most, pair, block[pairs], np.append(pairs, len(docs)))
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, best: tuple, least: float = 0.0) -> tuple:
-        """(scores, keys, known) of the best k of what is here and what `best` already has; scores below `least` may be left out."""
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """The list of each term, -1 where there is none."""
         at = np.searchsorted(self.terms, terms)
-        there = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else []
+        there = self.terms[np.minimum(at, len(self.terms) - 1)] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        return np.where(there, at, -1)
+
+    def search(self, at: np.ndarray, weights: np.ndarray, k: int, best: tuple, least: float = 0.0) -> tuple:
+        """(scores, keys, known) of the best k of what is here and what `best` already has; scores below `least` may be left out.
+
+        at: the query's terms as places() tells them.
+        """
+        there = np.flatnonzero(at >= 0)
         if not len(there):
             return best
         at, weights = at[there], weights[there]
@@ -223,9 +241,11 @@ class Shard:
         hope = score * ROUND + (upto[pivot - 1][block] if pivot else 0.0)
         left = open_[block] & (hope > 0)
         for some in (4 * k, self.n):
-            # The most promising documents first: their scores raise the threshold for the rest.
+            # Of many documents the most promising first: their scores raise the threshold for the rest.
             own = np.flatnonzero(left & (hope >= reach))
-            if len(own) > some:
+            if not len(own):
+                break
+            if len(own) > max(MANY, some):
                 own = own[np.argpartition(-hope[own], some)[:some]]
             left[own] = False
             self.seen.blocks_scored += int((np.bincount(block[own], minlength=1) > 0).sum())
@@ -283,19 +303,22 @@ HIT = "array<struct<s:double,u:boolean,k:long>>"
 def _search(shards: DataFrame, mean: float, sent, k: int) -> DataFrame:
     """(query, hits) from these shards: a query's best k of each task."""
 
+    names = [c.split()[0] for c in INDEX.split(", ")][1:]
+
     def run(batches):
-        names, at, terms, weights, least = sent.value
-        best = [NONE] * len(names)
+        queries, at, vocabulary, term, weights, least = sent.value
+        best = [NONE] * len(queries)
         for b in batches:
-            for row in b.to_pylist():
-                shard = Shard.load(row, mean)
-                for i in range(len(names)):
-                    best[i] = shard.search(terms[at[i] : at[i + 1]], weights[at[i] : at[i + 1]], k, best[i], least[i])
+            for i in range(b.num_rows):
+                shard = Shard.load({c: b.column(j)[i].as_py() if c == "n" else b.column(j)[i].as_buffer() for j, c in enumerate(names)}, mean)
+                place = shard.places(vocabulary)
+                for q in range(len(queries)):
+                    best[q] = shard.search(place[term[at[q] : at[q + 1]]], weights[at[q] : at[q + 1]], k, best[q], least[q])
         kind = pa.list_(pa.struct([("s", pa.float64()), ("u", pa.bool_()), ("k", pa.int64())]))
-        for i in range(0, len(names), 512):
-            own = [j for j in range(i, min(i + 512, len(names))) if len(best[j][0])]
+        for i in range(0, len(queries), 512):
+            own = [j for j in range(i, min(i + 512, len(queries))) if len(best[j][0])]
             hits = [[{"s": -s, "u": not ok, "k": x} for s, x, ok in zip(*[c.tolist() for c in best[j]])] for j in own]
-            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in own], pa.int64()), pa.array(hits, kind)], names=["query", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array([queries[j] for j in own], pa.int64()), pa.array(hits, kind)], names=["query", "hits"])
 
     # Lists of k are merged twice, so that none is long however many tasks there were.
     ranked = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits")
@@ -317,11 +340,14 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
         rows = ready.where(F.pmod(F.xxhash64("query"), F.lit(n_groups)) == g).select("query", "terms", "weights", "n").toArrow().combine_chunks()
         flat = lambda c, t: rows.column(c).combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, t)  # noqa: E731, B023
         names = rows.column("query").to_numpy()
-        query = names.tolist(), np.cumsum([0, *rows.column("n").to_pylist()]), flat("terms", np.int64).view(np.uint64), flat("weights", float)
+        # Terms go out once, and as places among these; a task looks all of them up in a shard together.
+        vocabulary, term = np.unique(flat("terms", np.int64).view(np.uint64), return_inverse=True)
+        query = names.tolist(), np.cumsum([0, *rows.column("n").to_pylist()]), vocabulary, term.astype(np.int32), flat("weights", float)
 
         def step(shards: DataFrame, least: np.ndarray, query=query) -> DataFrame:
             sent = spark.sparkContext.broadcast((*query, least))
-            found = materialize(_search(shards, index.mean, sent, k), "found")
+            with short_batches(spark, 1):  # a row is a whole shard
+                found = materialize(_search(shards, index.mean, sent, k), "found")
             sent.destroy()
             return found
 

@@ -387,7 +387,7 @@ def test_search_prunes_and_stays_exact():
         every = sorted((-round(sum(idf.get(x, 0.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) for x, tf in zip(t.tolist(), tfs.tolist())), 9), i) for i, (t, tfs, n) in enumerate(parts))[:10]
         best = search.NONE
         for s in shards:
-            best = s.search(h, w, 10, best)
+            best = s.search(s.places(h), w, 10, best)
         assert [(-x, i) for x, i in zip(best[0].tolist(), best[1].tolist())] == [(pytest.approx(s, abs=2e-9), i) for s, i in every]
     total = lambda of: sum(getattr(s.seen, of) for s in shards)
-    assert total("walked") + total("looked_up") < 0.95 * total("postings") and total("blocks_scored") < 0.9 * total("blocks")
+    assert total("walked") + total("looked_up") < 0.7 * total("postings") and total("blocks_scored") < total("blocks")
