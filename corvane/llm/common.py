@@ -29,6 +29,29 @@ def short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own: the given ones, with underscores added until `df` has none like them."""
+    taken, got = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        got.append(name)
+    return got
+
+
+def running(items: Column, zero: Column, add: Callable[[Column, Column], Column], chunk: int = 64) -> Column:
+    """Array of {before, item}: each item of an array column with what add() made of all items before it, from `zero`.
+
+    Worked out chunk by chunk, since an array that grows item by item is copied each time. `items` is to be a column, not an expression: it is looked at for each chunk.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / chunk).cast("int")), lambda k: F.slice(items, k * chunk + 1, chunk))
+    none = F.array_remove(F.array(zero), zero)
+    heads = F.aggregate(chunks, F.struct(zero.alias("at"), none.alias("out")), lambda s, c: F.struct(F.aggregate(c, s["at"], add).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    one = lambda at, x: F.struct(at.alias("before"), x.alias("item"))
+    within = lambda c, at: F.aggregate(F.slice(c, 2, chunk), F.struct(add(at, F.get(c, F.lit(0))).alias("at"), F.array(one(at, F.get(c, F.lit(0)))).alias("out")), lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(one(s["at"], x))).alias("out")), lambda s: s["out"])
+    return F.when(F.size(items) > 0, F.flatten(F.zip_with(chunks, heads, within)))
+
+
 def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list[list]]], drop: tuple[str, ...] = (), rows: int = SLICE_ROWS) -> DataFrame:
     """`df` with more columns, made by Python from the columns `inputs`, at most `rows` rows at a time.
 

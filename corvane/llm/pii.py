@@ -2,7 +2,8 @@
 
 Column functions only; each document is searched in its own row, so nothing is shuffled. Places are
 code points, the end exclusive. Patterns use possessive repeats and begin only where a run begins, so
-that a long text costs time in proportion to its length and no deep stack.
+that a long text costs time in proportion to its length and no deep stack; places are added up and contexts cut
+in pieces, so that a text with very many spans doesn't cost its length for each.
 
 Defined results: a null text has no spans; empty tables give an empty result; repeated rows are
 searched alike; other columns of the input are kept, those named like a new one are replaced.
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free, running
+
 #: Code points before and after a span in which context words count.
 BEFORE, AFTER = 48, 24
 #: A span of a kind that isn't a base kind is kept from this score on.
@@ -73,35 +76,53 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
-def _matches(text: str, kind: Kind) -> Column:
-    """Array of {start, end, score} of what passes the check. Between two matches lies a piece of split()."""
-    t = F.col(text)
+#: Code points in a piece of text; what is near a place is looked for in the pieces round it, not from the start of the text.
+PIECE = 512
+
+
+def _pieces(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end (code points, the end exclusive), from its pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    few = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+    return F.substr(F.array_join(few, ""), start - first * PIECE + 1, F.greatest(end - start, F.lit(0)))
+
+
+def _hits(text: str, kind: Kind) -> Column:
+    """Array of {gap, hit}: what the pattern finds, and the length of what lies before it; null where there is nothing."""
+    t = F.col(f"`{text}`")
     some = F.contains(t, F.lit(kind.needs)) if kind.needs else t.rlike("[0-9]")
     pieces = F.zip_with(F.split(t, kind.pattern, -1), F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    # The last piece has no match after it.
+    return F.when(some & t.rlike(kind.pattern), F.filter(pieces, lambda x: x["hit"].isNotNull()))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        more = F.when(x["hit"].isNull(), empty).otherwise(F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))))
-        return F.struct(end.alias("at"), F.concat(acc["found"], more).alias("found"))
 
-    return F.when(some & t.rlike(kind.pattern), F.aggregate(pieces, begin, step, lambda acc: acc["found"])).otherwise(empty)
+def _places(hits: str) -> Column:
+    """Array of {start, end, hit} from a column of _hits()."""
+    placed = running(F.col(hits), F.lit(0), lambda at, x: at + x["gap"] + F.length(x["hit"]))
+    return F.transform(placed, lambda p: F.struct((p["before"] + p["item"]["gap"]).alias("start"), (p["before"] + p["item"]["gap"] + F.length(p["item"]["hit"])).alias("end"), p["item"]["hit"].alias("hit")))
 
 
 def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, text: str = "text") -> DataFrame:
     """`docs` with pii: array of {kind, start, end, score}, by kind as listed, then start."""
-    raw = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    raw = raw.withColumns({f"__m_{k.name}": _matches("__t", k) for k in kinds})
-
-    def scored(k: Kind) -> Column:
-        near = lambda x: F.concat(F.substr(F.col("__t"), F.greatest(x["start"] - BEFORE, F.lit(0)) + 1, F.least(x["start"], F.lit(BEFORE))), F.lit(" "), F.substr(F.col("__t"), x["end"] + 1, F.lit(AFTER)))
+    t, c, *m = free(docs, "__text", "__pieces", *[f"__{k.name}" for k in kinds])
+    raw = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    raw = raw.withColumns({n: _hits(t, k) for n, k in zip(m, kinds)})
+    raw = raw.withColumns({n: F.when(F.col(n).isNotNull(), _places(n)) for n in m})
+    raw = raw.withColumn(c, F.when(F.coalesce(*m).isNotNull(), _pieces(F.col(t))))
+
+    def scored(k: Kind, name: str) -> Column:
+        before = lambda x: _cut(F.col(c), F.greatest(x["start"] - BEFORE, F.lit(0)), x["start"])
+        near = lambda x: F.concat(before(x), F.lit(" "), _cut(F.col(c), x["end"], x["end"] + AFTER))
         score = lambda x: F.lit(k.score) + F.when(F.lower(near(x)).rlike(k.context), 0.3).otherwise(0.0)
-        kept = F.transform(F.filter(f"__m_{k.name}", lambda x: k.check(x["hit"])), lambda x: F.struct(F.lit(k.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))
-        return kept if k.base else F.filter(kept, lambda x: x["score"] >= THRESHOLD)
+        kept = F.transform(F.filter(name, lambda x: k.check(x["hit"])), lambda x: F.struct(F.lit(k.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))
+        kept = kept if k.base else F.filter(kept, lambda x: x["score"] >= THRESHOLD)
+        return F.coalesce(kept, F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
-    return raw.withColumn("pii", F.concat(*[scored(k) for k in kinds])).drop("__t", *[f"__m_{k.name}" for k in kinds])
+    return raw.withColumn("pii", F.concat(*[scored(k, n) for k, n in zip(kinds, m)])).drop(t, c, *m)
 
 
 def join_spans(spans: Column) -> Column:
@@ -114,14 +135,16 @@ def mask(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, text: str = "text") -
 
     A null text stays null.
     """
-    found = find(docs, kinds, text).withColumn("__s", F.sort_array(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
-    t = F.col(f"`{text}`")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.array(F.substr(t, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        inside = x["start"] < acc["at"]
-        return F.struct(F.when(inside, F.greatest(acc["at"], x["end"])).otherwise(x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], more)).alias("out"))
-
-    whole = F.aggregate("__s", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(t, acc["at"] + 1)))
-    return found.withColumn(text, F.when(F.size("__s") > 0, whole).otherwise(t)).drop("__s", "pii")
+    own, s, c = free(docs, "__pii", "__spans", "__pieces")
+    found = find(docs, kinds, text) if "pii" not in docs.columns else find(docs.withColumnRenamed("pii", own), kinds, text)
+    t, empty = F.col(f"`{text}`"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("shown"))
+    spans = F.sort_array(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    # The furthest end so far, and the end of the last span that counts: a span that begins before the first is skipped.
+    further = lambda at, x: F.struct(F.greatest(at["end"], x["end"]).alias("end"), F.when(x["start"] < at["end"], F.greatest(at["end"], x["end"])).otherwise(x["end"]).alias("shown"))
+    placed = found.withColumn(s, spans).withColumn(s, F.when(F.size("pii") > 0, running(F.col(s), empty, further))).withColumn(c, F.when(F.col(s).isNotNull(), _pieces(t)))
+    mark = lambda p: F.concat(_cut(F.col(c), p["before"]["shown"], p["item"]["start"]), F.lit("["), F.upper(p["item"]["kind"]), F.lit("]"))
+    kept = F.filter(s, lambda p: p["item"]["start"] >= p["before"]["end"])
+    last = F.array_max(F.transform("pii", lambda x: x["end"]))
+    whole = F.concat(F.array_join(F.transform(kept, mark), ""), _cut(F.col(c), last, F.length(t)))
+    done = placed.withColumn(text, F.when(F.col(s).isNotNull(), whole).otherwise(t)).drop(s, c, "pii")
+    return (done if "pii" not in docs.columns else done.withColumnRenamed(own, "pii")).select(docs.columns)

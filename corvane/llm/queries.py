@@ -158,9 +158,10 @@ SELECT r, {k} AS k, '{kind}' AS kind, a, z FROM (
 
 _ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 _ASSIGN = rf"""(?:{_ANY_CASE})["'']?\x20*[:=]\x20*["'']?"""
+PLAIN_JWT = r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 _SECRET_PARTS = (
     ("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(x, '^{_ASSIGN}', '')) >= 6"),
-    *((r.name, r.pattern, f"length(x) >= {r.least}") for r in secrets.RULES[1:]),
+    *((r.name, PLAIN_JWT if r.name == "jwt" else r.pattern, f"length(x) >= {r.least}") for r in secrets.RULES[1:]),
 )
 OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),

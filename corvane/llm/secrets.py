@@ -25,13 +25,17 @@ from .common import add_columns
 
 @dataclass(frozen=True)
 class Rule:
-    """group, least, most: the match counts if this group has so many characters. Patterns know ASCII classes only."""
+    """group, least: the match counts if this group has so many characters; tail: and if this group has any.
+
+    Patterns know ASCII classes only. A pattern whose beginning fits at every place of a long run takes the run whole and
+    leaves its tail empty where nothing follows, so that the run is read once."""
 
     name: str
     pattern: str
     group: int = 0
     least: int = 1
     base: bool = True
+    tail: int = 0
 
 
 #: The rules, in the order in which spans at one place are listed.
@@ -43,7 +47,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, False),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39, False),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24, False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]++(\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++|)", 0, 30, False, 1),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, False),
 )
 #: Strings that one place of a pattern may stand for before they are given up as an exact set.
@@ -168,7 +172,7 @@ def searcher(rules: tuple[Rule, ...] = RULES) -> Callable[[list[str | None]], li
         for k, r, pattern, query in ready:
             for i in index.find(query).tolist():
                 for m in pattern.finditer(texts[i] or ""):
-                    if m.end(r.group) - m.start(r.group) >= r.least:
+                    if m.end(r.group) - m.start(r.group) >= r.least and m.end(r.tail) > m.start(r.tail):
                         found[i].append((m.start(), k, m.end()))
         return [[[(rules[k].name, a, z) for a, k, z in sorted(f)] for f in found]]
 
