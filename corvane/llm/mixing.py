@@ -29,6 +29,10 @@ from .common import add_columns, n_words
 WEIGHTS = (5, 2, 1)
 SEED = 7
 BLOCK, SHARD_TOKENS = 64, 1_000_000
+#: Blocks that the smallest target is to have, where blocks of BLOCK would be too coarse for it.
+LEAST_BLOCKS = 16
+#: Places of the hash that are added up before sources are known, at least; there are as many as a 64th of the rows where that is more.
+PLACES = 1 << 20
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -75,20 +79,23 @@ def sainte_lague(votes: Sequence[float], seats: int) -> list[int]:
     return got.tolist()
 
 
-def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, size: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int | None = None, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, size: str | None = None) -> DataFrame:
     """Every row of `docs` with size, source_size, target, taken, and spans: array of {start, end}, the words taken, in order.
 
     A word twice in spans is taken twice. `size`: a column that already has the number of words.
-    Sources take the weights in turn, in the order of their code points, null last.
+    Sources take the weights in turn, in the order of their code points, null last. `block`: BLOCK tokens, less where the
+    smallest target would have fewer than LEAST_BLOCKS of them.
     """
+    places = 1 << max(PLACES.bit_length() - 1, (docs.count() // 64).bit_length())
     new = {"size", "source_size", "target", "taken", "spans"}
     kept = docs.select(*[c for c in docs.columns if c not in new], (F.col(f"`{size}`").cast("long") if size else n_words(F.col(f"`{text}`"))).alias("size"))
     keyed = kept.withColumn("__order", F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), "size"))
-    sums = materialize(keyed.select(F.col(f"`{source}`").cast("string").alias("s"), "size", F.pmod("__order", F.lit(1 << 20)).alias("h")).groupBy("s", "h").agg(F.sum("size").alias("n")), "sizes")
+    sums = materialize(keyed.select(F.col(f"`{source}`").cast("string").alias("s"), "size", F.pmod("__order", F.lit(places)).alias("h")).groupBy("s", "h").agg(F.sum("size").alias("n")), "sizes")
     # One row for each source.
     rows = sorted(((r[0], r[1]) for r in sums.groupBy("s").agg(F.sum("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     names, sizes = [r[0] for r in rows], [r[1] for r in rows]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, most)
+    block = block or max(1, min(BLOCK, int(min((g for g in goal if g > 0), default=BLOCK) / LEAST_BLOCKS)))
     quota = sainte_lague(goal, round(sum(goal) / block)) if rows else []
     plan = docs.sparkSession.createDataFrame([(i, n, int(s), float(g), max(1, -(-s // shard_tokens)), int(q)) for i, (n, s, g, q) in enumerate(zip(names, sizes, goal, quota))], "__i int, __s string, source_size long, target double, __shards int, __quota long")
 
@@ -108,7 +115,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     plan = F.broadcast(plan)
     parts = sums.join(plan, sums.s.eqNullSafe(F.col("__s"))).groupBy("__i", (F.col("h") % F.col("__shards")).cast("int").alias("__shard")).agg(F.sum("n").alias("n"), F.first("__quota").alias("quota"))
     quotas = materialize(parts.groupBy("__i").applyInPandas(share_out, "__i int, __shard int, __tokens long, __blocks long, __q long"), "quotas")
-    placed = keyed.join(plan, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__s"))).withColumn("__shard", (F.pmod("__order", F.lit(1 << 20)) % F.col("__shards")).cast("int")).drop("__s", "__shards", "__quota")
+    placed = keyed.join(plan, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__s"))).withColumn("__shard", (F.pmod("__order", F.lit(places)) % F.col("__shards")).cast("int")).drop("__s", "__shards", "__quota")
     line = Window.partitionBy("__i", "__shard").orderBy("__order", F.col(f"`{key}`"), "size").rowsBetween(Window.unboundedPreceding, -1)
     at = placed.withColumn("__at", F.coalesce(F.sum("size").over(line), F.lit(0))).join(quotas, ["__i", "__shard"])
     # Whole rounds, and a run of blocks of the line, in tokens; it may go on past the end, from 0.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import BLANKS, words
+from .common import BLANKS, free, words
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -26,7 +26,7 @@ SAMPLE_ROWS = 512
 
 @dataclass(frozen=True)
 class Rule:
-    """`rejects`: SQL over text, lines and the base measures, never null."""
+    """`rejects`: SQL over {text}, lines and the base measures, never null; {text} stands for the text, '' if it is null."""
 
     name: str
     rejects: str
@@ -38,7 +38,7 @@ RULES = (
     Rule("symbols", "10 * n_symbols > n_words"),
     Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
     Rule("repeated_words", "10 * n_repeat_words > 3 * n_words"),
-    Rule("few_letters", r"10 * regexp_count(text, '(?:\\A|[\\x20\\x09-\\x0D])[^\\p{L}\\x20\\x09-\\x0D]++(?![^\\x20\\x09-\\x0D])') > 2 * n_words"),
+    Rule("few_letters", r"10 * regexp_count({text}, '(?:\\A|[\\x20\\x09-\\x0D])[^\\p{L}\\x20\\x09-\\x0D]++(?![^\\x20\\x09-\\x0D])') > 2 * n_words"),
     Rule("ellipsis_lines", r"10 * size(filter(lines, x -> trim(TRAILING ' \\t\\r' FROM x) LIKE '%...' OR trim(TRAILING ' \\t\\r' FROM x) LIKE '%…')) > 3 * n_lines"),
     Rule("bullet_lines", r"10 * size(filter(lines, x -> x RLIKE '^[\\x20\\x09-\\x0D]*+[-*•][\\x20\\x09]')) > 9 * n_lines"),
 )
@@ -49,40 +49,42 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Three-word windows are compared by a 64-bit hash of their words within one document.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    a = docs.withColumns({"__w": words(t), "lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")})
-    n = F.size("__w")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    w, h, s, p = free(docs, "__w", "__h", "__s", "__p")
+    a = docs.withColumns({w: words(t), "lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")})
+    n = F.size(w)
     b = a.withColumns({
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_lines": F.size("lines").cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "__h": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))),
-    }).drop("__w")
+        h: F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))),
+    }).drop(w)
     # Most texts repeat no window: only the others are sorted.
-    c = b.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("__h")
-    twice = F.filter("__s", lambda x, k: (x["h"] == F.get("__s", k - 1)["h"]) | (x["h"] == F.get("__s", k + 1)["h"]))
-    d = c.withColumn("__p", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("__s")
+    c = b.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop(h)
+    twice = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+    d = c.withColumn(p, F.sort_array(F.transform(twice, lambda x: x["i"]))).drop(s)
     # Windows of 3 words that start at sorted places cover 3 words each, less what the one before covers.
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate("__p", start, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).cast("long").alias("n")), lambda acc: acc["n"])
-    e = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__p")
+    covered = F.aggregate(p, start, lambda acc, at: F.struct(at.alias("last"), (acc["n"] + F.least(F.lit(3), at - acc["last"])).cast("long").alias("n")), lambda acc: acc["n"])
+    e = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop(p)
     return e.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def rejects(rule: Rule, text: str = "text") -> Column:
-    sql = rule.rejects.replace("text,", f"coalesce(`{text}`, ''),")
-    return F.expr(f"({sql})")
+    return F.expr("(" + rule.rejects.replace("{text}", f"coalesce(`{text}`, '')") + ")")
 
 
-def order_rules(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, repeats: int = 4, text: str = "text") -> list[tuple[Rule, float, float]]:
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, repeats: int = 4, text: str = "text") -> list[tuple[Rule, float, float]]:
     """Rules with (seconds, share rejected) on a sample, the highest rejection per second first.
 
-    The sample is the first rows of the table; it decides the order only. Each row is judged
-    `repeats` times, so that the rule outweighs the cost of starting a job.
+    The sample is `sample_rows` rows of the table, which Spark takes from as few tasks as have them, and no more come to the
+    driver however many tasks the table has; it decides the order only. Each row is judged `repeats` times, so that the
+    rule outweighs the cost of starting a job.
     """
-    sample = materialize(measured.limit(sample_rows), "quality-sample")
+    few = docs.sparkSession.createDataFrame(docs.select(F.col(f"`{text}`").cast("string")).limit(sample_rows).toArrow()) if sample_rows else docs.limit(0)
+    sample = materialize(measure(few, text), "quality-sample")
     again = sample.withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
     def timed(check: Column) -> tuple[float, float]:
@@ -111,5 +113,4 @@ def cascade(measured: DataFrame, rules: list[Rule], text: str = "text") -> DataF
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Every row of `docs` with the measures, rejected_by and kept. Columns of these names are replaced."""
-    measured = measure(docs, text)
-    return cascade(measured, [r for r, _, _ in order_rules(measured, rules, text=text)], text)
+    return cascade(measure(docs, text), [r for r, _, _ in order_rules(docs, rules, text=text)], text)

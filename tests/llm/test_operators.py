@@ -196,6 +196,11 @@ def test_mix(docs, none, shard):
         assert 0 <= r.taken <= 2 * r.size and r.taken == sum(s.end - s.start for s in r.spans)
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 16 * (1 + sizes[s] // shard) + 0.02 * want[s] for s in names)
+    # Tiny sources come near their targets too: blocks are as small as they need.
+    small = Counter()
+    for r in mixing.mix(docs, shard_tokens=shard).collect():
+        small[r.source] += r.taken
+    assert all(abs(small[s] - want[s]) <= 0.1 * want[s] + 1 for s in names)
     cut = mixing.texts(mixing.mix(docs, shard_tokens=shard, block=16)).collect()
     assert sum(len(plain_words(r.text)) for r in cut) == sum(taken.values())
     assert mixing.mix(none).count() == 0
@@ -364,10 +369,20 @@ def test_quality(docs, none):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated))
         assert r.base_failed == (len(ws) < 50 or 100 * len(repeated) > 50 * len(ws)) and not (r.base_failed and r.kept)
     assert quality.quality(none).count() == 0
-    order = [r for r, _, _ in quality.order_rules(quality.measure(docs))]
+    order = [r for r, _, _ in quality.order_rules(docs)]
     assert set(order) == set(quality.RULES)
 
 
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    """Rules of known cost and rejection, on more tasks than the sample has rows."""
+    df = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(400)], "doc_id long, text string").repartition(20)
+    dear = "aggregate(transform(sequence(1, 3000), x -> x % 7 + length({text})), 0, (a, x) -> (a + x) % 1000) >= 0"
+    rules = (quality.Rule("never", "n_words < 0"), quality.Rule("dear", dear), quality.Rule("cheap", "n_words > 0"), quality.Rule("dear_never", f"NOT ({dear})"))
+    got = quality.order_rules(df, rules, sample_rows=16)
+    assert [r.name for r, _, _ in got[:2]] == ["cheap", "dear"] and {r.name: share for r, _, share in got} == {"cheap": 1.0, "dear": 1.0, "never": 0.0, "dear_never": 0.0}
+    clash = quality.quality(df.withColumns({"__w": F.lit(1), "__h": F.lit(2), "kept": F.lit("x")})).first()
+    assert (clash["__w"], clash["__h"], clash["rejected_by"]) == (1, 2, "base")
+
 def test_word_counts(docs):
     for r in docs.withColumn("n", n_words(F.col("text"))).collect():
         assert r.n == len(plain_words(r.text))

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import langid, mixing, pii, simhash
+from corvane.llm import mixing, pii
+from test_shingles import components
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,8 +29,9 @@ def test_stages(spark, tmp_path):
     assert before.count() - after.count() == 3 and after.where(~F.col("text").rlike(r"\p{L}")).count() == 0
 
     before, after = seen["near_dedup"]
-    groups = simhash.near_duplicates(before).select("component_id").distinct()
-    assert after.count() == groups.count() == after.join(groups, after.doc_id == groups.component_id).count()
+    # Five words and a similarity of 0.8, by brute force over all pairs.
+    want = {k for _, k in components([(r.doc_id, r.text) for r in before.collect()])}
+    assert sorted(r.doc_id for r in after.collect()) == sorted(want)
 
     before, after = seen["pii"]
     assert before.count() == after.count() and pii.find(after).where(F.exists("pii", lambda x: x["kind"] == "email")).count() == 0
@@ -45,3 +47,18 @@ def test_stages(spark, tmp_path):
     assert after.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_with_clashing_columns_and_without_rows(spark):
+    """Names that operators use within: such columns come through every stage as they were, and empty tables too."""
+    own = ["size", "taken", "target", "source_size", "spans", "lang_pred", "score", "held_out", "pii", "component_id", "representative", "__row", "__text", "__set", "__order", "__i"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(None, "a text without an id here", None, None, None), (3, None, "en", "src1", None)], docs.schema))
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in own})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for r in out.select("doc_id", *own).collect():
+            assert all(r[c] == (None if r.doc_id is None else f"{c} {r.doc_id}") for c in own), (name, r)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), SF).count() == 0
