@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,24 @@ LOCAL_SHARED_DIR = "file:///tmp/checkpoints/corvane"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set for checkpoints.
+
+    Where neither is set, a local folder on a local master; on a cluster an error, since executors don't see each other's disks.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or LOCAL_SHARED_DIR).rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, made and deleted again when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -27,7 +39,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     A lost executor then costs a re-read, not a recomputation.
     """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
