@@ -45,13 +45,23 @@ def title(text: Column, most: int = 60) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.rtrim(F.left(flat, F.lit(most - 1))), F.lit("…"))).otherwise(flat)
 
 
+#: Control and direction characters (fixed values).
+CONTROL = r"[\x00-\x1F\x7F-\x9F\u200B-\u200F\u202A-\u202E\u2066-\u2069]"
+
+
 def plain(text: Column, most: int) -> Column:
-    """Without control and direction characters, cut to `most`."""
-    bare = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F‎‏‪-‮⁦-⁩]", "")
+    """Control and direction characters and white space become single blanks; cut to `most`."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, CONTROL, " "), r"(?U)\s+", " "))
     return F.when(F.length(bare) > most, F.concat(F.left(bare, F.lit(most - 1)), F.lit("…"))).otherwise(bare)
 
 
-def safe_url(url: Column) -> Column:
+def safe_url(url: Column, most: int = 2048) -> Column:
+    """The URL if it is http or https in any case, has a host, no blank or control character, and at most `most` characters; else null."""
+    host = F.try_parse_url(url, F.lit("HOST"))
+    return F.when((F.length(url) <= most) & ~url.rlike(f"{CONTROL}| ") & F.lower(url).rlike("^https?://") & host.isNotNull(), url)
+
+
+def strict_url(url: Column) -> Column:
     """The URL if it is https with a host and without user info, else null."""
     host = F.try_parse_url(url, F.lit("HOST"))
     return F.when(url.startswith("https://") & host.isNotNull() & F.try_parse_url(url, F.lit("USERINFO")).isNull(), url)
@@ -61,7 +71,7 @@ def host_allowed(url: Column, hosts: list[str]) -> Column:
     """Whether an https URL's host is listed, or one label below a listed `*.suffix`."""
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     rule = "|".join(r"[^.]+\." + re.escape(h[2:]) if h.startswith("*.") else re.escape(h) for h in hosts)
-    return F.coalesce(safe_url(url).isNotNull() & host.rlike(f"^(?:{rule})$"), F.lit(False))
+    return F.coalesce(strict_url(url).isNotNull() & host.rlike(f"^(?:{rule})$"), F.lit(False))
 
 
 def correlation_id(raw: Column) -> Column:
@@ -106,15 +116,18 @@ def selected(path: Column, include: list[str], exclude: list[str]) -> Column:
     return (some(include) if include else F.lit(True)) & ~some(exclude)
 
 
-def artifact_problem(name: Column, media_type: Column, size: Column, types: dict[str, str], most: int = 1 << 20) -> Column:
-    """Why a document can't be stored, or null. `types`: media type by extension."""
-    extension = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    expected = F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(types.items()) for x in pair]), extension)
+#: Extensions of each media type of a stored document (fixed values).
+MEDIA_TYPES = {"text/markdown": (".md", ".markdown"), "text/plain": (".txt",), "text/csv": (".csv",), "application/json": (".json",)}
+
+
+def artifact_problem(name: Column, media_type: Column, size: Column, types: dict[str, tuple[str, ...]] = MEDIA_TYPES, most: int = 1 << 20) -> Column:
+    """Why a document can't be stored, or null. `types`: extensions by media type."""
+    pairs = F.create_map(*[x for m, e in sorted(types.items()) for x in (F.lit(m), F.array(*[F.lit(v) for v in e]))])
+    own = F.coalesce(name, F.lit(""))
     return (
-        F.when(F.trim(F.coalesce(name, F.lit(""))) == "", "no name")
-        .when(F.length(name) > 100, "name too long")
-        .when(~media_type.isin(*types.values()), "media type")
-        .when(~expected.eqNullSafe(media_type), "extension")
+        F.when(~F.coalesce(media_type.isin(*types), F.lit(False)), "media type")
+        .when(~own.rlike("^[A-Za-z0-9][A-Za-z0-9._ -]{0,99}$") | F.contains(own, F.lit("..")), "name")
+        .when(~F.exists(F.try_element_at(pairs, media_type), lambda e: F.endswith(F.lower(own), e)), "extension")
         .when(size <= 0, "empty")
         .when(size > most, "too large")
     )
@@ -125,3 +138,73 @@ def jwt_claims(token: Column, schema: str) -> Column:
     body = F.translate(F.split_part(token, F.lit("."), F.lit(2)), "-_", "+/")
     padded = F.rpad(body, F.ceil(F.length(body) / 4) * 4, F.lit("="))
     return F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), schema)
+
+
+def cut_text(text: Column, most: int) -> Column:
+    """{text, truncated}: at most so many characters, and whether there were more."""
+    return F.struct(F.left(text, F.lit(most)).alias("text"), (F.length(text) > most).alias("truncated"))
+
+
+def level_rank(level: Column, levels: list[str]) -> Column:
+    """The place of a level among ordered ones, from 0; null for an unknown one."""
+    at = F.array_position(F.array(*[F.lit(x) for x in levels]), level)
+    return F.when(at > 0, at - 1)
+
+
+def vector_literal(v: Column) -> Column:
+    """[x,y,...] with at most seven significant digits a number."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.7g", x.cast("double"))), ","), F.lit("]"))
+
+
+def clean_comments(comments: Column, most: int = 50, length: int = 1000) -> Column:
+    """Comments (array of struct<start, end, text>) that have a text and a range, trimmed and cut, by start, then end, the first `most`."""
+    cut = F.transform(comments, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.left(F.regexp_replace(c["text"], r"(?U)^\s+|\s+$", ""), F.lit(length)).alias("text")))
+    good = F.filter(cut, lambda c: (c["text"] != "") & (c["start"] >= 1) & (c["end"] >= c["start"]))
+    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"]).cast("int")
+    return F.slice(F.array_sort(good, order), 1, most)
+
+
+def frontmatter(text: Column) -> Column:
+    """{meta, body}: what stands between two lines of --- at the very beginning (null if nothing does), and the rest."""
+    pattern = r"(?s)\A---\r?\n(.*?)(?:\A|(?<=\n))---[ \t]*(?:\r?\n|\z)"
+    has = text.rlike(pattern)
+    return F.struct(F.when(has, F.regexp_extract(text, pattern, 1)).alias("meta"), F.when(has, F.regexp_replace(text, pattern, "")).otherwise(text).alias("body"))
+
+
+def section_under(body: Column, heading: str) -> Column:
+    """What stands under a heading of the second level, up to the next of that level or above."""
+    return F.trim(F.regexp_extract(body, rf"(?ms)^## {re.escape(heading)}[ \t]*$(.*?)(?=^#{{1,2}} |\z)", 1), F.lit(" \t\r\n"))
+
+
+def named_value(json: Column, field: str) -> Column:
+    """A JSON field that is an object with a name or a value, or a string: whichever it has."""
+    at = lambda path: F.get_json_object(json, f"$.{field}{path}")
+    return F.when(F.get_json_object(json, f"$.{field}").startswith("{"), F.coalesce(at(".name"), at(".value"))).otherwise(at(""))
+
+
+def json_inside(text: Column, schema: str) -> Column:
+    """The JSON object from the first { to the last } of a text; null where it can't be read."""
+    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), schema)
+
+
+def bucket_location(location: Column) -> Column:
+    """{bucket, prefix} of gs://bucket/prefix; the prefix is empty or ends with a slash; null if it is no such location."""
+    rest = F.regexp_extract(location, "^gs://[^/]+/+(.*)$", 1)
+    return F.when(location.rlike("^gs://[^/]+"), F.struct(F.regexp_extract(location, "^gs://([^/]+)", 1).alias("bucket"), F.when((rest == "") | rest.endswith("/"), rest).otherwise(F.concat(rest, F.lit("/"))).alias("prefix")))
+
+
+def deep_link(provider: Column, location: Column, commit: Column, path: Column) -> Column:
+    """Where a file at a commit is shown by its provider; null for local repositories and unknown providers."""
+    host = F.regexp_extract(location, "^(https://[^/]+)", 1)
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(location, "^https://[^/]+", ""), r"\.git/*$", ""), "/"), lambda x: x != "")
+    nth = lambda k: F.get(parts, F.size(parts) - k)
+    quoted = F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
+    repo = F.concat_ws("/", host, nth(2), nth(1))
+    root = F.concat_ws("/", host, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 3, F.lit(0))), "/"))
+    return F.when(location.startswith("https://") & (F.size(parts) >= 2), F.when(provider == "github", F.concat_ws("/", repo, F.lit("blob"), commit, quoted)).when(provider == "bitbucket-cloud", F.concat_ws("/", repo, F.lit("src"), commit, quoted)).when(
+        (provider == "bitbucket-dc") & (nth(3) == "scm"), F.concat(F.concat_ws("/", F.rtrim(root, F.lit("/")), F.lit("projects"), F.upper(nth(2)), F.lit("repos"), nth(1), F.lit("browse"), quoted), F.lit("?at="), commit)))
+
+
+def selection_fingerprint(include: Column, exclude: Column) -> Column:
+    """Sixteen hex digits of the globs; another fingerprint means a full read."""
+    return F.left(F.sha2(F.to_json(F.array(include, exclude)), 256), F.lit(16))

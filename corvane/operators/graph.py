@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_key, names_key
+from ..session import broadcast_if_small, materialize
 from . import retrieval
 
 MOST_HOPS, MOST_KEYS, MOST_EDGES = 2, 40, 60
@@ -53,15 +54,16 @@ def graph_search(chunks: DataFrame, entities: DataFrame, mentions: DataFrame, ed
 
     The score returned has all bonuses: of the depth, the keyword rank and the glossary sources.
     """
-    vector = retrieval.vector_top_k(chunks, query, retrieval.CANDIDATES)
-    keyword = retrieval.keyword_rank(chunks, terms).select("chunk_id", "rank")
+    # Two lists of at most CANDIDATES rows, written, since all that follows looks at them again.
+    vector = materialize(retrieval.vector_top_k(chunks, query, retrieval.CANDIDATES).select("chunk_id", "score"), "vector")
+    keyword = materialize(retrieval.keyword_rank(chunks, terms).select("chunk_id", "rank"), "keyword")
     ranked = vector.select("chunk_id", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).alias("rank"), F.lit(0).alias("list"))
     fused = retrieval.fuse(ranked.unionByName(keyword.withColumn("list", F.lit(1))).withColumnRenamed("chunk_id", "id"))
     best = fused.orderBy(F.desc("score"), "best", "id").limit(3).select(F.col("id").alias("chunk_id"))
-    reached = walk(seeds(best, entities, mentions, question), neighbours(entities, edges), hops)
-    by_graph = entities.join(F.broadcast(reached), "key").join(mentions, "entity_id").groupBy("chunk_id").agg(F.min("depth").alias("depth"))
+    reached = materialize(walk(seeds(best, entities, mentions, question), neighbours(entities, edges), hops), "reached")
+    by_graph = entities.join(reached, "key").join(mentions, "entity_id").groupBy("chunk_id").agg(F.min("depth").alias("depth"))
     ids = fused.select(F.col("id").alias("chunk_id"), "lists").join(by_graph, "chunk_id", "full_outer").join(keyword, "chunk_id", "left")
-    rows = chunks.join(ids, "chunk_id").withColumn("cosine", retrieval.cosine(F.col("embedding"), query))
+    rows = chunks.join(broadcast_if_small(materialize(ids, "ids")), "chunk_id").withColumn("cosine", retrieval.cosine(F.col("embedding"), query))
     depth_bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in DEPTH_BONUS.items() for x in pair]), F.col("depth")), F.lit(0.0))
     glossary = F.when(F.col("source_id").isin(*boost), GLOSSARY_BONUS).otherwise(0.0) if boost else F.lit(0.0)
     via = F.when(F.col("depth").isNotNull(), "graph").when(F.size("lists") > 1, "both").when(F.get("lists", F.lit(0)) == 0, "vector").otherwise("keyword")
@@ -83,5 +85,43 @@ def orphans(entities: DataFrame, mentions: DataFrame) -> DataFrame:
 def clean_extraction(found: DataFrame, types: list[str], most: int = 25) -> DataFrame:
     """Of (doc, pos, name, type, description): known types, first of each key, `most` a document, cut to length."""
     keyed = found.where(F.col("type").isin(*types)).withColumn("key", entity_key(F.col("name"))).where("key <> ''")
-    first = keyed.groupBy("doc", "key").agg(F.min(F.struct("pos", F.left("name", F.lit(200)).alias("name"), "type", F.left("description", F.lit(500)).alias("description"))).alias("f")).select("doc", "key", "f.*")
+    first = keyed.groupBy("doc", "key").agg(F.min(F.struct("pos", F.left(F.trim("name"), F.lit(200)).alias("name"), "type", F.left("description", F.lit(500)).alias("description"))).alias("f")).select("doc", "key", "f.*")
     return first.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("pos"))).where(F.col("n") <= most).drop("n")
+
+
+def clean_relations(relations: DataFrame, entities: DataFrame, allowed: list[str]) -> DataFrame:
+    """(doc, source, relation, target): distinct known relations between two different entities of clean_extraction(), by their names there."""
+    keyed = relations.where(F.col("relation").isin(*allowed)).select("doc", entity_key(F.col("source")).alias("s"), "relation", entity_key(F.col("target")).alias("t")).where("s <> t").distinct()
+    end = lambda key, name: entities.select("doc", F.col("key").alias(key), F.col("name").alias(name))
+    return keyed.join(end("s", "source"), ["doc", "s"]).join(end("t", "target"), ["doc", "t"]).select("doc", "source", "relation", "target")
+
+
+def write_graph(entities: DataFrame, relations: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new entities, mentions, edges) of a source: entities (source_id, chunk_id, key, name, type, description), relations (source_id,
+    chunk_id, src_key, relation, dst_key), known entities (source_id, key, entity_id).
+
+    Ids of new entities follow the greatest known one, in the order of source and key; a mention or an edge counts once.
+    """
+    merged = merge_entities(entities, F.col("chunk_id")).join(known.select("source_id", "key"), ["source_id", "key"], "left_anti")
+    last = known.agg(F.coalesce(F.max("entity_id"), F.lit(0))).first()[0]
+    # Ranges of keys are numbered side by side: counts of each range come first.
+    ordered = materialize(merged.repartitionByRange("source_id", "key").sortWithinPartitions("source_id", "key").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "new-entities")
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = sizes.select("part", "first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    new = ordered.join(before, "part").select("source_id", "key", "name", "type", "description", (F.lit(last) + 1 + F.col("before") + F.col("at") - F.col("first")).alias("entity_id"))
+    ids = known.select("source_id", "key", "entity_id").unionByName(new.select("source_id", "key", "entity_id"))
+    mentions = entities.select("source_id", "chunk_id", "key").distinct().join(ids, ["source_id", "key"]).select("source_id", "entity_id", "chunk_id")
+    end = lambda key, name: ids.select("source_id", F.col("key").alias(key), F.col("entity_id").alias(name))
+    edges = relations.select("source_id", "chunk_id", "src_key", "relation", "dst_key").distinct().join(end("src_key", "src_id"), ["source_id", "src_key"]).join(end("dst_key", "dst_id"), ["source_id", "dst_key"]).select("source_id", "src_id", "relation", "dst_id", "chunk_id")
+    return new, mentions, edges
+
+
+def cache_key(version: str, model: str, types: list[str], relations: list[str], text: Column) -> Column:
+    """One key for the same text under the same extractor."""
+    return F.sha2(F.to_json(F.array(F.lit(version), F.lit(model), F.lit(",".join(sorted(types))), F.lit(",".join(sorted(relations))), text)), 256)
+
+
+def cache_lookup(chunks: DataFrame, cache: DataFrame) -> DataFrame:
+    """`chunks` (with cache_key) with the cached result, and cached: false where the extractor has to be asked, once for each key."""
+    found = chunks.join(cache.select("cache_key", F.col("result"), F.lit(True).alias("cached")), "cache_key", "left")
+    return found.withColumn("cached", F.coalesce("cached", F.lit(False)))

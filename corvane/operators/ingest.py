@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHANGED, METADATA, UNCHANGED, RESTRICTED, DELETED = "changed", "metadata", "unchanged", "restricted", "deleted"
@@ -11,7 +11,7 @@ CHANGED, METADATA, UNCHANGED, RESTRICTED, DELETED = "changed", "metadata", "unch
 def classify_file(content: Column, length: Column) -> Column:
     """pdf, text, or null for what isn't read."""
     head = F.substring(content, 1, 4096)
-    pdf = F.ltrim(F.substring(content, 1, 1024).cast("string")).startswith("%PDF-") & (length <= 200 << 20)
+    pdf = F.regexp_replace(F.substring(content, 1, 1024).cast("string"), r"^[\x09-\x0D\x20]+", "").startswith("%PDF-") & (length <= 200 << 20)
     text = (length <= 1_000_000) & ~F.contains(head.cast("string"), F.lit("\0")) & F.is_valid_utf8(content.cast("string"))
     return F.when(pdf, "pdf").when(text, "text")
 
@@ -78,8 +78,8 @@ def hash_embedding(docs: DataFrame, key: str, text: str, dimensions: int = 64) -
     tokens = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
     index = (F.conv(F.left(F.sha2("token", 256), F.lit(8)), 16, 10).cast("long") % dimensions).cast("int")
     counts = tokens.groupBy(key, index.alias("idx")).agg(F.count("*").alias("tf"))
-    length = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("length"))
-    return counts.join(length, key).select(key, "idx", "tf", (F.col("tf") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key)))
+    return counts.select(key, "idx", "tf", (F.col("tf") / length).alias("weight"))
 
 
 def vocabulary_mentions(chunks: DataFrame, names: dict[str, str], key: str = "chunk_id", text: str = "content") -> DataFrame:

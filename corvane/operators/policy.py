@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 EVERYONE = ("everyone", "*")
 
 
@@ -18,13 +20,93 @@ def scoped_roles(identities: DataFrame, bindings: DataFrame, inherits: DataFrame
     for _ in range(depth):
         last = last.join(inherits, "role").select("persona", "scope", F.col("parent").alias("role")).distinct()
         found = found.unionByName(last)
-    return found.distinct()
+    # Written: ceilings, grants and decisions all start from it.
+    return materialize(found.distinct(), "roles")
 
 
 def granted_tools(roles: DataFrame, grants: DataFrame, tools: DataFrame) -> DataFrame:
     """(persona, tool, allowed): grants (role, tool, effect) of the persona's roles; `*` is every tool; a denial wins."""
-    each = roles.join(grants, "role").join(tools.withColumnRenamed("tool", "name"), (F.col("tool") == F.col("name")) | (F.col("tool") == "*"))
-    return each.groupBy("persona", F.col("name").alias("tool")).agg((F.count_if(F.col("effect") == "deny") == 0).alias("allowed"))
+    named = grants.join(tools, "tool").select("role", "tool", "effect").unionByName(grants.where("tool = '*'").select("role", "effect").crossJoin(tools.select("tool")))
+    return roles.join(named, "role").groupBy("persona", "tool").agg((F.count_if(F.col("effect") == "deny") == 0).alias("allowed"))
+
+
+def argument_limits(grants: DataFrame, members: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(persona, tool, arg, allowed_values), the input of authorize(): what teams' constraints allow, all their values together.
+
+    grants: (persona, tool, scope, unconstrained) of the roles that grant a tool; members: (persona, team); constraints: (team, tool,
+    arg, value). A grant of the platform is limited by every team of the persona, one of a team by that team; a tool that any
+    unconstrained role grants has no limits.
+    """
+    free_ = grants.where("unconstrained").select("persona", "tool").distinct()
+    bound = grants.join(free_, ["persona", "tool"], "left_anti")
+    by_platform = bound.where("scope = 'platform'").join(members, "persona").select("persona", "tool", "team")
+    limiting = by_platform.unionByName(bound.where("scope <> 'platform'").select("persona", "tool", F.col("scope").alias("team"))).distinct()
+    return limiting.join(constraints, ["team", "tool"]).groupBy("persona", "tool", "arg").agg(F.sort_array(F.collect_set("value")).alias("allowed_values"))
+
+
+def visible_skills(skills: DataFrame, roles: DataFrame, grants: DataFrame, members: DataFrame) -> DataFrame:
+    """(persona, skill, team, decision) for every persona of `roles` and every skill: visible, not granted, not a member or no access.
+
+    skills: (skill, team or null, tags, access_roles, access_teams: arrays); roles: (persona, scope, role); grants: (role, grant), a grant
+    being a name, tag:x or *; members: (persona, team). A global skill needs a grant of any role; one of a team needs membership or
+    a role that grants *. Where a skill names access roles or teams, one has to fit; for a team's skill a role counts
+    only in that team or on the platform.
+    """
+    held = roles.join(grants, "role").select("persona", "grant").distinct()
+    every = roles.select("persona").distinct().crossJoin(skills)
+    keys = skills.select("skill", F.explode(F.array_union(F.array(F.lit("*"), "skill"), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit("tag:"), t)))).alias("grant"))
+    granted = held.join(keys, "grant").groupBy("persona", "skill").agg(F.max(F.col("grant") == "*").alias("all"))
+    in_team = members.join(skills.where("team IS NOT NULL").select("skill", "team"), "team").select("persona", "skill", F.lit(True).alias("member")).distinct()
+    own_roles = skills.select("skill", "team", F.explode("access_roles").alias("role")).join(roles, "role").where("team IS NULL OR scope = team OR scope = 'platform'").select("persona", "skill")
+    own_teams = skills.select("skill", F.explode("access_teams").alias("team")).join(members, "team").select("persona", "skill")
+    access = own_roles.unionByName(own_teams).distinct().withColumn("access", F.lit(True))
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    row = every.join(granted, ["persona", "skill"], "left").join(in_team, ["persona", "skill"], "left").join(access, ["persona", "skill"], "left")
+    decision = (
+        F.when(F.col("team").isNull() & F.col("all").isNull(), "not granted")
+        .when(F.col("team").isNotNull() & F.col("member").isNull() & ~F.coalesce("all", F.lit(False)), "not a member")
+        .when((some("access_roles") | some("access_teams")) & F.col("access").isNull(), "no access")
+        .otherwise("visible")
+    )
+    return row.select("persona", "skill", "team", decision.alias("decision"))
+
+
+def document_flow(members: DataFrame, platform: DataFrame, teams: DataFrame, visible: DataFrame) -> DataFrame:
+    """(persona, team, lenses, cap) of each membership: the team's lenses if it names any, else the platform's, only those visible to
+    the persona, in order; the lesser of both caps.
+
+    platform: one row (lenses, cap); teams: (team, lenses, cap), null for what a team leaves open; visible: (persona, skill).
+    """
+    base = platform.select(F.col("lenses").alias("base_lenses"), F.col("cap").alias("base_cap"))
+    own = members.join(teams, "team", "left").crossJoin(base)
+    named = own.withColumn("named", F.when(F.coalesce(F.size("lenses"), F.lit(0)) > 0, F.col("lenses")).otherwise(F.col("base_lenses")))
+    each = named.select("persona", "team", F.least("cap", "base_cap").alias("cap"), F.posexplode_outer("named").alias("at", "skill"))
+    seen = each.join(visible.select("persona", "skill", F.lit(True).alias("seen")).distinct(), ["persona", "skill"], "left")
+    return seen.groupBy("persona", "team", "cap").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("seen"), F.struct("at", "skill")))), lambda x: x["skill"]).alias("lenses"))
+
+
+def lens_plan(required: Column, chosen: Column, cap: Column) -> Column:
+    """{lenses, problem}: required ones, then those chosen, each once; a problem if there are more than the cap."""
+    every = F.array_distinct(F.concat(required, chosen))
+    return F.struct(every.alias("lenses"), F.when(F.size(every) > cap, F.concat(F.lit("more than "), cap.cast("string"), F.lit(" lenses"))).alias("problem"))
+
+
+def roles_in(roles: DataFrame, members: DataFrame) -> DataFrame:
+    """(persona, team, role): roles that count in each team of a persona, held there or on the platform."""
+    return roles.join(members, "persona").where("scope = 'platform' OR scope = team").select("persona", "team", "role").distinct()
+
+
+def explain(tools: DataFrame, sources: DataFrame, limits: DataFrame) -> DataFrame:
+    """(persona, tools, limits, readable) of each persona with tools: allowed tools, arguments with their values, readable sources.
+
+    tools: (persona, tool, allowed); sources: (persona, source_id); limits: as of argument_limits(). Without the tool search_knowledge
+    nothing is readable.
+    """
+    own = tools.where("allowed").groupBy("persona").agg(F.sort_array(F.collect_set("tool")).alias("tools"))
+    limited = limits.groupBy("persona").agg(F.sort_array(F.collect_list(F.struct("tool", "arg", "allowed_values"))).alias("limits"))
+    read = sources.groupBy("persona").agg(F.sort_array(F.collect_set("source_id")).alias("found"))
+    row = own.join(limited, "persona", "left").join(read, "persona", "left")
+    return row.select("persona", "tools", "limits", F.when(F.array_contains("tools", "search_knowledge"), F.coalesce("found", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("readable"))
 
 
 def ceilings(roles: DataFrame, ranks: DataFrame, sources: DataFrame, default: int) -> DataFrame:
@@ -33,7 +115,7 @@ def ceilings(roles: DataFrame, ranks: DataFrame, sources: DataFrame, default: in
     platform = own.where("scope = 'platform'").groupBy("persona").agg(F.max("max_rank").alias("p"))
     team = own.groupBy("persona", F.col("scope").alias("owner_team")).agg(F.max("max_rank").alias("t"))
     # Sources and personas of a policy are few; this is their matrix, the result itself.
-    every = roles.select("persona").distinct().join(F.broadcast(sources.select("source_id", "owner_team")))
+    every = roles.select("persona").distinct().crossJoin(sources.select("source_id", "owner_team"))
     return every.join(platform, "persona", "left").join(team, ["persona", "owner_team"], "left").select("persona", "source_id", F.greatest(F.coalesce("p", F.lit(default)), F.coalesce("t", F.lit(default))).alias("ceiling"))
 
 
@@ -45,7 +127,7 @@ def source_grants(members: DataFrame, roles: DataFrame, sources: DataFrame, acce
     by_team = access.where("kind = 'team'").join(members, F.col("value") == F.col("team")).select("persona", "source_id", F.concat(F.lit("team:"), "value").alias("reason"))
     by_role = access.where("kind = 'role'").join(sources.select("source_id", "owner_team"), "source_id").join(roles, (F.col("value") == F.col("role")) & (F.col("scope") == F.col("owner_team"))).select("persona", "source_id", F.concat(F.lit("role:"), "value").alias("reason"))
     all_ = members.select("persona").unionByName(roles.select("persona")).distinct()
-    by_all = all_.join(F.broadcast(access.where("kind = 'everyone'").select("source_id"))).select("persona", "source_id", F.lit("everyone").alias("reason"))
+    by_all = all_.crossJoin(access.where("kind = 'everyone'").select("source_id")).select("persona", "source_id", F.lit("everyone").alias("reason"))
     return by_team.unionByName(by_role).unionByName(by_all).groupBy("persona", "source_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
@@ -91,11 +173,22 @@ def verify_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return m.join(f, "path", "full_outer").where(~F.col("want").eqNullSafe(F.col("have"))).select("path", F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "extra").otherwise("mismatch").alias("problem"))
 
 
-def match_teams(hints: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(persona, outcome, teams) of hints (persona, text) and keywords (team, keyword) that stand in them as words."""
-    word = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.lower("keyword"), F.lit(r"\E(?![a-z0-9])"))
-    k = keywords.where(F.length("keyword") >= 3).withColumn("pattern", word)
-    # Keywords are configuration: some hundreds at most.
-    hit = hints.join(F.broadcast(k), F.rlike(F.lower(F.left("text", F.lit(200))), F.col("pattern"))).groupBy("persona").agg(F.sort_array(F.collect_set("team")).alias("teams"))
-    every = hints.select("persona").distinct().join(hit, "persona", "left")
-    return every.select("persona", F.when(F.col("teams").isNull(), "none").when(F.size("teams") == 1, "one").otherwise("ambiguous").alias("outcome"), F.coalesce("teams", F.array().cast("array<string>")).alias("teams"))
+def match_teams(hints: DataFrame, keywords: DataFrame, members: DataFrame, most: int = 20) -> DataFrame:
+    """(persona, outcome, teams): the persona's teams whose keywords stand as words in its hints; of none, its only or its default team.
+
+    hints: (persona, n, text), of which those with n below `most` count, and 200 characters of each; keywords: (team, keyword); members:
+    (persona, team, is_default). outcome: one, ambiguous, only team, default team or none. Keywords of one word are found by a join on the
+    hints' words; only those of several words are searched for, in hints of members of their team.
+    """
+    low = hints.where(F.col("n") < most).select("persona", F.lower(F.left("text", F.lit(200))).alias("text"))
+    words = keywords.where(F.length("keyword") >= 3).select("team", F.lower("keyword").alias("keyword")).distinct()
+    one = F.col("keyword").rlike("^[a-z0-9]+$")
+    said = low.select("persona", F.explode(F.split("text", "[^a-z0-9]+")).alias("keyword")).distinct()
+    by_word = said.join(words.where(one), "keyword").select("persona", "team")
+    by_phrase = low.join(members.select("persona", "team"), "persona").join(words.where(~one), "team").where(F.rlike(F.col("text"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), "keyword", F.lit(r"\E(?![a-z0-9])")))).select("persona", "team")
+    hit = by_word.unionByName(by_phrase).join(members.select("persona", "team"), ["persona", "team"]).groupBy("persona").agg(F.sort_array(F.collect_set("team")).alias("found"))
+    own = members.groupBy("persona").agg(F.sort_array(F.collect_set("team")).alias("own"), F.min(F.when(F.col("is_default"), F.col("team"))).alias("default"))
+    row = hints.select("persona").distinct().join(own, "persona", "left").join(hit, "persona", "left")
+    outcome = F.when(F.size("found") == 1, "one").when(F.size("found") > 1, "ambiguous").when(F.size("own") == 1, "only team").when(F.col("default").isNotNull(), "default team").otherwise("none")
+    teams = F.when(F.col("found").isNotNull(), F.col("found")).when(F.size("own") == 1, F.col("own")).when(F.col("default").isNotNull(), F.array("default")).otherwise(F.coalesce("own", F.array().cast("array<string>")))
+    return row.select("persona", outcome.alias("outcome"), teams.alias("teams"))

@@ -7,8 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import simple_tokens
-
 CANDIDATES, MOST_HITS = 20, 20
 BONUS, RRF = 0.08, 60
 
@@ -18,11 +16,11 @@ def norm(v: Column) -> Column:
 
 
 def cosine(v: Column, query: list[float]) -> Column:
-    """Cosine similarity in doubles; a zero vector has similarity 0."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    d = F.transform(v, lambda x: x.cast("double"))
-    dot = F.aggregate(F.zip_with(d, q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(F.try_divide(dot, norm(d) * norm(q)), F.lit(0.0))
+    """Cosine similarity in doubles; a zero vector has similarity 0. The query is divided by its length once, here."""
+    length = sum(float(x) * float(x) for x in query) ** 0.5
+    q = F.array(*[F.lit(float(x) / length if length else 0.0) for x in query])
+    both = F.aggregate(F.zip_with(v, q, lambda a, b: F.struct((a.cast("double") * b).alias("d"), (a.cast("double") * a.cast("double")).alias("n"))), F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("n")), lambda s, x: F.struct((s["d"] + x["d"]).alias("d"), (s["n"] + x["n"]).alias("n")))
+    return F.coalesce(F.try_divide(both["d"], F.sqrt(both["n"])), F.lit(0.0))
 
 
 def vector_top_k(chunks: DataFrame, query: list[float], k: int, key: str = "chunk_id") -> DataFrame:
@@ -30,30 +28,30 @@ def vector_top_k(chunks: DataFrame, query: list[float], k: int, key: str = "chun
     return chunks.withColumn("score", cosine(F.col("embedding"), query)).orderBy(F.desc("score"), key).limit(k)
 
 
-def occurrences(tokens: Column, phrase: list[str]) -> Column:
-    """How often the phrase starts at a place of the tokens."""
-    hit = lambda x, i: (x == phrase[0]) & F.lit(True)
-    for n, part in enumerate(phrase[1:], 1):
-        hit = lambda x, i, hit=hit, n=n, part=part: hit(x, i) & (F.get(tokens, i + n) == part)
-    return F.aggregate(F.transform(tokens, lambda x, i: F.coalesce(hit(x, i), F.lit(False)).cast("int")), F.lit(0), lambda a, x: a + x)
+def occurrences(text: Column, phrase: list[str]) -> Column:
+    """How often the words of the phrase stand one after the other in a lower-case text, words being runs of letters and digits."""
+    letter = r"[\p{L}\p{N}]"
+    rest = "".join(rf"[^\p{{L}}\p{{N}}]+\Q{p}\E(?!{letter})" for p in phrase[1:])
+    return F.regexp_count(text, F.lit(rf"(?<!{letter})\Q{phrase[0]}\E(?!{letter})" + (f"(?={rest})" if rest else "")))
 
 
 def keyword_rank(chunks: DataFrame, terms: list[str], k: int = CANDIDATES, key: str = "chunk_id") -> DataFrame:
-    """The k rows with most occurrences of any term, with keyword_score and rank from 1; a term of several parts is a phrase."""
+    """The k rows with most occurrences of any term, with keyword_score and rank from 1; a term of several parts is a phrase.
+
+    One pass of a pattern for each term, over rows that hold its first word at all; rows without a hit go after the choice of k.
+    """
     import re
 
-    phrases = [p for p in ([x for x in re.split(r"[\W_]+", t) if x] for t in terms) if p]
+    phrases = [p for p in ([x.lower() for x in re.split(r"[\W_]+", t) if x] for t in terms) if p]
     if not phrases:
         return chunks.limit(0).withColumns({"keyword_score": F.lit(0.0), "rank": F.lit(0)})
-    tokens = simple_tokens(F.concat_ws(" ", F.coalesce("heading", F.lit("")), "content"))
-    # The scan drops what can't match before any array is made.
-    maybe = F.lit(False)
-    for p in phrases:
-        maybe = maybe | F.lower("content").contains(p[0]) | F.lower(F.coalesce("heading", F.lit(""))).contains(p[0])
-    total = sum((occurrences(F.col("__tokens"), p) for p in phrases[1:]), occurrences(F.col("__tokens"), phrases[0]))
-    found = chunks.where(maybe).withColumn("__tokens", tokens).withColumn("keyword_score", total * F.lit(0.1)).where("keyword_score > 0").drop("__tokens")
-    best = found.orderBy(F.desc("keyword_score"), key).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("keyword_score"), key)))
+    text = F.lower(F.concat_ws(" ", F.coalesce("heading", F.lit("")), "content"))
+    maybe = text.contains(phrases[0][0])
+    for p in phrases[1:]:
+        maybe = maybe | text.contains(p[0])
+    total = sum((occurrences(text, p) for p in phrases[1:]), occurrences(text, phrases[0]))
+    best = chunks.where(maybe).withColumn("keyword_score", total * F.lit(0.1)).orderBy(F.desc("keyword_score"), key).limit(k)
+    return best.where("keyword_score > 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("keyword_score"), key)))
 
 
 def keyword_bonus(rank: Column) -> Column:
@@ -66,7 +64,9 @@ def fuse(rankings: DataFrame) -> DataFrame:
 
 
 def hybrid_search(chunks: DataFrame, query: list[float], terms: list[str], k: int, key: str = "chunk_id") -> DataFrame:
-    """The k best by cosine plus keyword bonus. The score returned is the cosine; via: vector, keyword or both."""
+    """The k best by cosine plus keyword bonus. The score returned is the cosine; via: vector, keyword or both. An empty query finds nothing."""
+    if not query and not terms:
+        return chunks.limit(0).select(key, *[c for c in chunks.columns if c != key], F.lit(0.0).alias("score"), F.lit("").alias("via"), F.lit(0.0).alias("order_score"))
     k = max(1, min(k, MOST_HITS))
     vector = vector_top_k(chunks, query, max(k, CANDIDATES) if terms else k, key).withColumn("__v", F.lit(True))
     columns = [c for c in chunks.columns if c != key]
@@ -94,14 +94,24 @@ def location(hit_is_pdf: Column) -> Column:
 def retrieval_metrics(hits: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
     """recall_3, recall_5 and mrr, averaged over questions in each group.
 
-    hits: (q, rank, doc); expected: (q, doc, *by). Recall is over the expected documents of a question.
+    hits: (q, rank, doc); expected: (q, doc, *by). Documents are ranked by their first hits. Recall and mrr are means over the expected
+    documents of a question: of whether they are among the first, and of 1 / rank, 0 where they aren't found.
     """
-    firsts = expected.join(hits.groupBy("q", "doc").agg(F.min("rank").alias("rank")), ["q", "doc"], "left")
+    files = hits.groupBy("q", "doc").agg(F.min("rank").alias("hit")).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("hit", "doc")))
+    firsts = expected.join(files.select("q", "doc", "rank"), ["q", "doc"], "left")
     share = lambda n: F.avg(F.when(F.col("rank") <= n, 1.0).otherwise(0.0))
-    each = firsts.groupBy("q", *by).agg(share(3).alias("r3"), share(5).alias("r5"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"))
+    each = firsts.groupBy("q", *by).agg(share(3).alias("r3"), share(5).alias("r5"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("rr"))
     return each.groupBy(*by).agg(F.count("*").alias("questions"), F.avg("r3").alias("recall_3"), F.avg("r5").alias("recall_5"), F.avg("rr").alias("mrr"))
 
 
+def variants(hits: DataFrame, k: int) -> DataFrame:
+    """(variant, q, rank, doc) of hits (variant, q, rank, doc): each variant as it is, and as `<variant>+dedup` with each document's first hit only."""
+    own = hits.select("variant", "q", "rank", "doc")
+    once = own.groupBy("variant", "q", "doc").agg(F.min("rank").alias("hit"))
+    again = once.select(F.concat("variant", F.lit("+dedup")).alias("variant"), "q", F.row_number().over(Window.partitionBy("variant", "q").orderBy("hit", "doc")).alias("rank"), "doc")
+    return own.unionByName(again).where(F.col("rank") <= k)
+
+
 def neighbours_of(vectors: DataFrame, questions: DataFrame, k: int, block: int = 512) -> DataFrame:
     """(q, doc, rank): the k most similar rows of `vectors` (doc, v) for each question (q, v), itself (doc = q) aside.
 

@@ -12,7 +12,7 @@ def citations(hits: DataFrame, most: int) -> DataFrame:
     """For each document: hits, the first URL, whether any came by graph; `more`: how many documents aren't shown."""
     by = hits.groupBy("source_id", "path").agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.min_by("url", F.when(F.col("url").isNotNull(), F.col("rank"))).alias("url"), F.max(F.col("via") == "graph").alias("graph"))
     total = by.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
-    return by.orderBy("first").limit(most).join(F.broadcast(total)).drop("first")
+    return by.orderBy("first").limit(most).crossJoin(total).drop("first")
 
 
 def clean_findings(found: DataFrame) -> DataFrame:
@@ -73,7 +73,10 @@ def uncovered(requirements: DataFrame, components: DataFrame) -> DataFrame:
 
 def drift(components: DataFrame, changed: DataFrame) -> DataFrame:
     """(component, files): components (component, code_path, concept_path) with changed files below code_path and an unchanged concept file."""
-    hit = changed.join(F.broadcast(components), changed.path.startswith(components.code_path)).groupBy("component", "concept_path").agg(F.count("*").alias("files"))
+    # A code path is a beginning of a changed path: an equal join over beginnings of the lengths that code paths have.
+    lengths = [r[0] for r in components.select(F.length("code_path")).distinct().collect()]
+    begins = changed.select("path", F.explode(F.array_distinct(F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.when(F.length("path") >= n, F.left(F.col("path"), n))), lambda x: x.isNotNull()))).alias("code_path"))
+    hit = begins.join(components, "code_path").groupBy("component", "concept_path").agg(F.count("*").alias("files"))
     return hit.join(changed.select(F.col("path").alias("concept_path")), "concept_path", "left_anti").select("component", "files")
 
 

@@ -243,9 +243,9 @@ def upsert_merge(spark, sf):
     return ingest.upsert(d.where("doc_id % 3 < 2"), d.where("doc_id % 3 > 0").withColumn("lang", F.upper("lang")), ["doc_id"], ["lang"])
 
 
-@query("""SELECT source AS source_id, lang AS key, min_by('n' || doc_id, doc_id) AS name, min_by('t' || doc_id % 3, doc_id) AS type, arg_max(left(text, 40), (length(left(text, 40)), -doc_id)) AS description FROM documents GROUP BY 1, 2""")
+@query("""SELECT source AS source_id, lang AS key, min_by('n' || doc_id, doc_id) AS name, min_by('t' || doc_id % 3, doc_id) AS type, arg_max(text, (length(text), -doc_id)) AS description FROM documents GROUP BY 1, 2""")
 def longest_description(spark, sf):
-    m = t(spark, sf, "documents").select(F.col("source").alias("source_id"), F.col("lang").alias("key"), F.concat(F.lit("n"), "doc_id").alias("name"), F.concat(F.lit("t"), F.col("doc_id") % 3).alias("type"), F.left("text", F.lit(40)).alias("description"), "doc_id")
+    m = t(spark, sf, "documents").select(F.col("source").alias("source_id"), F.col("lang").alias("key"), F.concat(F.lit("n"), "doc_id").alias("name"), F.concat(F.lit("t"), F.col("doc_id") % 3).alias("type"), F.col("text").alias("description"), "doc_id")
     return graph.merge_entities(m, F.col("doc_id"))
 
 
@@ -267,18 +267,20 @@ def scalar_text(spark, sf):
     return t(spark, sf, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), text.title(F.col("text")).alias("title"), text.user_key(F.concat(F.lit("U"), "doc_id")).alias("user_key"))
 
 
-@query("""SELECT page_id, CASE WHEN starts_with(url, 'https://') AND NOT contains(split_part(substring(url, 9), '/', 1), '@') THEN url END AS safe, starts_with(url, 'https://') AND regexp_matches(lower(split_part(split_part(split_part(split_part(substring(url, 9), '/', 1), '?', 1), '#', 1), ':', 1)), '^(?:[^.]+\\.example\\.com)$') AS allowed FROM pages""".replace("\\\\", "\\"))
+@query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'HTTP' || regexp_replace(url, '^https?', '') WHEN 1 THEN 'ftp://a.b/c' WHEN 2 THEN url || '?a b' WHEN 3 THEN replace(url, 'https://', 'https://u@') WHEN 4 THEN url || chr(10) ELSE url END AS url FROM pages)
+SELECT page_id, CASE WHEN page_id % 6 IN (0, 3, 5) THEN url END AS safe, page_id % 6 = 5 AND starts_with(url, 'https://') AND regexp_matches(lower(split_part(split_part(split_part(split_part(substring(url, 9), '/', 1), '?', 1), '#', 1), ':', 1)), '^(?:[^.]+\\.example\\.com)$') AS allowed FROM p""".replace("\\\\", "\\"))
 def url_checks(spark, sf):
-    u = F.col("url")
-    return t(spark, sf, "pages").select("page_id", text.safe_url(u).alias("safe"), text.host_allowed(u, ["*.example.com"]).alias("allowed"))
+    k, u = F.col("page_id") % 6, F.col("url")
+    forms = F.when(k == 0, F.concat(F.lit("HTTP"), F.regexp_replace(u, "^https?", ""))).when(k == 1, "ftp://a.b/c").when(k == 2, F.concat(u, F.lit("?a b"))).when(k == 3, F.replace(u, F.lit("https://"), F.lit("https://u@"))).when(k == 4, F.concat(u, F.lit("\n"))).otherwise(u)
+    return t(spark, sf, "pages").select("page_id", forms.alias("url")).select("page_id", text.safe_url(u).alias("safe"), text.host_allowed(u, ["*.example.com"]).alias("allowed"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'media type' WHEN s_suppkey % 3 = 0 THEN 'extension' WHEN s_suppkey % 5 = 0 THEN 'empty' WHEN s_suppkey % 7 = 0 THEN 'too large' END AS problem FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'media type' WHEN s_suppkey % 11 IN (0, 1) THEN 'name' WHEN s_suppkey % 3 = 0 THEN 'extension' WHEN s_suppkey % 5 = 0 THEN 'empty' WHEN s_suppkey % 7 = 0 THEN 'too large' END AS problem FROM supplier")
 def artifact_validate(spark, sf):
     k = F.col("s_suppkey")
-    name = F.concat(F.lit("doc"), k, F.when(k % 3 == 0, ".exe").otherwise(".md"))
+    name = F.concat(F.when(k % 11 == 0, "-").when(k % 11 == 1, "a..").otherwise("doc "), k, F.when(k % 3 == 0, ".exe").when(k % 2 == 0, ".Markdown").otherwise(".md"))
     size = F.when(k % 5 == 0, 0).when(k % 7 == 0, (1 << 20) + 1).otherwise(5)
-    return t(spark, sf, "supplier").select("s_suppkey", text.artifact_problem(name, F.when(k % 4 == 0, "image/png").otherwise("text/markdown"), size, {"md": "text/markdown", "txt": "text/plain"}).alias("problem"))
+    return t(spark, sf, "supplier").select("s_suppkey", text.artifact_problem(name, F.when(k % 4 == 0, "image/png").otherwise("text/markdown"), size).alias("problem"))
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(source || '/' || doc_id || '.md', '^(?:src1[^/]*/[^/]*\\.md)$') AND NOT regexp_matches(source || '/' || doc_id || '.md', '^(?:(?:.*/)?[^/]7\\.md)$')".replace("\\\\", "\\"))
@@ -376,15 +378,6 @@ def bundle_verify(spark, sf):
     return policy.verify_manifest(d.where("path % 9 > 0").select("path", F.sha2("text", 256).alias("sha256")), d.where("path % 8 > 0").select("path", F.sha2(changed, 256).alias("sha256")))
 
 
-@query("""WITH h AS (SELECT c_custkey AS persona, c_mktsegment || ' in ' || n_name AS text FROM customer JOIN nation ON c_nationkey = n_nationkey), k(team, keyword) AS (VALUES ('a', 'building'), ('b', 'france'), ('b', 'machinery'), ('c', 'in')),
-m AS (SELECT persona, string_agg(DISTINCT team, ',' ORDER BY team) AS teams, count(DISTINCT team) AS n FROM h JOIN k ON length(keyword) >= 3 AND regexp_matches(lower(text), '\\b' || keyword || '\\b') GROUP BY 1)
-SELECT h.persona, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'one' ELSE 'ambiguous' END AS outcome, coalesce(teams, '') AS teams FROM h LEFT JOIN m USING (persona)""".replace("\\\\", "\\"))
-def team_match(spark, sf):
-    hints = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("persona"), F.concat_ws(" in ", "c_mktsegment", "n_name").alias("text"))
-    found = policy.match_teams(hints, values(spark, [("a", "building"), ("b", "france"), ("b", "machinery"), ("c", "in")], "team string, keyword string"))
-    return found.withColumn("teams", F.array_join("teams", ","))
-
-
 @query("""WITH h AS (SELECT event_type AS source_id, (user_id % 10)::VARCHAR AS path, event_id AS rank, CASE WHEN event_id % 3 > 0 THEN 'u' || event_id END AS url, event_id % 50 = 0 AS g FROM events), b AS (SELECT source_id, path, count(*) AS hits, min(rank) AS first, arg_min(url, rank) FILTER (url IS NOT NULL) AS url, bool_or(g) AS graph FROM h GROUP BY 1, 2)
 SELECT source_id, path, hits, url, graph, (SELECT greatest(count(*) - 5, 0) FROM b)::BIGINT AS more FROM b ORDER BY first LIMIT 5""")
 def citations_by_doc(spark, sf):
@@ -440,23 +433,14 @@ def call_outcomes(spark, sf):
     return rollups.call_outcomes(e)
 
 
-@query("""WITH q AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id < 20), d AS (SELECT vec_id AS doc, label AS dl, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings WHERE vec_id >= 20),
-r AS (SELECT vec_id AS q, doc, dl, label, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w)), 9) DESC, doc) AS rank FROM q, d), x AS (SELECT q, label, doc, rank FROM r WHERE dl = label AND doc % 5 = 0),
-e AS (SELECT q, label, avg((rank <= 3)::INT) AS r3, avg((rank <= 5)::INT) AS r5, coalesce(1 / min(rank) FILTER (rank <= 10), 0) AS rr FROM x GROUP BY 1, 2) SELECT label, count(*) AS questions, round(avg(r3), 9) AS recall_3, round(avg(r5), 9) AS recall_5, round(avg(rr), 9) AS mrr FROM e GROUP BY 1""")
-def retrieval_metrics(spark, sf):
-    """Twenty questions, a fixed set, against all other vectors."""
-    e = t(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q, d = e.where("vec_id < 20").select(F.col("vec_id").alias("q"), "label", F.col("v").alias("qv")), e.where("vec_id >= 20").select(F.col("vec_id").alias("doc"), F.col("label").alias("dl"), "v")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    both = d.join(F.broadcast(q)).select("q", "doc", F.round(F.try_divide(dot(F.col("qv"), F.col("v")), F.sqrt(dot(F.col("qv"), F.col("qv")) * dot(F.col("v"), F.col("v")))), 9).alias("s"))
-    hits = both.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "doc"))).where("rank <= 10")
-    expected = d.where("doc % 5 = 0").join(F.broadcast(q.select("q", "label")), F.col("dl") == F.col("label")).select("q", "doc", "label")
-    m = retrieval.retrieval_metrics(hits, expected, ["label"])
-    return m.select("label", "questions", *[F.round(c, 9).alias(c) for c in ("recall_3", "recall_5", "mrr")])
+METRICS_SQL = """WITH v AS (SELECT vec_id AS doc, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+r AS (SELECT q.doc AS q, q.label AS label, d.doc, d.label AS dl, row_number() OVER (PARTITION BY q.doc ORDER BY coalesce(round(list_dot_product(q.v, d.v) / nullif(sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v)), 0), 9), -2) DESC, d.doc) AS rank FROM v q JOIN v d ON q.doc <> d.doc WHERE q.doc % 50 = 0),
+e AS (SELECT q, label, avg((rank <= 3)::INT) AS r3, avg((rank <= 5)::INT) AS r5, avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END) AS rr FROM r WHERE dl = label GROUP BY 1, 2)
+SELECT label, count(*) AS questions, round(avg(r3), 9) AS recall_3, round(avg(r5), 9) AS recall_5, round(avg(rr), 9) AS mrr FROM e GROUP BY 1"""
 
 
-@query()
-def retrieval_metrics_all(spark, sf):
+@query(METRICS_SQL)
+def retrieval_metrics(spark, sf):
     """Every vector with an id divisible by 50 asks all others; expected are all others of its label."""
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), "label", F.col("embedding").alias("v"))
     q = e.where("doc % 50 = 0").withColumnRenamed("doc", "q")
@@ -465,6 +449,12 @@ def retrieval_metrics_all(spark, sf):
     return m.select("label", "questions", *[F.round(c, 9).alias(c) for c in ("recall_3", "recall_5", "mrr")])
 
 
+@query(METRICS_SQL)
+def retrieval_metrics_all(spark, sf):
+    """The same, under the name that it had while retrieval_metrics asked twenty questions."""
+    return retrieval_metrics(spark, sf)
+
+
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def set_difference(spark, sf):
     return rollups.uncovered(t(spark, sf, "part").select(F.col("p_partkey").alias("requirement")), t(spark, sf, "lineitem").where("l_quantity > 48").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("satisfies"))).select(F.col("requirement").alias("p_partkey"))

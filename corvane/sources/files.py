@@ -36,3 +36,13 @@ def restricted_pages(pages: DataFrame) -> DataFrame:
         last = materialize(below.join(found, "id", "left_anti"), "restricted")
         found = materialize(found.unionByName(last), "restricted-found")
     return found
+
+
+def changed_paths(before: DataFrame, after: DataFrame, comparable: bool = True) -> DataFrame:
+    """(path, change) from one listing (path, content_hash) to the next: changed or deleted; all are changed where they can't be compared,
+    since the old one is missing, the location is new or the globs are others."""
+    if not comparable:
+        return after.select("path", F.lit("changed").alias("change"))
+    b, a = before.select("path", F.col("content_hash").alias("old")), after.select("path", F.col("content_hash").alias("new"))
+    both = b.join(a, "path", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    return both.select("path", F.when(F.col("new").isNull(), "deleted").otherwise("changed").alias("change"))

@@ -17,14 +17,14 @@ OUT = "call_id long, allowed boolean, retry_after int"
 def decide(times: dict[str, list[int]], now: int, tool: str, limits: dict[str, int]) -> tuple[bool, int | None]:
     """One call of one user; `times` holds the counted calls of each scope and is brought up to date.
 
-    A call is counted, in all its scopes, only if all of them have room. Else: seconds until the first does.
+    A call is counted, in all its scopes, only if all of them have room. Else: seconds until the first full scope has.
     """
     scopes = [s for s in ("*", tool) if s in limits]
     for s in scopes:
         times[s] = [t for t in times.get(s, []) if t > now - WINDOW_US]
     full = [times[s] for s in scopes if len(times[s]) >= limits[s]]
     if full:
-        wait = max((t[0] + WINDOW_US - now if t else WINDOW_US) for t in full)
+        wait = full[0][0] + WINDOW_US - now if full[0] else WINDOW_US
         return False, max(1, math.ceil(wait / 1e6))
     for s in scopes:
         times[s].append(now)

@@ -38,7 +38,7 @@ def test_retrieval_metrics_all(spark, tmp_path):
         ranked = sorted((j for j, _, _ in rows if j != i), key=lambda j: (-cosine(v, rows[j][1]), j))[:10]
         hit = [k for k, j in enumerate(ranked, 1) if rows[j][2] == label]
         n = sum(x[2] == label for x in rows) - 1
-        each[label].append((sum(k <= 3 for k in hit) / n, sum(k <= 5 for k in hit) / n, 1 / hit[0] if hit else 0.0))
+        each[label].append((sum(k <= 3 for k in hit) / n, sum(k <= 5 for k in hit) / n, sum(1 / k for k in hit) / n))
     want = {k: (len(x), *[pytest.approx(sum(c) / len(x), abs=1e-8) for c in zip(*x)]) for k, x in each.items()}
     got = registry.QUERIES["retrieval_metrics_all"](spark, str(tmp_path)).collect()
     assert {x.label: tuple(x)[1:] for x in got} == want and sum(x.questions for x in got) == 20
