@@ -17,6 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_ROWS = 256
 
 
+#: What clears the caches that operators keep in a worker from task to task.
+KEPT: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Clear what other operators left in this worker, and give back what Arrow keeps of freed buffers: workers outlive their tasks."""
+    for clear in KEPT:
+        clear()
+    pa.default_memory_pool().release_unused()
+
+
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     """What runs within sends at most so many rows at once to Python workers, where these need their memory for a model."""
@@ -67,6 +78,7 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], m
     kinds = [pa.schema([pa.field("x", _arrow(f.dataType))]).field(0).type for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         work = make()
         for whole in batches:
             for at in range(0, whole.num_rows, rows):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS
+from .common import KEPT, SLICE_ROWS
 
 LENGTH, GROUP = 2048, 100_000
 #: Pieces in a group where their ids are carried along: 80 MB at most.
@@ -65,10 +65,13 @@ class Words(dict):
 
 @lru_cache(1)
 def worker_words(path: str) -> Words:
-    """One for all tasks of a Python worker."""
+    """One for all tasks of a Python worker, until another operator runs there."""
     return Words(path)
 
 
+KEPT.append(worker_words.cache_clear)
+
+
 def tokenize(docs: DataFrame, path: str, text: str = "text", length: int = LENGTH, close: int = 0) -> DataFrame:
     """One row for each piece: the columns of `docs` but the text, piece, start, length, ids (binary: unsigned 32-bit, little-endian)."""
     new = ["piece", "start", "length", "ids"]
