@@ -208,3 +208,13 @@ def deep_link(provider: Column, location: Column, commit: Column, path: Column)
 def selection_fingerprint(include: Column, exclude: Column) -> Column:
     """Sixteen hex digits of the globs; another fingerprint means a full read."""
     return F.left(F.sha2(F.to_json(F.array(include, exclude)), 256), F.lit(16))
+
+
+def resolved_target(path: Column, ref: Column) -> Column:
+    """The path that a link in the document `path` leads to, from the root; null for URLs, anchors and what lies above the root."""
+    bare = F.regexp_replace(ref, "(?s)#.*$", "")
+    whole = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), bare))
+    up = lambda done: F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+    step = lambda done, part: F.when(part.isin("", "."), done).when(part == "..", up(done)).otherwise(F.concat(done, F.array(part)))
+    parts = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    return F.when((bare != "") & ~F.contains(bare, F.lit("://")) & ~bare.startswith("mailto:"), F.array_join(parts, "/"))

@@ -37,3 +37,15 @@ def eligibility(requests: DataFrame, catalog: DataFrame, entries: DataFrame, tod
 def readable_entries(stored: DataFrame, schema_version: int = 1) -> DataFrame:
     """`stored` (key, oid, schema) with problem: an entry whose key isn't its owner's, or of another schema, is kept, reported and not used."""
     return stored.withColumn("problem", F.when(~F.col("schema").eqNullSafe(F.lit(schema_version)), "schema").when(~user_key(F.col("oid")).eqNullSafe(F.col("key")), "owner"))
+
+
+def written(entries: DataFrame, writes: DataFrame) -> DataFrame:
+    """`entries` (oid, connection_id, status, ...) after writes (oid, connection_id, action).
+
+    `forget` drops all entries of the user, whatever the connection; `disconnect` drops one; `invalid` sets its status. The strongest
+    holds where one entry has several. Writes without an entry change nothing.
+    """
+    gone = writes.where("action = 'forget'").select("oid").distinct()
+    own = writes.where("action <> 'forget'").groupBy("oid", "connection_id").agg(F.bool_or(F.col("action") == "disconnect").alias("__off"), F.bool_or(F.col("action") == "invalid").alias("__bad"))
+    kept = entries.join(gone, "oid", "left_anti").join(own, ["oid", "connection_id"], "left").where(~F.coalesce("__off", F.lit(False)))
+    return kept.withColumn("status", F.when(F.col("__bad"), "invalid").otherwise(F.col("status"))).select(*entries.columns)

@@ -192,3 +192,8 @@ def match_teams(hints: DataFrame, keywords: DataFrame, members: DataFrame, most:
     outcome = F.when(F.size("found") == 1, "one").when(F.size("found") > 1, "ambiguous").when(F.size("own") == 1, "only team").when(F.col("default").isNotNull(), "default team").otherwise("none")
     teams = F.when(F.col("found").isNotNull(), F.col("found")).when(F.size("own") == 1, F.col("own")).when(F.col("default").isNotNull(), F.array("default")).otherwise(F.coalesce("own", F.array().cast("array<string>")))
     return row.select("persona", outcome.alias("outcome"), teams.alias("teams"))
+
+
+def secret_references(sources: DataFrame) -> DataFrame:
+    """(kind, name, used_by): where each secret of sources (source_id, kind, name) is used, sorted; sources without a secret name none."""
+    return sources.where("kind IS NOT NULL AND name IS NOT NULL").groupBy("kind", "name").agg(F.sort_array(F.collect_set(F.concat(F.lit("sources/"), "source_id", F.lit(".yaml")))).alias("used_by"))

@@ -274,3 +274,29 @@ def team_match(spark, sf):
     words = [("team0", "building"), ("team1", "france"), ("team1", "machinery"), ("team2", "in"), ("team2", "building"), ("team3", "furniture in"), ("team4", "household")]
     found = policy.match_teams(hints, values(spark, words, "team string, keyword string"), members(spark, sf))
     return found.withColumn("teams", F.array_join("teams", ","))
+
+
+@query(f"""WITH {ENTRIES_SQL}, w AS (SELECT o_custkey AS oid, CASE WHEN o_orderkey % 2 = 0 THEN 'jira' ELSE 'wiki' END AS connection_id, CASE WHEN o_orderkey % 29 = 0 THEN 'forget' WHEN o_orderkey % 5 = 0 THEN 'disconnect' ELSE 'invalid' END AS action FROM orders WHERE o_orderkey % 3 = 0)
+SELECT oid, connection_id, CASE WHEN EXISTS (FROM w WHERE w.oid = e.oid AND w.connection_id = e.connection_id AND action = 'invalid') THEN 'invalid' ELSE status END AS status FROM entries e
+WHERE NOT EXISTS (FROM w WHERE w.oid = e.oid AND (action = 'forget' OR (action = 'disconnect' AND w.connection_id = e.connection_id)))""")
+def connection_writes(spark, sf):
+    k = F.col("o_orderkey")
+    action = F.when(k % 29 == 0, "forget").when(k % 5 == 0, "disconnect").otherwise("invalid")
+    writes = t(spark, sf, "orders").where(k % 3 == 0).select(F.col("o_custkey").alias("oid"), F.when(k % 2 == 0, "jira").otherwise("wiki").alias("connection_id"), action.alias("action"))
+    return connections.written(entries(spark, sf).drop("expires_at"), writes)
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 > 0 THEN 'kind' || s_nationkey % 3 END AS kind, 'n' || s_nationkey AS name FROM supplier)
+SELECT kind, name, string_agg('sources/' || id || '.yaml', ',' ORDER BY 'sources/' || id || '.yaml') AS used_by FROM s WHERE kind IS NOT NULL GROUP BY ALL""")
+def secret_uses(spark, sf):
+    n = F.col("s_nationkey")
+    sources = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("source_id"), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("kind"), n % 3)).alias("kind"), F.concat(F.lit("n"), n).alias("name"))
+    return policy.secret_references(sources).withColumn("used_by", F.array_join("used_by", ","))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'a' || p_size || '/x.md' WHEN 1 THEN 'y.md' WHEN 2 THEN 'z' || p_size || '.md' WHEN 3 THEN 'a' || p_size || '/b/w.md' WHEN 4 THEN 'c/v.md' END AS target FROM part""")
+def resolved_links(spark, sf):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    forms = [F.lit("../x.md"), F.lit(".././../y.md#top"), F.concat(F.lit("/z"), n, F.lit(".md")), F.lit("./w.md"), F.lit("/a/../c//v.md"), F.lit("https://example.org/x.md"), F.lit("#top"), F.lit("../../../out.md")]
+    own = F.concat(F.lit("a"), n, F.lit("/b/doc.md"))
+    return t(spark, sf, "part").select("p_partkey", text.resolved_target(own, F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))).alias("target"))
