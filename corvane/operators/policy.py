@@ -197,3 +197,23 @@ def match_teams(hints: DataFrame, keywords: DataFrame, members: DataFrame, most:
 def secret_references(sources: DataFrame) -> DataFrame:
     """(kind, name, used_by): where each secret of sources (source_id, kind, name) is used, sorted; sources without a secret name none."""
     return sources.where("kind IS NOT NULL AND name IS NOT NULL").groupBy("kind", "name").agg(F.sort_array(F.collect_set(F.concat(F.lit("sources/"), "source_id", F.lit(".yaml")))).alias("used_by"))
+
+
+def mixed_scopes(platform: DataFrame, team: DataFrame) -> DataFrame:
+    """(rule, role, granted_by): team memberships (rule, role) that grant a role which platform bindings (rule, role) grant as well."""
+    return team.join(platform.groupBy("role").agg(F.min("rule").alias("granted_by")), "role").select("rule", "role", "granted_by").distinct()
+
+
+def agent_context(asked: DataFrame, members: DataFrame, instructions: DataFrame) -> DataFrame:
+    """(request_id, problem, teams, instructions) of requests (request_id, persona, team): the caller's teams and what those instruct, by team and number.
+
+    Where a team is named, only its own instructions come; one that isn't the caller's is `unknown team`, and nothing is said.
+    instructions: (team, n, text), a few for each team.
+    """
+    own = members.groupBy("persona").agg(F.sort_array(F.collect_set("team")).alias("teams"))
+    told = members.select("persona", "team").distinct().join(instructions, "team").groupBy("persona").agg(F.sort_array(F.collect_list(F.struct("team", "n", "text"))).alias("told"))
+    row = asked.join(own, "persona", "left").join(told, "persona", "left")
+    none = F.array().cast("array<string>")
+    wrong = F.col("team").isNotNull() & ~F.coalesce(F.array_contains("teams", F.col("team")), F.lit(False))
+    said = F.transform(F.filter("told", lambda i: F.col("team").isNull() | (i["team"] == F.col("team"))), lambda i: i["text"])
+    return row.select("request_id", F.when(wrong, "unknown team").alias("problem"), F.when(wrong, none).otherwise(F.coalesce("teams", none)).alias("teams"), F.when(wrong, none).otherwise(F.coalesce(said, none)).alias("instructions"))

@@ -90,3 +90,19 @@ def calls_in_window(calls: DataFrame, seconds: int, user: str = "user_id", at_us
     """Calls with how many that user made in the window that ends with each (its start is left out)."""
     w = Window.partitionBy(user).orderBy(at_us).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return calls.withColumn("recent", F.count("*").over(w))
+
+
+def report_sections(reviews: DataFrame, findings: DataFrame) -> DataFrame:
+    """(review_id, severity, section): a Markdown section for each severity of each review, its findings numbered by id.
+
+    findings: (review_id, id, severity, title, lenses array, where, detail, suggestion); empty parts have no line. A review holds some dozens of findings.
+    """
+    part = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"\n- {label}: "), F.col(c))).otherwise("")
+    body = F.concat(F.coalesce("title", F.lit("")), F.lit("** ("), F.array_join("lenses", ", "), F.lit(")"), part("Where", "where"), part("Why", "detail"), part("Fix", "suggestion"))
+    items = findings.select("review_id", "severity", "id", body.alias("body")).groupBy("review_id", "severity").agg(F.sort_array(F.collect_list(F.struct("id", "body"))).alias("items"))
+    every = reviews.select("review_id").distinct().withColumn("severity", F.explode(F.array(*[F.lit(s) for s in SEVERITIES])))
+    row = every.join(items, ["review_id", "severity"], "left")
+    letter, n = F.upper(F.left("severity", F.lit(1))), F.coalesce(F.size("items"), F.lit(0))
+    numbered = F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("\n\n**"), letter, (i + 1).cast("string"), F.lit(". "), x["body"])), "")
+    head = F.concat(F.lit("## "), F.initcap("severity"), F.lit(" ("), n.cast("string"), F.lit(")"))
+    return row.select("review_id", "severity", F.concat(head, F.coalesce(numbered, F.lit("\nNone."))).alias("section"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import audit, connections, graph, policy, retrieval
+from ..operators import audit, connections, graph, policy, retrieval, rollups
 from ..sources import files
 from .queries import CHUNKS_SQL, COSINE_SQL, VECTOR, chunks, query, t, values
 
@@ -300,3 +300,36 @@ def resolved_links(spark, sf):
     forms = [F.lit("../x.md"), F.lit(".././../y.md#top"), F.concat(F.lit("/z"), n, F.lit(".md")), F.lit("./w.md"), F.lit("/a/../c//v.md"), F.lit("https://example.org/x.md"), F.lit("#top"), F.lit("../../../out.md")]
     own = F.concat(F.lit("a"), n, F.lit("/b/doc.md"))
     return t(spark, sf, "part").select("p_partkey", text.resolved_target(own, F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))).alias("target"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS r, CASE l_partkey % 3 WHEN 0 THEN 'blocker' WHEN 1 THEN 'major' ELSE 'nit' END AS s, l_linenumber AS id, 'T' || l_partkey || '** (a, b)' || CASE WHEN l_partkey % 2 = 0 THEN chr(10) || '- Where: p' || l_suppkey ELSE '' END || CASE WHEN l_partkey % 5 > 0 THEN chr(10) || '- Why: d' ELSE '' END AS body FROM lineitem WHERE l_quantity > 30),
+n AS (SELECT r, s, count(*) AS n, string_agg(chr(10) || chr(10) || '**' || upper(s[1]) || i || '. ' || body, '' ORDER BY i) AS items FROM (SELECT *, row_number() OVER (PARTITION BY r, s ORDER BY id, body) AS i FROM f) GROUP BY ALL)
+SELECT o_orderkey AS review_id, k.s AS severity, '## ' || upper(k.s[1]) || k.s[2:] || ' (' || coalesce(n, 0) || ')' || coalesce(items, chr(10) || 'None.') AS section FROM orders CROSS JOIN (VALUES ('blocker'), ('major'), ('nit')) k(s) LEFT JOIN n ON r = o_orderkey AND n.s = k.s""")
+def review_report(spark, sf):
+    p = F.col("l_partkey")
+    level = F.when(p % 3 == 0, "blocker").when(p % 3 == 1, "major").otherwise("nit")
+    where = F.when(p % 2 == 0, F.concat(F.lit("p"), F.col("l_suppkey")))
+    found = t(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("review_id"), F.col("l_linenumber").alias("id"), level.alias("severity"), F.concat(F.lit("T"), p).alias("title"), F.array(F.lit("a"), F.lit("b")).alias("lenses"), where.alias("where"), F.when(p % 5 > 0, "d").alias("detail"), F.lit("").alias("suggestion"))
+    return rollups.report_sections(t(spark, sf, "orders").select(F.col("o_orderkey").alias("review_id")), found)
+
+
+@query("""WITH p AS (SELECT 'role' || c_custkey % 50 AS role, min('b' || c_custkey) AS granted_by FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1)
+SELECT DISTINCT 'm' || s_suppkey AS rule, role, granted_by FROM supplier JOIN p ON role = 'role' || s_suppkey % 60""")
+def role_scopes(spark, sf):
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    platform = t(spark, sf, "customer").where(c % 2 == 0).select(F.concat(F.lit("b"), c).alias("rule"), F.concat(F.lit("role"), c % 50).alias("role"))
+    return policy.mixed_scopes(platform, t(spark, sf, "supplier").select(F.concat(F.lit("m"), s).alias("rule"), F.concat(F.lit("role"), s % 60).alias("role")))
+
+
+@query(f"""WITH {MEMBERS_SQL}, i(team, n, said) AS (VALUES ('team0', 1, 'be brief'), ('team0', 2, 'cite'), ('team1', 1, 'use tables'), ('team3', 1, 'ask first')),
+q AS (SELECT o_orderkey AS request_id, o_custkey AS persona, CASE WHEN o_orderkey % 3 > 0 THEN 'team' || o_orderkey % 5 END AS team FROM orders),
+w AS (SELECT *, team IS NOT NULL AND NOT EXISTS (FROM members m WHERE m.persona = q.persona AND m.team = q.team) AS wrong FROM q)
+SELECT request_id, CASE WHEN wrong THEN 'unknown team' END AS problem,
+  CASE WHEN wrong THEN '' ELSE coalesce((SELECT string_agg(m.team, ',' ORDER BY m.team) FROM members m WHERE m.persona = w.persona), '') END AS teams,
+  CASE WHEN wrong THEN '' ELSE coalesce((SELECT string_agg(said, ',' ORDER BY i.team, n) FROM members m JOIN i ON m.team = i.team WHERE m.persona = w.persona AND (w.team IS NULL OR w.team = i.team)), '') END AS instructions FROM w""")
+def agent_context(spark, sf):
+    k = F.col("o_orderkey")
+    asked = t(spark, sf, "orders").select(k.alias("request_id"), F.col("o_custkey").alias("persona"), F.when(k % 3 > 0, F.concat(F.lit("team"), k % 5)).alias("team"))
+    told = values(spark, [("team0", 1, "be brief"), ("team0", 2, "cite"), ("team1", 1, "use tables"), ("team3", 1, "ask first")], "team string, n int, text string")
+    found = policy.agent_context(asked, members(spark, sf), told)
+    return found.withColumns({"teams": F.array_join("teams", ","), "instructions": F.array_join("instructions", ",")})
