@@ -217,3 +217,59 @@ def agent_context(asked: DataFrame, members: DataFrame, instructions: DataFrame)
     wrong = F.col("team").isNotNull() & ~F.coalesce(F.array_contains("teams", F.col("team")), F.lit(False))
     said = F.transform(F.filter("told", lambda i: F.col("team").isNull() | (i["team"] == F.col("team"))), lambda i: i["text"])
     return row.select("request_id", F.when(wrong, "unknown team").alias("problem"), F.when(wrong, none).otherwise(F.coalesce("teams", none)).alias("teams"), F.when(wrong, none).otherwise(F.coalesce(said, none)).alias("instructions"))
+
+
+def source_problems(sources: DataFrame, teams: DataFrame, levels: DataFrame, roles: DataFrame) -> DataFrame:
+    """(file, problem): all that is wrong with definitions of sources, each problem once.
+
+    sources: (file, source_id, owner_team, level, kind, ref, access_teams array, access_roles array), a row a file; teams: (team); levels:
+    (level); roles: (role). Of files with one id the first by name counts, in the others only the name and the repetition are told; below an
+    unknown level nothing more is looked at. Nulls are unknown, and a null list names nobody.
+    """
+    first = sources.groupBy("source_id").agg(F.min("file").alias("first"))
+    flag = lambda known, c, name: known.select(F.col(c).alias(name), F.lit(True).alias(f"known_{name}")).distinct()
+    row = sources.join(first, "source_id", "left").join(flag(teams, "team", "owner_team"), "owner_team", "left").join(flag(levels, "level", "level"), "level", "left")
+    again = F.coalesce(F.col("first") < F.col("file"), F.lit(False))
+    lost = again | F.col("known_level").isNull()
+    git, ref = F.coalesce(F.col("kind") == "git", F.lit(False)), F.coalesce(F.col("ref"), F.lit("")) != ""
+    named = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1).eqNullSafe(F.col("source_id"))
+    told = lambda what, c: F.concat(F.lit(what), F.coalesce(F.col(c), F.lit("")))
+    problems = F.array(
+        F.when(~named, "the id isn't the file's name"), F.when(again, told("duplicate of ", "first")),
+        F.when(~again & F.col("known_owner_team").isNull(), told("unknown owner team ", "owner_team")), F.when(~again & F.col("known_level").isNull(), told("unknown level ", "level")),
+        F.when(~lost & git & ~ref, "git needs a ref"), F.when(~lost & ~git & ref, "only git has a ref"),
+    )
+    own = row.select("file", F.explode(F.array_compact(problems)).alias("problem"))
+
+    def strangers(names: str, known: DataFrame, c: str) -> DataFrame:
+        used = row.where(~lost).select("file", F.explode(names).alias(c)).distinct()
+        return used.join(known.select(c), c, "left_anti").select("file", told(f"access of unknown {c} ", c).alias("problem"))
+
+    return own.unionByName(strangers("access_teams", teams, "team")).unionByName(strangers("access_roles", roles, "role"))
+
+
+def inheritance_cycles(inherits: DataFrame) -> DataFrame:
+    """(role, members): each role that inherits itself, with all roles of its cycles, itself included. inherits: (role, parent); nulls link nothing.
+
+    All ancestors of roles are found a level at a time until none is new, so the result doesn't depend on depth; roles of a policy are few.
+    """
+    edges = materialize(inherits.select("role", "parent").dropna().distinct(), "edges")
+    found = last = edges
+    while not last.isEmpty():
+        further = last.join(edges.toDF("parent", "next"), "parent").select("role", F.col("next").alias("parent")).distinct()
+        last = materialize(further.join(found, ["role", "parent"], "left_anti"), "ancestors")
+        found = materialize(found.unionByName(last), "found")
+    back = found.select(F.col("parent").alias("role"), F.col("role").alias("parent"))
+    return found.join(back, ["role", "parent"]).groupBy("role").agg(F.sort_array(F.collect_set("parent")).alias("members"))
+
+
+def unknown_persona(asked: DataFrame, roles: DataFrame, users: DataFrame) -> DataFrame:
+    """(request_id, unknown_roles, unknown_user) of ad-hoc personas (request_id, app_roles array, user): what of them the policy doesn't know.
+
+    roles: (role); users: (user). A null or empty user is nobody, and not unknown; request_id is unique.
+    """
+    said = asked.select("request_id", F.explode("app_roles").alias("role")).join(roles.select("role"), "role", "left_anti")
+    strange = said.groupBy("request_id").agg(F.sort_array(F.collect_set("role")).alias("strange"))
+    known = users.select("user", F.lit(True).alias("known")).distinct()
+    row = asked.select("request_id", "user").join(strange, "request_id", "left").join(known, "user", "left")
+    return row.select("request_id", F.coalesce("strange", F.array().cast("array<string>")).alias("unknown_roles"), F.when(F.col("known").isNull() & (F.col("user") != ""), F.col("user")).alias("unknown_user"))

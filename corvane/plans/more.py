@@ -333,3 +333,42 @@ def agent_context(spark, sf):
     told = values(spark, [("team0", 1, "be brief"), ("team0", 2, "cite"), ("team1", 1, "use tables"), ("team3", 1, "ask first")], "team string, n int, text string")
     found = policy.agent_context(asked, members(spark, sf), told)
     return found.withColumns({"teams": F.array_join("teams", ","), "instructions": F.array_join("instructions", ",")})
+
+
+@query("""WITH s AS (SELECT 'sources/s' || s_suppkey || '.yaml' AS file, 's' || (CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey - 1 ELSE s_suppkey END) AS id, s_suppkey AS k, s_nationkey AS n FROM supplier),
+r AS (SELECT *, min(file) OVER (PARTITION BY id) AS first FROM s), a AS (SELECT *, first < file AS again, first < file OR k % 4 = 3 AS lost FROM r)
+SELECT file, 'the id isn''t the file''s name' AS problem FROM a WHERE k % 7 = 0
+UNION ALL SELECT file, 'duplicate of ' || first FROM a WHERE again
+UNION ALL SELECT file, 'unknown owner team team5' FROM a WHERE NOT again AND n % 6 = 5
+UNION ALL SELECT file, 'unknown level none' FROM a WHERE NOT again AND k % 4 = 3
+UNION ALL SELECT file, CASE WHEN k % 2 = 0 THEN 'git needs a ref' ELSE 'only git has a ref' END FROM a WHERE NOT lost AND (k % 2 = 0) = (k % 3 = 0)
+UNION ALL SELECT file, 'access of unknown team team' || n % 7 FROM a WHERE NOT lost AND n % 7 > 4
+UNION ALL SELECT file, 'access of unknown role role2' FROM a WHERE NOT lost AND k % 3 = 2""")
+def source_checks(spark, sf):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    level = F.element_at(F.array(F.lit("public"), F.lit("internal"), F.lit("secret"), F.lit("none")), (k % 4 + 1).cast("int"))
+    sources = t(spark, sf, "supplier").select(
+        F.concat(F.lit("sources/s"), k, F.lit(".yaml")).alias("file"), F.concat(F.lit("s"), F.when(k % 7 == 0, k - 1).otherwise(k)).alias("source_id"), F.concat(F.lit("team"), n % 6).alias("owner_team"), level.alias("level"),
+        F.when(k % 2 == 0, "git").otherwise("bucket").alias("kind"), F.when(k % 3 > 0, "c1").alias("ref"), F.array(F.concat(F.lit("team"), n % 7), F.lit("team0")).alias("access_teams"), F.array(F.concat(F.lit("role"), k % 3)).alias("access_roles"))
+    known = lambda c, names: values(spark, [(x,) for x in names], f"{c} string")
+    return policy.source_problems(sources, known("team", [f"team{i}" for i in range(5)]), known("level", ["public", "internal", "secret"]), known("role", ["role0", "role1"]))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'r' || n_nationkey AS role, 'r' || (n_nationkey * n_nationkey + 1) % 25 AS parent FROM nation UNION SELECT 'q' || p_partkey % 40, 'q' || p_size % 8 FROM part),
+f AS (SELECT role, parent FROM e UNION SELECT f.role, e.parent FROM f JOIN e ON f.parent = e.role)
+SELECT x.role, string_agg(x.parent, ',' ORDER BY x.parent) AS members FROM f x JOIN f y ON x.parent = y.role AND y.parent = x.role GROUP BY 1""")
+def role_cycles(spark, sf):
+    n = F.col("n_nationkey")
+    one = t(spark, sf, "nation").select(F.concat(F.lit("r"), n).alias("role"), F.concat(F.lit("r"), (n * n + 1) % 25).alias("parent"))
+    two = t(spark, sf, "part").select(F.concat(F.lit("q"), F.col("p_partkey") % 40).alias("role"), F.concat(F.lit("q"), F.col("p_size") % 8).alias("parent"))
+    return policy.inheritance_cycles(one.unionByName(two)).withColumn("members", F.array_join("members", ","))
+
+
+@query("""SELECT o_orderkey AS request_id, CASE WHEN o_custkey % 6 > 3 THEN CASE WHEN o_orderkey % 8 > 5 THEN 'role' || o_custkey % 6 || ',x' || o_orderkey % 8 ELSE 'role' || o_custkey % 6 END WHEN o_orderkey % 8 > 5 THEN 'x' || o_orderkey % 8 ELSE '' END AS unknown_roles,
+  CASE WHEN o_orderkey % 3 > 0 AND NOT EXISTS (FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING') THEN 'u' || o_custkey END AS unknown_user FROM orders""")
+def adhoc_personas(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    asked = t(spark, sf, "orders").select(k.alias("request_id"), F.array(F.concat(F.lit("role"), c % 6), F.concat(F.lit("x"), k % 8)).alias("app_roles"), F.when(k % 3 > 0, F.concat(F.lit("u"), c)).alias("user"))
+    roles = values(spark, [(f"role{i}",) for i in range(4)] + [(f"x{i}",) for i in range(6)], "role string")
+    users = t(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("u"), F.col("c_custkey")).alias("user"))
+    return policy.unknown_persona(asked, roles, users).withColumn("unknown_roles", F.array_join("unknown_roles", ","))
