@@ -251,14 +251,16 @@ def source_problems(sources: DataFrame, teams: DataFrame, levels: DataFrame, rol
 def inheritance_cycles(inherits: DataFrame) -> DataFrame:
     """(role, members): each role that inherits itself, with all roles of its cycles, itself included. inherits: (role, parent); nulls link nothing.
 
-    All ancestors of roles are found a level at a time until none is new, so the result doesn't depend on depth; roles of a policy are few.
+    What is found reaches twice as far each time, until nothing is new, so the result doesn't depend on depth; roles of a policy are few.
     """
-    edges = materialize(inherits.select("role", "parent").dropna().distinct(), "edges")
-    found = last = edges
-    while not last.isEmpty():
-        further = last.join(edges.toDF("parent", "next"), "parent").select("role", F.col("next").alias("parent")).distinct()
-        last = materialize(further.join(found, ["role", "parent"], "left_anti"), "ancestors")
-        found = materialize(found.unionByName(last), "found")
+    edges = inherits.select("role", "parent").dropna().distinct()
+    found = materialize(edges, "ancestors")
+    while True:
+        further = found.join(found.toDF("parent", "next"), "parent").select("role", F.col("next").alias("parent")).distinct()
+        new = materialize(further.join(found, ["role", "parent"], "left_anti"), "ancestors")
+        if new.isEmpty():
+            break
+        found = materialize(found.unionByName(new), "ancestors")
     back = found.select(F.col("parent").alias("role"), F.col("role").alias("parent"))
     return found.join(back, ["role", "parent"]).groupBy("role").agg(F.sort_array(F.collect_set("parent")).alias("members"))
 
