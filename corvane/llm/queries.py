@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
-from . import langid, lm, mixing, packing, pii, quality, search, secrets, simhash, warc
+from . import infill, langid, lm, mixing, packing, pii, quality, search, secrets, simhash, warc
 from .common import n_words
 from ..session import materialize
 
@@ -59,6 +57,8 @@ def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(materialize(pieces, "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -77,7 +77,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(secrets.join_spans(F.filter("secrets", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), secrets.join_spans(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_mixing": op5_mixing, "op6_search": op6_search, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_langid": op9_langid, "op10_secrets": op10_secrets}
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rebuilt = infill.restore(F.col("output"), F.col("form"))
+    return infill.transform(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_mixing": op5_mixing, "op6_search": op6_search, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_langid": op9_langid, "op10_secrets": op10_secrets, "op12_infill": op12_infill}
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -182,4 +188,17 @@ s AS (SELECT query, query_id, r, doc_id, sum(x * tf * 2.2 / (tf + 1.2 * (0.25 +
 SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_search": OP6_SQL, "op3_quality": OP3_SQL, "op7_pii": OP7_SQL, "op10_secrets": OP10_SQL}
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS us, list_transform(range(4), lambda k: ('0x' || substr(x, 8 * k + 1, 8))::BIGINT) AS h FROM d),
+c AS (SELECT doc_id, t, len(us)::BIGINT AS n, h,
+        array_to_string(us[1:least(h[1] % (len(us) + 1), h[2] % (len(us) + 1))], '') AS p,
+        array_to_string(us[1:greatest(h[1] % (len(us) + 1), h[2] % (len(us) + 1))], '') AS pm FROM u),
+f AS (SELECT *, substr(pm, length(p) + 1) AS m, substr(t, length(pm) + 1) AS s,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f
+"""
+
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_search": OP6_SQL, "op3_quality": OP3_SQL, "op7_pii": OP7_SQL, "op10_secrets": OP10_SQL, "op12_infill": OP12_SQL}
