@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import infill, langid, lm, mixing, packing, pii, quality, search, secrets, simhash, warc
+from . import infill, langid, lm, mixing, negatives, packing, pii, quality, search, secrets, simhash, warc
 from .common import n_words
 from ..session import materialize
 
@@ -83,7 +83,14 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.transform(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_mixing": op5_mixing, "op6_search": op6_search, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_langid": op9_langid, "op10_secrets": op10_secrets, "op12_infill": op12_infill}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(~F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    steps = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), steps.alias("embedding")), F.col("vec_id") % 50 == 0, "vec_id", "label", "embedding")
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_mixing": op5_mixing, "op6_search": op6_search, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_langid": op9_langid, "op10_secrets": op10_secrets, "op12_infill": op12_infill, "op13_negatives": op13_negatives}
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -201,4 +208,13 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS
 FROM f
 """
 
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_search": OP6_SQL, "op3_quality": OP3_SQL, "op7_pii": OP7_SQL, "op10_secrets": OP10_SQL, "op12_infill": OP12_SQL}
+OP13_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, id AS positive_id, s AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, id, b) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.a, anchor_id, positive_id, positive_score, id, s, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s DESC, id, s.b) AS k FROM p JOIN s ON p.a = s.a AND NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score)
+SELECT anchor_id, positive_id, k::INT AS rank, id AS negative_id, positive_score, s AS negative_score FROM n WHERE k <= 3
+"""
+
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_search": OP6_SQL, "op3_quality": OP3_SQL, "op7_pii": OP7_SQL, "op10_secrets": OP10_SQL, "op12_infill": OP12_SQL, "op13_negatives": OP13_SQL}
