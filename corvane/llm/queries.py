@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import infill, langid, lm, mixing, negatives, packing, pii, quality, search, secrets, simhash, warc
+from . import infill, langid, lm, mixing, negatives, packing, pii, quality, search, secrets, simhash, toxicity, warc
 from .common import n_words
 from ..session import materialize
 
@@ -77,6 +77,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(secrets.join_spans(F.filter("secrets", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), secrets.join_spans(F.col("secrets")).alias("spans"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.assess(docs, labels, drop=("text",)).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rebuilt = infill.restore(F.col("output"), F.col("form"))
@@ -90,7 +96,7 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.select("vec_id", label.alias("label"), steps.alias("embedding")), F.col("vec_id") % 50 == 0, "vec_id", "label", "embedding")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_mixing": op5_mixing, "op6_search": op6_search, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_langid": op9_langid, "op10_secrets": op10_secrets, "op12_infill": op12_infill, "op13_negatives": op13_negatives}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_mixing": op5_mixing, "op6_search": op6_search, "op7_pii": op7_pii, "op8_packing": op8_packing, "op9_langid": op9_langid, "op10_secrets": op10_secrets, "op11_toxicity": op11_toxicity, "op12_infill": op12_infill, "op13_negatives": op13_negatives}
 
 BLANK = r"[\x20\x09-\x0D]"
 
