@@ -1,9 +1,9 @@
 """Mixing sources to target weights: Sainte-Laguë quotas of equal-token blocks, then a seeded choice of blocks.
 
 A source's documents are dealt by hash to shards of about `shard_tokens`, and laid end to end in a
-seeded order within each. The line of a shard is cut into blocks of (nearly) `block` tokens. Blocks are
-awarded by highest quotients, first to the sources by their targets, then within a source to its shards
-by their tokens; so each shard has an integer quota. A quota of q of n blocks takes the whole
+seeded order within each. The line of a shard is cut into blocks of (nearly) `block` tokens, or a sixteenth of its source's target where that
+is less; no source changes the blocks of another. Blocks are awarded by highest quotients, first to the sources (those with blocks of one size among themselves) by
+their targets, then within a source to its shards by their tokens; so each shard has an integer quota. A quota of q of n blocks takes the whole
 line q // n times, and q % n blocks more: a run of blocks (round the end) from a seeded start. As the order
 is itself a seeded shuffle, a run is as good a draw as scattered blocks, and cuts three documents at most.
 
@@ -29,7 +29,7 @@ from .common import add_columns, n_words
 WEIGHTS = (5, 2, 1)
 SEED = 7
 BLOCK, SHARD_TOKENS = 64, 1_000_000
-#: Blocks that the smallest target is to have, where blocks of BLOCK would be too coarse for it.
+#: Blocks that each target is to have, where blocks of BLOCK would be too coarse for it.
 LEAST_BLOCKS = 16
 #: Places of the hash that are added up before sources are known, at least; there are as many as a 64th of the rows where that is more.
 PLACES = 1 << 20
@@ -79,12 +79,23 @@ def sainte_lague(votes: Sequence[float], seats: int) -> list[int]:
     return got.tolist()
 
 
+def quotas_of(goal: Sequence[float], block: int | None = None) -> tuple[list[int], list[int]]:
+    """Tokens in a block, and blocks, of each source: sources whose blocks are alike share the seats of their targets."""
+    size = [block or max(1, min(BLOCK, int(g / LEAST_BLOCKS))) for g in goal]
+    quota = [0] * len(size)
+    for b in set(size):
+        own = [i for i, x in enumerate(size) if x == b]
+        for i, q in zip(own, sainte_lague([goal[i] for i in own], round(sum(goal[i] for i in own) / b))):
+            quota[i] = q
+    return size, quota
+
+
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int | None = None, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, size: str | None = None) -> DataFrame:
     """Every row of `docs` with size, source_size, target, taken, and spans: array of {start, end}, the words taken, in order.
 
     A word twice in spans is taken twice. `size`: a column that already has the number of words.
-    Sources take the weights in turn, in the order of their code points, null last. `block`: BLOCK tokens, less where the
-    smallest target would have fewer than LEAST_BLOCKS of them.
+    Sources take the weights in turn, in the order of their code points, null last. `block`: BLOCK tokens, less for a source
+    whose target would have fewer than LEAST_BLOCKS of them.
     """
     places = 1 << max(PLACES.bit_length() - 1, (docs.count() // 64).bit_length())
     new = {"size", "source_size", "target", "taken", "spans"}
@@ -95,13 +106,12 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     rows = sorted(((r[0], r[1]) for r in sums.groupBy("s").agg(F.sum("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     names, sizes = [r[0] for r in rows], [r[1] for r in rows]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, most)
-    block = block or max(1, min(BLOCK, int(min((g for g in goal if g > 0), default=BLOCK) / LEAST_BLOCKS)))
-    quota = sainte_lague(goal, round(sum(goal) / block)) if rows else []
-    plan = docs.sparkSession.createDataFrame([(i, n, int(s), float(g), max(1, -(-s // shard_tokens)), int(q)) for i, (n, s, g, q) in enumerate(zip(names, sizes, goal, quota))], "__i int, __s string, source_size long, target double, __shards int, __quota long")
+    blocks, quota = quotas_of(goal, block)
+    plan = docs.sparkSession.createDataFrame([(i, n, int(s), float(g), max(1, -(-s // shard_tokens)), int(q), b) for i, (n, s, g, q, b) in enumerate(zip(names, sizes, goal, quota, blocks))], "__i int, __s string, source_size long, target double, __shards int, __quota long, __block long")
 
     def share_out(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__shard")
-        n = np.where(group["n"] > 0, np.maximum(1, np.rint(group["n"] / block)), 0).astype(np.int64)
+        n = np.where(group["n"] > 0, np.maximum(1, np.rint(group["n"] / group["block"])), 0).astype(np.int64)
         # No quota is above `most` times the blocks: what rounding gives beyond goes to the other shards.
         q = np.minimum(sainte_lague(group["n"].tolist(), int(group["quota"].iloc[0])), np.floor(most * n).astype(np.int64))
         spare = int(group["quota"].iloc[0]) - int(q.sum())
@@ -113,9 +123,9 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
 
     # `plan` has one row a source, made from the rows collected above.
     plan = F.broadcast(plan)
-    parts = sums.join(plan, sums.s.eqNullSafe(F.col("__s"))).groupBy("__i", (F.col("h") % F.col("__shards")).cast("int").alias("__shard")).agg(F.sum("n").alias("n"), F.first("__quota").alias("quota"))
+    parts = sums.join(plan, sums.s.eqNullSafe(F.col("__s"))).groupBy("__i", (F.col("h") % F.col("__shards")).cast("int").alias("__shard")).agg(F.sum("n").alias("n"), F.first("__quota").alias("quota"), F.first("__block").alias("block"))
     quotas = materialize(parts.groupBy("__i").applyInPandas(share_out, "__i int, __shard int, __tokens long, __blocks long, __q long"), "quotas")
-    placed = keyed.join(plan, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__s"))).withColumn("__shard", (F.pmod("__order", F.lit(places)) % F.col("__shards")).cast("int")).drop("__s", "__shards", "__quota")
+    placed = keyed.join(plan, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__s"))).withColumn("__shard", (F.pmod("__order", F.lit(places)) % F.col("__shards")).cast("int")).drop("__s", "__shards", "__quota", "__block")
     line = Window.partitionBy("__i", "__shard").orderBy("__order", F.col(f"`{key}`"), "size").rowsBetween(Window.unboundedPreceding, -1)
     at = placed.withColumn("__at", F.coalesce(F.sum("size").over(line), F.lit(0))).join(quotas, ["__i", "__shard"])
     # Whole rounds, and a run of blocks of the line, in tokens; it may go on past the end, from 0.

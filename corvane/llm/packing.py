@@ -1,7 +1,7 @@
 """Best-fit packing by sums of squares: a document goes where the squared counts of open bins per residual gap become smallest.
 
 Texts become token ids; a text of more than `length` ids is cut into pieces, the last of which may
-be shorter. Whole pieces fill a sequence each. The others are dealt by hash to groups of about `group` pieces;
+be shorter. Whole pieces fill a sequence each. The others are dealt by hash (of row and place, so that equal rows part) to groups of about `group` pieces;
 each group is packed in a task of its own, the longest piece first, so memory and time of a task are bounded.
 
 Defined results: a null text is empty and has the closing id only; repeated rows are packed like
@@ -147,7 +147,7 @@ def pack(pieces: DataFrame, capacity: int = LENGTH, group: int | None = None, si
         return table.drop_columns("__group").append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets))
 
     schema = T.StructType([*kept.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    dealt = short.withColumn("__group", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names if c != "ids"]), F.lit(n_groups)).cast("int")) if n_groups > 1 else short.withColumn("__group", F.lit(0))
+    dealt = short.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *[F.col(f"`{c}`") for c in names if c != "ids"]), F.lit(n_groups)).cast("int")) if n_groups > 1 else short.withColumn("__group", F.lit(0))
     packed = dealt.groupBy("__group").applyInArrow(together, schema)
     # Numbers of whole pieces are below 0: they meet no other.
     whole = kept.where(F.col(size) >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

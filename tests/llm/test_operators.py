@@ -438,3 +438,16 @@ def test_search_prunes_and_stays_exact():
         assert [(-x, i) for x, i in zip(best[0].tolist(), best[1].tolist())] == [(pytest.approx(s, abs=2e-9), i) for s, i in every]
     total = lambda of: sum(getattr(s.seen, of) for s in shards)
     assert total("walked") + total("looked_up") < 0.7 * total("postings") and total("blocks_scored") < total("blocks")
+
+
+def test_a_tiny_source_changes_no_other_blocks():
+    sizes, quota = mixing.quotas_of([60_000.0, 40_000.0, 5.0, 0.0])
+    assert sizes == [mixing.BLOCK, mixing.BLOCK, 1, 1] and quota[2:] == [5, 0]
+    assert quota[:2] == mixing.sainte_lague([60_000.0, 40_000.0], round(100_000 / mixing.BLOCK))
+
+
+def test_equal_rows_are_packed_in_many_groups(spark):
+    pieces = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit(0).alias("piece"), F.lit(700).cast("long").alias("length"))
+    found = packing.pack(pieces, group=100).select("sequence_id", "length").collect()
+    groups = Counter(r.sequence_id >> 32 for r in found)
+    assert len(groups) > 20 and max(groups.values()) < 200 and max(Counter(r.sequence_id for r in found).values()) <= 2
