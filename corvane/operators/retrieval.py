@@ -63,14 +63,18 @@ def fuse(rankings: DataFrame) -> DataFrame:
     return rankings.groupBy("id").agg(F.sum(1 / (RRF + F.col("rank"))).alias("score"), F.min("rank").alias("best"), F.sort_array(F.collect_set("list")).alias("lists"))
 
 
-def hybrid_search(chunks: DataFrame, query: list[float], terms: list[str], k: int, key: str = "chunk_id") -> DataFrame:
-    """The k best by cosine plus keyword bonus. The score returned is the cosine; via: vector, keyword or both. An empty query finds nothing."""
+def hybrid_search(chunks: DataFrame, query: list[float], terms: list[str], k: int, key: str = "chunk_id", matches: DataFrame | None = None) -> DataFrame:
+    """The k best by cosine plus keyword bonus. The score returned is the cosine; via: vector, keyword or both. An empty query finds nothing.
+
+    `matches`: (key, rank) of the terms from a stored index, at most CANDIDATES rows; without it every text is scanned.
+    """
     if not query and not terms:
         return chunks.limit(0).select(key, *[c for c in chunks.columns if c != key], F.lit(0.0).alias("score"), F.lit("").alias("via"), F.lit(0.0).alias("order_score"))
     k = max(1, min(k, MOST_HITS))
     vector = vector_top_k(chunks, query, max(k, CANDIDATES) if terms else k, key).withColumn("__v", F.lit(True))
     columns = [c for c in chunks.columns if c != key]
-    keyword = keyword_rank(chunks, terms, key=key).withColumn("score", cosine(F.col("embedding"), query))
+    found = keyword_rank(chunks, terms, key=key) if matches is None else chunks.join(F.broadcast(matches.select(key, "rank").limit(CANDIDATES)), key)
+    keyword = found.withColumn("score", cosine(F.col("embedding"), query))
     # Two lists of at most CANDIDATES rows.
     v = vector.select(key, F.struct(*columns, "score").alias("v"))
     w = keyword.select(key, F.struct(*columns, "score").alias("w"), "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import more, queries  # noqa: F401
+from .plans import indexes, more, queries  # noqa: F401
 
 QUERIES: dict = dict(queries.QUERIES)
 ORACLE_SQL: dict = dict(queries.ORACLE_SQL)
