@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import keyword_index
+from ..operators import keyword_index, vector_index
 from .queries import CEILING_VALUES, CEILINGS, ORACLE_SQL, docs, query, t, values
 
 WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -33,3 +33,15 @@ def keyword_index_search(spark, sf):
     searches = t(spark, sf, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("search"), F.concat(text.identifier_terms(F.col("text")), long_words).alias("terms"))
     index = keyword_index.read_index(spark, folder, values(spark, CEILINGS, "source_id string, ceiling int"))
     return keyword_index.search(index, searches).select("search", "chunk_id", "covers", F.round("keyword_score", 6).alias("keyword_score"), "rank")
+
+
+@query()
+def vector_index_search(spark, sf):
+    """The ten best permitted chunks for every vector whose id is divisible by 50, from as many lists as measurement asks for; its recall is tested against brute force."""
+    ranked = t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("source_id"), F.pmod("doc_id", F.lit(4)).alias("classification_rank"))
+    chunks = t(spark, sf, "embeddings").join(ranked, "vec_id").select(F.col("vec_id").alias("chunk_id"), "source_id", F.col("classification_rank").cast("int").alias("classification_rank"), "embedding")
+    folder = vector_index.write_index(chunks)
+    searches = t(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("search"), F.col("embedding").alias("vector"))
+    policy = values(spark, CEILINGS, "source_id string, ceiling int")
+    found = vector_index.search(spark, folder, searches, policy, opened=vector_index.opened_for(spark, folder, searches, policy))
+    return found.select("search", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
