@@ -55,6 +55,12 @@ def plain(text: Column, most: int) -> Column:
     return F.when(F.length(bare) > most, F.concat(F.left(bare, F.lit(most - 1)), F.lit("…"))).otherwise(bare)
 
 
+def clean(text: Column, most: int) -> Column:
+    """Without control and direction characters (line ends and tabs stay) and outer white space; what is cut off shows as an ellipsis. Null is empty."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?![\\t\\n]){CONTROL}", " "), r"(?U)^\s+|\s+\z", "")
+    return F.when(F.length(bare) > most, F.concat(F.left(bare, F.lit(most - 1)), F.lit("…"))).otherwise(bare)
+
+
 def safe_url(url: Column, most: int = 2048) -> Column:
     """The URL if it is http or https in any case, has a host, no blank or control character, and at most `most` characters; else null."""
     host = F.try_parse_url(url, F.lit("HOST"))
@@ -80,7 +86,10 @@ def correlation_id(raw: Column) -> Column:
 
 
 def uuid_or_null(raw: Column) -> Column:
-    return F.when(raw.rlike("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"), F.lower(raw))
+    """The canonical form of a UUID with or without hyphens, braces, and `urn:` and `uuid:` before it; null for anything else."""
+    bare = F.replace(F.replace(raw, F.lit("urn:")), F.lit("uuid:"))
+    digits = F.lower(F.replace(F.trim(bare, F.lit("{}")), F.lit("-")))
+    return F.when(digits.rlike(r"^[0-9a-f]{32}\z"), F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
 def user_key(oid: Column) -> Column:
@@ -198,7 +207,10 @@ def deep_link(provider: Column, location: Column, commit: Column, path: Column)
     host = F.regexp_extract(location, "^(https://[^/]+)", 1)
     parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(location, "^https://[^/]+", ""), r"\.git/*$", ""), "/"), lambda x: x != "")
     nth = lambda k: F.get(parts, F.size(parts) - k)
-    quoted = F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
+    # url_encode is that of forms: a path keeps its slashes and ~, and * is escaped.
+    quoted = F.url_encode(path)
+    for form, of_paths in (("%2F", "/"), ("+", "%20"), ("%7E", "~"), ("*", "%2A")):
+        quoted = F.replace(quoted, F.lit(form), F.lit(of_paths))
     repo = F.concat_ws("/", host, nth(2), nth(1))
     root = F.concat_ws("/", host, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 3, F.lit(0))), "/"))
     return F.when(location.startswith("https://") & (F.size(parts) >= 2), F.when(provider == "github", F.concat_ws("/", repo, F.lit("blob"), commit, quoted)).when(provider == "bitbucket-cloud", F.concat_ws("/", repo, F.lit("src"), commit, quoted)).when(

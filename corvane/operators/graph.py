@@ -117,8 +117,9 @@ def write_graph(entities: DataFrame, relations: DataFrame, known: DataFrame) ->
 
 
 def cache_key(version: str, model: str, types: list[str], relations: list[str], text: Column) -> Column:
-    """One key for the same text under the same extractor."""
-    return F.sha2(F.to_json(F.array(F.lit(version), F.lit(model), F.lit(",".join(sorted(types))), F.lit(",".join(sorted(relations))), text)), 256)
+    """One key for the same text under the same extractor; the order of types and relations doesn't matter."""
+    texts = lambda names: F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")
+    return F.sha2(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(model).alias("model"), texts(types).alias("types"), texts(relations).alias("relations"), F.coalesce(text, F.lit("")).alias("text"))), 256)
 
 
 def cache_lookup(chunks: DataFrame, cache: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 SEVERITIES = ("blocker", "major", "nit")
 
 
@@ -15,10 +17,14 @@ def citations(hits: DataFrame, most: int) -> DataFrame:
     return by.orderBy("first").limit(most).crossJoin(total).drop("first")
 
 
+#: Characters of a finding's texts (fixed values).
+FINDING_LENGTHS = {"title": 200, "detail": 1500, "where": 200, "suggestion": 1000}
+
+
 def clean_findings(found: DataFrame) -> DataFrame:
-    """Known severities, lower-cased and trimmed; texts cut to their lengths."""
+    """Known severities, lower-cased and trimmed; title, detail, where and suggestion cleaned and cut, those that there are."""
     s = F.lower(F.trim("severity"))
-    return found.withColumn("severity", s).where(s.isin(*SEVERITIES)).withColumns({"title": F.left("title", F.lit(200)), "detail": F.left("detail", F.lit(1500))})
+    return found.withColumn("severity", s).where(s.isin(*SEVERITIES)).withColumns({c: text.clean(F.col(f"`{c}`"), most) for c, most in FINDING_LENGTHS.items() if c in found.columns})
 
 
 def severity_rank(c: Column) -> Column:

@@ -149,11 +149,18 @@ def audit_records(spark, sf):
     return seen(spark, sf).select("call_id", audit.record("tools_list", F.concat(F.lit("u"), F.col("call_id") % 9)).alias("line"))
 
 
-@query("""WITH x AS (SELECT event_id, user_id % 9 AS k FROM events) SELECT event_id, CASE WHEN k = 0 THEN 'missing' WHEN k = 1 THEN 'missing' WHEN k = 2 THEN 'scheme' WHEN k = 3 THEN 'malformed' WHEN event_id % 2 = 0 THEN 'expired' WHEN event_id % 3 = 0 THEN 'issuer' END AS problem FROM x""")
+REASONS = ["missing_token", "malformed_token", "malformed_token", "malformed_token", "blocked", "expired", "wrong_tenant", "wrong_issuer", "wrong_audience", "missing_scope", "invalid_token"]
+
+
+@query("SELECT event_id, CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(REASONS)) + " END AS problem FROM events")
 def auth_failures(spark, sf):
-    k, e = F.col("user_id") % 9, F.col("event_id")
-    header = F.when(k == 1, " ").when(k == 2, "Basic abc").when(k == 3, "Bearer abc").when(k > 3, "bearer aa.bb.cc")
-    return t(spark, sf, "events").select("event_id", audit.auth_failure(header, e % 2 == 0, e % 3 != 0).alias("problem"))
+    """Each event has a header of its own; tokens lack one claim more each, from the last to the fourth."""
+    k = F.col("event_id") % 11
+    claim = lambda name, at, good, bad: F.concat(F.lit(f',"{name}":'), F.when(k == at, bad).otherwise(good))
+    body = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), claim("oid", 4, '"U1"', '"B2"'), claim("exp", 5, "2000", "999.5"), claim("tid", 6, '"t"', "null"), claim("iss", 7, '"i"', '"j"'), claim("aud", 8, '"a"', '"c"'), claim("scp", 9, '"read write"', '"write"'), F.lit("}"))
+    token = F.concat(F.lit("bearer aa."), F.translate(F.base64(body.cast("binary")), "+/=\r\n", "-_"), F.lit(".cc"))
+    header = F.when(k == 1, " ").when(k == 2, "Basic abc").when(k == 3, "Bearer abc").when(k > 3, token)
+    return t(spark, sf, "events").select("event_id", audit.auth_failure(header, F.lit(1000.0), ["b2"], "t", "i", ["a", "b"], ["read"]).alias("problem"))
 
 
 # Extraction: a customer is a document; its orders name entities of a few types, and relations between them.
@@ -246,7 +253,7 @@ def comment_cleaning(spark, sf):
 
 
 @query("""SELECT p_partkey, left(p_name, 12) AS cut, length(p_name) > 12 AS truncated, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END::INT AS rank, 'bkt' || p_partkey % 3 AS bucket, CASE WHEN p_partkey % 2 = 0 THEN 'a/b/' ELSE '' END AS prefix,
-  CASE p_partkey % 4 WHEN 0 THEN 'https://h.x/o/r' || p_partkey || '/blob/c1/d%20e/f.py' WHEN 1 THEN 'https://h.x/o/r' || p_partkey || '/src/c1/d%20e/f.py' WHEN 2 THEN 'https://h.x/ctx/projects/O/repos/r' || p_partkey || '/browse/d%20e/f.py?at=c1' END AS link,
+  CASE p_partkey % 4 WHEN 0 THEN 'https://h.x/o/r' || p_partkey || '/blob/c1/d%20e/~f%2A.py' WHEN 1 THEN 'https://h.x/o/r' || p_partkey || '/src/c1/d%20e/~f%2A.py' WHEN 2 THEN 'https://h.x/ctx/projects/O/repos/r' || p_partkey || '/browse/d%20e/~f%2A.py?at=c1' END AS link,
   'n' || p_partkey AS field, 'title: t' || p_partkey || chr(10) AS meta, 'rest' || p_partkey AS under FROM part""")
 def source_texts(spark, sf):
     k = F.col("p_partkey")
@@ -261,7 +268,7 @@ def source_texts(spark, sf):
     front = text.frontmatter(page)
     return t(spark, sf, "part").select(
         "p_partkey", cut["text"].alias("cut"), cut["truncated"].alias("truncated"), rank.cast("int").alias("rank"), bucket["bucket"].alias("bucket"), bucket["prefix"].alias("prefix"),
-        text.deep_link(provider, location, F.lit("c1"), F.lit("d e/f.py")).alias("link"), text.named_value(json, "f").alias("field"), front["meta"].alias("meta"), text.section_under(front["body"], "Notes").alias("under"))
+        text.deep_link(provider, location, F.lit("c1"), F.lit("d e/~f*.py")).alias("link"), text.named_value(json, "f").alias("field"), front["meta"].alias("meta"), text.section_under(front["body"], "Notes").alias("under"))
 
 
 @query(f"""WITH {MEMBERS_SQL}, h AS (SELECT c_custkey AS persona, 0 AS n, lower(left(c_mktsegment || ' in ' || n_name, 200)) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey), k(team, keyword) AS (VALUES ('team0', 'building'), ('team1', 'france'), ('team1', 'machinery'), ('team2', 'in'), ('team2', 'building'), ('team3', 'furniture in'), ('team4', 'household')),
