@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import keyword_index, vector_index
+from ..operators import keyword_index, store, vector_index
+from ..session import scratch
 from .queries import CEILING_VALUES, CEILINGS, ORACLE_SQL, docs, query, t, values
 
 WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -45,3 +46,36 @@ def vector_index_search(spark, sf):
     policy = values(spark, CEILINGS, "source_id string, ceiling int")
     found = vector_index.search(spark, folder, searches, policy, opened=vector_index.opened_for(spark, folder, searches, policy))
     return found.select("search", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
+
+
+SCHEMAS = {
+    "documents": "document_id long, source_id string, path string",
+    "chunks": "chunk_id long, document_id long, source_id string",
+    "entities": "entity_id long, source_id string, key string",
+    "mentions": "entity_id long, chunk_id long, source_id string",
+    "edges": "src_id long, dst_id long, relation string, chunk_id long, source_id string",
+}
+
+
+@query("""WITH d AS (SELECT doc_id AS document_id, source AS source_id FROM documents WHERE source IS NOT NULL AND doc_id % 3 <> 0),
+c AS (SELECT document_id AS chunk_id, source_id, substr(source_id, 4)::BIGINT * 100 AS base, label FROM d JOIN embeddings ON vec_id = document_id),
+m AS (SELECT base + label AS entity_id, chunk_id, source_id FROM c UNION SELECT base + (label + 1) % 10, chunk_id, source_id FROM c),
+rows AS (SELECT 'documents' AS "table", source_id, document_id AS id FROM d UNION ALL SELECT 'chunks', source_id, chunk_id FROM c UNION ALL SELECT DISTINCT 'entities', source_id, entity_id FROM m
+  UNION ALL SELECT 'mentions', source_id, chunk_id FROM m UNION ALL SELECT 'edges', source_id, base + label FROM c)
+SELECT "table", source_id, count(*) AS n, sum(id)::BIGINT AS ids FROM rows GROUP BY ALL""")
+def store_deletes(spark, sf):
+    """All documents with chunks, entities, mentions and edges are written, then every third document is deleted with what hangs on it: what the store holds after that."""
+    d = t(spark, sf, "documents").where("source is not null").select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.concat_ws("/", "source", "doc_id").alias("path"))
+    c = d.join(t(spark, sf, "embeddings").withColumnRenamed("vec_id", "document_id"), "document_id").select(F.col("document_id").alias("chunk_id"), "document_id", "source_id", (F.substr("source_id", F.lit(4)).cast("long") * 100).alias("base"), "label")
+    mentions = c.select(F.explode(F.array(F.col("base") + F.col("label"), F.col("base") + (F.col("label") + 1) % 10)).alias("entity_id"), "chunk_id", "source_id").distinct()
+    entities = mentions.select("entity_id", "source_id", F.col("entity_id").cast("string").alias("key")).distinct()
+    edges = c.select((F.col("base") + F.col("label")).alias("src_id"), (F.col("base") + (F.col("label") + 1) % 10).alias("dst_id"), F.lit("near").alias("relation"), "chunk_id", "source_id")
+    root = scratch(spark, "store")
+    store.replace_documents(spark, root, SCHEMAS, d.select("source_id", "path").limit(0), {"documents": d, "chunks": c, "entities": entities, "mentions": mentions, "edges": edges})
+    store.replace_documents(spark, root, SCHEMAS, d.where("document_id % 3 = 0").select("source_id", "path"))
+    key = {"documents": "document_id", "chunks": "chunk_id", "entities": "entity_id", "mentions": "chunk_id", "edges": "src_id"}
+    held = [store.read(spark, root, name, SCHEMAS[name]).select(F.lit(name).alias("table"), "source_id", F.col(key[name]).alias("id")) for name in store.TABLES]
+    whole = held[0]
+    for each in held[1:]:
+        whole = whole.unionByName(each)
+    return whole.groupBy("table", "source_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
