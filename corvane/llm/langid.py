@@ -53,14 +53,15 @@ def features(text: str) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, steps: int = 150) -> np.ndarray:
     """Weights (the last is the bias) of a linear SVM with squared hinge loss, y in {-1, 1}; classes count alike."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    # Features stay in single precision, since the driver fits: weights are doubles, and only products are rounded.
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     c = penalty * np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    lipschitz = 1 + 2 * (c * (x**2).sum(1)).sum()
+    lipschitz = 1 + 2 * float(c @ np.einsum("ij,ij->i", x, x))
     w = ahead = np.zeros(x.shape[1])
     t = 1.0
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        nxt = ahead - (ahead * 0.01 - 2 * x.T @ (c * y * slack)) / lipschitz
+        slack = np.maximum(0, 1 - y * (x @ ahead.astype(x.dtype)))
+        nxt = ahead - (ahead * 0.01 - 2 * (x.T @ (c * y * slack).astype(x.dtype))) / lipschitz
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead = nxt + (t - 1) / t_next * (nxt - w)
         w, t = nxt, t_next
@@ -114,6 +115,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
     x = np.array([np.frombuffer(r[1], np.float32) for r in rows]).reshape(-1, DIMENSIONS)
     y = np.array([r[0] for r in rows])
+    del rows
     languages: dict[str, list[str]] = {}
     for lang in sorted(set(y.tolist())):
         languages.setdefault(family(lang), []).append(lang)
