@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,11 @@ def walk(seeds: DataFrame, pairs: DataFrame, hops: int, most: int = MOST_KEYS) -
 
 
 def edges_among(keys: DataFrame, entities: DataFrame, edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
-    """Distinct (src, relation, dst) names of edges whose ends both have one of the keys."""
+    """Distinct (src, relation, dst) names of edges whose ends both have one of the keys; where edges have a source_id, equal edges of two sources are two."""
     own = entities.join(keys.select("key"), "key", "left_semi").select("entity_id", "name")
     ends = edges.join(own.select(F.col("entity_id").alias("src_id"), F.col("name").alias("src")), "src_id").join(own.select(F.col("entity_id").alias("dst_id"), F.col("name").alias("dst")), "dst_id")
-    return ends.select("src", "relation", "dst").distinct().orderBy("src", "relation", "dst").limit(most)
+    names = ["src", "relation", "dst", *(["source_id"] if "source_id" in edges.columns else [])]
+    return ends.select(*names).distinct().orderBy(*names).limit(most)
 
 
 def seeds(best: DataFrame, entities: DataFrame, mentions: DataFrame, question: str) -> DataFrame:
@@ -49,18 +52,37 @@ def seeds(best: DataFrame, entities: DataFrame, mentions: DataFrame, question: s
     return mentioned.unionByName(named).distinct()
 
 
+@dataclass(frozen=True)
+class Found:
+    """What one walk gives: hits in order, seeds (key), reached (key, depth)."""
+
+    hits: DataFrame
+    seeds: DataFrame
+    reached: DataFrame
+
+
 def graph_search(chunks: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, query: list[float], terms: list[str], question: str, k: int, hops: int, boost: list[str] = ()) -> DataFrame:
-    """The k best chunks, one a document: vector and keyword candidates, and chunks reached through the graph.
+    """The hits of search(): the k best chunks, one a document."""
+    return search(chunks, entities, mentions, edges, query, terms, question, k, hops, boost).hits
+
 
-    The score returned has all bonuses: of the depth, the keyword rank and the glossary sources.
+def search(chunks: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, query: list[float], terms: list[str], question: str, k: int, hops: int, boost: list[str] = ()) -> Found:
+    """The k best chunks (1 to 20), one a document: vector and keyword candidates, and chunks reached through the graph, with the walk that reached them.
+
+    The score of a hit has all bonuses: of the depth, the keyword rank and the glossary sources. A blank question finds nothing.
     """
+    k = max(1, min(int(k), retrieval.MOST_HITS))
+    if not question.strip():
+        none = F.lit(None)
+        return Found(chunks.limit(0).withColumns({"score": F.lit(0.0), "via": F.lit("")}), entities.limit(0).select("key"), entities.limit(0).select("key", none.cast("int").alias("depth")))
     # Two lists of at most CANDIDATES rows, written, since all that follows looks at them again.
     vector = materialize(retrieval.vector_top_k(chunks, query, retrieval.CANDIDATES).select("chunk_id", "score"), "vector")
     keyword = materialize(retrieval.keyword_rank(chunks, terms).select("chunk_id", "rank"), "keyword")
     ranked = vector.select("chunk_id", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).alias("rank"), F.lit(0).alias("list"))
     fused = retrieval.fuse(ranked.unionByName(keyword.withColumn("list", F.lit(1))).withColumnRenamed("chunk_id", "id"))
     best = fused.orderBy(F.desc("score"), "best", "id").limit(3).select(F.col("id").alias("chunk_id"))
-    reached = materialize(walk(seeds(best, entities, mentions, question), neighbours(entities, edges), hops), "reached")
+    begun = materialize(seeds(best, entities, mentions, question), "seeds")
+    reached = materialize(walk(begun, neighbours(entities, edges), hops), "reached")
     by_graph = entities.join(reached, "key").join(mentions, "entity_id").groupBy("chunk_id").agg(F.min("depth").alias("depth"))
     ids = fused.select(F.col("id").alias("chunk_id"), "lists").join(by_graph, "chunk_id", "full_outer").join(keyword, "chunk_id", "left")
     rows = chunks.join(broadcast_if_small(materialize(ids, "ids")), "chunk_id").withColumn("cosine", retrieval.cosine(F.col("embedding"), query))
@@ -68,7 +90,27 @@ def graph_search(chunks: DataFrame, entities: DataFrame, mentions: DataFrame, ed
     glossary = F.when(F.col("source_id").isin(*boost), GLOSSARY_BONUS).otherwise(0.0) if boost else F.lit(0.0)
     via = F.when(F.col("depth").isNotNull(), "graph").when(F.size("lists") > 1, "both").when(F.get("lists", F.lit(0)) == 0, "vector").otherwise("keyword")
     scored = rows.withColumns({"score": F.col("cosine") + depth_bonus + retrieval.keyword_bonus(F.col("rank")) + glossary, "via": via})
-    return retrieval.one_per_document(scored, k, [F.desc("score"), F.col("chunk_id")])
+    return Found(retrieval.one_per_document(scored, k, [F.desc("score"), F.col("chunk_id")]), begun, reached)
+
+
+def answer(chunks: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, query: list[float], terms: list[str], question: str, k: int, hops: int, boost: list[str] = ()) -> DataFrame:
+    """One row with all that a question finds, from one walk:
+
+    results, the hits by falling score (source, path, heading, score to four places, via, snippet); seeds, keys in order; entities, at most
+    MOST_KEYS by key and source (name, type, source, hops, description); relations, at most MOST_EDGES by name (from, relation, to, source).
+    A blank question has four empty arrays. The tables must be those that the caller may read; entities and edges have a source_id.
+    """
+    found = search(chunks, entities, mentions, edges, query, terms, question, k, hops, boost)
+    hit = F.struct(F.col("source_id").alias("source"), "path", "heading", F.round("score", 4).alias("score"), "via", F.col("content").alias("snippet"))
+    # Each part is bounded, by k, MOST_KEYS, MOST_EDGES, or the keys that three chunks and a question name.
+    results = found.hits.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "chunk_id", hit.alias("hit")))), lambda x: x["hit"]).alias("results"))
+    keys = found.seeds.agg(F.array_sort(F.collect_set("key")).alias("seeds"))
+    near = entities.join(F.broadcast(found.reached), "key").orderBy("key", "source_id", "entity_id").limit(MOST_KEYS)
+    entity = F.struct("name", "type", F.col("source_id").alias("source"), F.col("depth").alias("hops"), "description")
+    named = near.agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "source_id", "entity_id", entity.alias("e")))), lambda x: x["e"]).alias("entities"))
+    relation = F.struct(F.col("src").alias("from"), "relation", F.col("dst").alias("to"), F.col("source_id").alias("source"))
+    joined = edges_among(found.reached, entities, edges).agg(F.array_sort(F.collect_list(relation)).alias("relations"))
+    return results.crossJoin(keys).crossJoin(named).crossJoin(joined)  # four tables of one row
 
 
 def merge_entities(mentioned: DataFrame, order: Column) -> DataFrame:

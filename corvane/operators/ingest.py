@@ -16,30 +16,32 @@ def classify_file(content: Column, length: Column) -> Column:
     return F.when(pdf, "pdf").when(text, "text")
 
 
-def changes(items: DataFrame, stored: DataFrame, listing_complete: bool = True, force: bool = False) -> DataFrame:
-    """(path, action) for every item and every stored document.
+def changes(items: DataFrame, stored: DataFrame, listing_complete: bool | str = True, force: bool = False, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys, action, known) for every item and every stored document.
 
-    items: (path, content_hash, title, url, restricted); stored: (path, content_hash, title, url). Restricted items are
-    never written, and their stored copies go. After a listing that failed nothing is deleted.
+    items: (keys, content_hash, title, url, restricted); stored: (keys, content_hash, title, url). Restricted items are
+    never written, and their stored copies go. After a listing that failed nothing is deleted; `listing_complete` may name a column of
+    `stored` that says so for each document.
     """
-    old = stored.select("path", *[F.col(c).alias(f"old_{c}") for c in ("content_hash", "title", "url")], F.lit(True).alias("known"))
-    joined = items.withColumn("listed", F.lit(True)).join(old, "path", "full_outer")
+    goes = F.lit(listing_complete) if isinstance(listing_complete, bool) else F.coalesce(F.col(listing_complete), F.lit(False))
+    old = stored.select(*keys, *[F.col(c).alias(f"old_{c}") for c in ("content_hash", "title", "url")], F.lit(True).alias("known"), goes.alias("goes"))
+    joined = items.withColumn("listed", F.lit(True)).join(old, list(keys), "full_outer")
     same = F.col("content_hash").eqNullSafe(F.col("old_content_hash")) & F.col("known")
     action = (
-        F.when(F.col("listed").isNull(), DELETED if listing_complete else UNCHANGED)
+        F.when(F.col("listed").isNull(), F.when(F.col("goes"), DELETED).otherwise(UNCHANGED))
         .when(F.col("restricted"), RESTRICTED)
         .when(F.lit(force) | ~F.coalesce(same, F.lit(False)), CHANGED)
         .when(~(F.col("title").eqNullSafe(F.col("old_title")) & F.col("url").eqNullSafe(F.col("old_url"))), METADATA)
         .otherwise(UNCHANGED)
     )
-    return joined.select("path", action.alias("action"), F.coalesce("known", F.lit(False)).alias("known"))
+    return joined.select(*keys, action.alias("action"), F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def counters(actions: DataFrame) -> DataFrame:
-    """One row: how many of each action; a restricted item that was stored counts as deleted too."""
+def counters(actions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of `by`: how many of each action; a restricted item that was stored counts as deleted too."""
     n = lambda c, name: F.count_if(c).alias(name)
     a = F.col("action")
-    return actions.agg(n(a == CHANGED, "changed"), n(a == METADATA, "metadata"), n(a == UNCHANGED, "unchanged"), n(a == RESTRICTED, "restricted"), n((a == DELETED) | ((a == RESTRICTED) & F.col("known")), "deleted"))
+    return actions.groupBy(*by).agg(n(a == CHANGED, "changed"), n(a == METADATA, "metadata"), n(a == UNCHANGED, "unchanged"), n(a == RESTRICTED, "restricted"), n((a == DELETED) | ((a == RESTRICTED) & F.col("known")), "deleted"))
 
 
 def replace_documents(table: DataFrame, gone: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,6 +20,8 @@ from . import ingest
 
 DOCUMENTS, CHUNKS, ENTITIES, MENTIONS, EDGES = TABLES = ("documents", "chunks", "entities", "mentions", "edges")
 MANIFEST = "table string, source_id string, folder string"
+#: Marks stand in the manifest as rows of no table: their name as source_id, their value as folder.
+MARKS = ""
 
 
 def finished(spark: SparkSession, root: str) -> list[int]:
@@ -48,11 +50,17 @@ def read(spark: SparkSession, root: str, table: str, schema: str, sources: Seque
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], sources: DataFrame) -> int:
+def marks(spark: SparkSession, root: str) -> dict[str, str]:
+    """The marks of the newest state: one for each stream, and one for each source that has a cursor."""
+    return {r.source_id: r.folder for r in manifest(spark, root).where(F.col("table") == MARKS).collect()}
+
+
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], sources: DataFrame, new_marks: dict[str, str | None] | None = None) -> int:
     """Replace what the `sources` (source_id) hold in the given tables, all at once; the number of the new state.
 
-    A source of which a table has no row is gone from that table. Rows of other sources in `tables` are an error.
+    A source of which a table has no row is gone from that table. Rows of other sources in `tables` are an error. `new_marks` are set in the same state, those of null go.
     """
+    new_marks = new_marks or {}
     states, old = finished(spark, root), manifest(spark, root)
     changed = sources.select("source_id").distinct()
     run, named = uuid.uuid4().hex, []
@@ -67,8 +75,8 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], sources
         if not each.join(changed, "source_id", "left_anti").isEmpty():
             raise ValueError("rows of sources that aren't among those that change")
     stays = old.join(changed, "source_id", "left_anti").unionByName(old.where(~F.col("table").isin(list(tables))).join(changed, "source_id", "left_semi"))
-    whole = stays.select("table", "source_id", "folder")
-    for each in named:
+    whole = stays.select("table", "source_id", "folder").where(~((F.col("table") == MARKS) & F.col("source_id").isin(list(new_marks))))
+    for each in [*named, spark.createDataFrame([(MARKS, k, v) for k, v in new_marks.items() if v is not None], MANIFEST)]:
         whole = whole.unionByName(each)
     number = (states[-1] if states else 0) + 1
     # Fails where another write has finished, or begun to finish, this number.
@@ -109,7 +117,7 @@ def replace_documents(spark: SparkSession, root: str, schemas: dict[str, str], g
 
 def sync_sources(spark: SparkSession, root: str, schemas: dict[str, str], ranks: DataFrame) -> int:
     """Ranks as the registry (source_id, new_rank) has them, in all tables that differ; sources that it doesn't name go with all their rows."""
-    there = manifest(spark, root).select("source_id").distinct()
+    there = manifest(spark, root).where(F.col("table") != MARKS).select("source_id").distinct()
     removed = there.join(ranks, "source_id", "left_anti")
     held = {t: read(spark, root, t, schemas[t]) for t in TABLES}
     differ = held[DOCUMENTS].select("source_id", "classification_rank").distinct().join(ranks, "source_id").where("not classification_rank <=> new_rank").select("source_id")

@@ -1,13 +1,14 @@
-"""Queries of the stored indexes, each with its SQL. The index is written from the whole table, and searched with every document whose id is divisible by 50."""
+"""Queries of the stored indexes, the store and the whole graph answer, each with its SQL. The index is written from the whole table, and searched with every document whose id is divisible by 50."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import keyword_index, store, vector_index
+from ..operators import extraction, graph, keyword_index, scope, store, vector_index
 from ..session import scratch
-from .queries import CEILING_VALUES, CEILINGS, ORACLE_SQL, docs, query, t, values
+from ..streaming import ingest as stream
+from .queries import CEILING_VALUES, CEILINGS, CHUNKS_SQL, COSINE_SQL, ENTITIES_SQL, KEYWORD_SQL, ORACLE_SQL, TERMS, VECTOR, chunks, docs, edges, entities, query, t, values
 
 WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 #: Letters of a word that is searched for beside the identifiers.
@@ -79,3 +80,101 @@ def store_deletes(spark, sf):
     for each in held[1:]:
         whole = whole.unionByName(each)
     return whole.groupBy("table", "source_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+QUESTION = "Which supplier is in France, and what is part of Europe?"
+
+
+@query(rf"""WITH RECURSIVE {CHUNKS_SQL.replace("source || '/' || doc_id AS path", "source || '/' || (doc_id // 3) AS path")}, {KEYWORD_SQL}, {ENTITIES_SQL},
+own AS (SELECT entity_id + 10000000000 * n AS id, entity_id AS base, name, key, 'src' || n AS source_id, CASE WHEN entity_id >= 2000000000 THEN 'region' WHEN entity_id >= 1000000000 THEN 'nation' ELSE 'supplier' END AS type FROM entities, (VALUES (0), (1)) v(n)),
+cos AS (SELECT chunk_id, source_id, path, {COSINE_SQL} AS score FROM chunks), vec AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM cos QUALIFY rank <= 20),
+lists AS (SELECT chunk_id, sum(1 / (60 + rank)) AS f, min(rank) AS best, count(*) AS n, min(l) AS l FROM (SELECT chunk_id, rank, 0 AS l FROM vec UNION ALL SELECT chunk_id, rank, 1 FROM keyword) GROUP BY chunk_id),
+top AS (SELECT chunk_id FROM lists ORDER BY f DESC, best, chunk_id LIMIT 3),
+seeds AS (SELECT key FROM own JOIN top ON base = chunk_id UNION SELECT key FROM own WHERE length(key) >= 4 AND contains('-which-supplier-is-in-france-and-what-is-part-of-europe-', '-' || key || '-')),
+steps AS (SELECT key, 0 AS depth FROM seeds UNION SELECT b, depth + 1 FROM steps JOIN pairs ON a = key WHERE depth < 2),
+walk AS (SELECT key, min(depth) AS depth FROM steps GROUP BY key ORDER BY 2, 1 LIMIT 40), reach AS (SELECT base AS chunk_id, min(depth) AS depth FROM walk JOIN own USING (key) GROUP BY 1),
+scored AS (SELECT c.chunk_id, c.path, c.source_id, CASE WHEN depth IS NOT NULL THEN 'graph' WHEN n > 1 THEN 'both' WHEN l = 0 THEN 'vector' ELSE 'keyword' END AS via,
+  c.score + CASE depth WHEN 0 THEN 0.06 WHEN 1 THEN 0.04 WHEN 2 THEN 0.02 ELSE 0 END + coalesce(0.8 / (9 + k.rank), 0) + CASE c.source_id WHEN 'src0' THEN 0.03 ELSE 0 END AS s
+  FROM cos c LEFT JOIN lists USING (chunk_id) LEFT JOIN reach USING (chunk_id) LEFT JOIN keyword k USING (chunk_id) WHERE n IS NOT NULL OR depth IS NOT NULL),
+hits AS (SELECT * FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY source_id, path ORDER BY s DESC, chunk_id) = 1) ORDER BY s DESC, chunk_id LIMIT 20),
+rel AS (SELECT DISTINCT na, relation, nb, 'src' || n AS source_id FROM named JOIN walk w ON ka = w.key JOIN walk x ON kb = x.key, (VALUES (0), (1)) v(n) ORDER BY 1, 2, 3, 4 LIMIT 60)
+SELECT 'result' AS part, (row_number() OVER (ORDER BY s DESC, chunk_id) - 1)::INT AS place, path AS name, via AS kind, source_id AS source, NULL AS target, round(s, 4) AS value FROM hits
+UNION ALL SELECT 'seed', (row_number() OVER (ORDER BY key) - 1)::INT, key, NULL, NULL, NULL, NULL FROM seeds
+UNION ALL SELECT 'entity', (row_number() OVER (ORDER BY key, source_id, id) - 1)::INT AS place, name, type, source_id, NULL, depth FROM own JOIN walk USING (key) QUALIFY place < 40
+UNION ALL SELECT 'relation', (row_number() OVER (ORDER BY na, relation, nb, source_id) - 1)::INT, na, relation, source_id, nb, NULL FROM rel""")
+def graph_answer(spark, sf):
+    """The whole answer to a question, one row a part: documents of up to three chunks, two sources with the same edges, and a third that the caller may not read."""
+    policy = values(spark, CEILINGS, "source_id string, ceiling int")
+    three = values(spark, [(0, "src0"), (1, "src1"), (9, "src9")], "n long, source_id string")
+    kind = F.when(F.col("entity_id") >= 2 * 10**9, "region").when(F.col("entity_id") >= 10**9, "nation").otherwise("supplier")
+    shift = lambda c: (F.col(c) + F.col("n") * 10**10).alias(c)
+    permitted = lambda df: scope.scoped(df.withColumn("classification_rank", F.lit(0)), policy)
+    e = permitted(entities(spark, sf).crossJoin(F.broadcast(three)).select(shift("entity_id"), F.col("entity_id").alias("base"), "name", "key", "source_id", kind.alias("type"), F.lit(None).cast("string").alias("description")))
+    links = permitted(edges(spark, sf).crossJoin(F.broadcast(three)).select(shift("src_id"), shift("dst_id"), "relation", "source_id"))
+    pieces = chunks(spark, sf).withColumn("path", F.concat_ws("/", "source_id", F.floor(F.col("chunk_id") / 3)))
+    found = graph.answer(pieces, e, e.select("entity_id", F.col("base").alias("chunk_id")), links, VECTOR, TERMS, QUESTION, 50, 2, ["src0"])
+    none = F.lit(None).cast("string")
+    parts = []
+    for name, column, fields in (
+        ("result", "results", ("c.path", "c.via", "c.source", none, "c.score")),
+        ("seed", "seeds", ("c", none, none, none, F.lit(None))),
+        ("entity", "entities", ("c.name", "c.type", "c.source", none, "c.hops")),
+        ("relation", "relations", ("c.from", "c.relation", "c.source", "c.to", F.lit(None))),
+    ):
+        each = found.select(F.posexplode(column).alias("place", "c"))
+        cells = [F.col(f) if isinstance(f, str) else f for f in fields]
+        parts.append(each.select(F.lit(name).alias("part"), "place", *[x.alias(n) for x, n in zip(cells[:4], ("name", "kind", "source", "target"))], cells[4].cast("double").alias("value")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+VOCABULARY = {"the": "article", "data": "noun", "water": "noun", "model": "noun"}
+
+
+class Flaky(extraction.Vocabulary):
+    """A vocabulary that gives no answer to texts whose length is a multiple of 7."""
+
+    def __call__(self, text: str) -> str:
+        return super().__call__(text) if len(text) % 7 else "no answer"
+
+
+@query(rf"""WITH d AS (SELECT source AS source_id, doc_id // 5 AS path, coalesce(text, '') AS t FROM documents),
+e AS (SELECT *, length(t) % 7 = 0 AS bad, {" + ".join(rf"regexp_matches(lower(t), '(^|[^a-z0-9_-]){w}($|[^a-z0-9_-])')::INT" for w in VOCABULARY)} AS n FROM d)
+SELECT source_id, path, count(*) AS chunks, count_if(bad) AS n_failed, CASE WHEN bool_or(bad) THEN NULL ELSE sum(n)::BIGINT END AS entities,
+  (SELECT count(DISTINCT t) FROM e) AS asked, (SELECT count(DISTINCT t) FROM e WHERE bad) AS asked_again FROM e GROUP BY source_id, path""")
+def extraction_misses(spark, sf):
+    """All documents go through an extractor that fails for some, twice: the second run asks for the failed texts only, and documents with a failed one are held back."""
+    d = t(spark, sf, "documents").select(F.col("source").alias("source_id"), F.floor(F.col("doc_id") / 5).cast("string").alias("path"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    cache = scratch(spark, "extractions") + "/cache"
+    runs = [extraction.extract(d, cache, Flaky(VOCABULARY), "1", "vocabulary", sorted(set(VOCABULARY.values())), []) for _ in range(2)]
+    n = F.count("*").alias("chunks")
+    good = runs[1].found.groupBy("source_id", "path").agg(n, F.lit(0).cast("long").alias("n_failed"), F.sum(F.size("entities")).alias("entities"))
+    whole = d.groupBy("source_id", "path").agg(n)
+    same = whole["source_id"].eqNullSafe(runs[1].failed["source_id"]) & whole["path"].eqNullSafe(runs[1].failed["path"])
+    bad = whole.join(runs[1].failed, same).select(whole["source_id"], whole["path"], "chunks", "n_failed", F.lit(None).cast("long").alias("entities"))
+    return good.unionByName(bad).withColumns({"path": F.col("path").cast("long"), "asked": F.lit(runs[0].asked).cast("long"), "asked_again": F.lit(runs[1].asked).cast("long")})
+
+
+@query("""WITH d AS (SELECT source AS source_id, doc_id, coalesce(text, '') AS text FROM documents WHERE source IS NOT NULL),
+s AS (SELECT *, doc_id % 10 = 0 AS gone, doc_id % 10 = 1 AND source_id <> 'src1' AS edited, doc_id % 10 = 2 AS renamed FROM d)
+SELECT source_id, count(*) FILTER (NOT (gone AND source_id NOT IN ('src1', 'src2'))) AS documents,
+  count(*) FILTER (edited) AS edited, count(*) FILTER (renamed AND source_id <> 'src1') AS renamed,
+  CASE source_id WHEN 'src1' THEN 'one' WHEN 'src2' THEN 'one' ELSE 'two' END AS cursor FROM s GROUP BY source_id""")
+def ingest_batches(spark, sf):
+    """All documents come in one batch, then every tenth is gone, edited or renamed in a second one, which is run twice; src1's second listing fails, src2's has no end."""
+    d = t(spark, sf, "documents").where("source IS NOT NULL").select(F.col("source").alias("source_id"), "doc_id", "text")
+    item = lambda df, text, title: df.select("source_id", F.lit("item").alias("kind"), F.concat("doc_id", F.lit(".md")).alias("path"), F.sha2(text, 256).alias("content_hash"), F.lit("text/markdown").alias("media_type"), title.alias("title"), F.lit(None).cast("string").alias("url"), F.lit(False).alias("restricted"), text.alias("text"), F.lit(None).cast("string").alias("cursor"))
+    body, at = F.coalesce("text", F.lit("")), F.col("doc_id") % 10
+    sources = d.select("source_id").distinct()
+    note = lambda df, kind, cursor: df.select("source_id", *[F.lit({"kind": kind, "cursor": cursor}.get(n)).cast(k).alias(n) for n, k in (x.split() for x in stream.FOUND.split(", ")[1:])])
+    first = item(d, body, F.lit("a")).unionByName(note(sources, "end", "one"))
+    later = item(d.where(at != 0), F.concat(body, F.when(at == 1, "\nedited").otherwise("")), F.when(at == 2, "b").otherwise("a"))
+    ends = note(sources.where("source_id NOT IN ('src1', 'src2')"), "end", "two").unionByName(note(sources.where("source_id = 'src1'"), "error", None))
+    root = scratch(spark, "ingest")
+    for number, batch in ((0, first), (1, later.unionByName(ends)), (1, first)):
+        stream.apply(spark, root, batch, "documents", number)
+    held = store.read(spark, root, store.DOCUMENTS, stream.SCHEMAS[store.DOCUMENTS])
+    ends_edited = store.read(spark, root, store.CHUNKS, stream.SCHEMAS[store.CHUNKS]).where(F.col("content").endswith("edited")).select("document_id").distinct().withColumn("e", F.lit(1))
+    marks = store.marks(spark, root)
+    cursors = values(spark, [(k[7:], v) for k, v in marks.items() if k.startswith("cursor ")], "source_id string, cursor string")
+    n = held.join(ends_edited, "document_id", "left").groupBy("source_id").agg(F.count("*").alias("documents"), F.count("e").alias("edited"), F.count_if(F.col("title") == "b").alias("renamed"))
+    return cursors.join(n, "source_id", "left").fillna(0)
