@@ -1,8 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 A count c has level 1 + floor(log(c) / log(base)); an n-gram is put into the filter once for each level up to
-its own, and its level is found again by probing level after level until one is missing. Words are kept at
-any count, pairs and triples of words from `least` occurrences on (their levels begin with that of `least`). The
+its own, and its level is found again by probing level after level until one is missing. Words, pairs and triples are all kept; where
+a caller sets `least`, only pairs and triples that occur so often (their levels begin with that of `least`). The
 model interpolates triples with pairs and pairs with words: p3 = (c(abc) + prior p2) / (c(ab) + prior), and so on.
 
 The filter is made of segments, one for about so many bytes of text, so that it grows with what was read at an
@@ -52,7 +52,7 @@ class Settings:
     bits: int = 12
     probes: int = 5
     segment: int = 6_000_000
-    least: int = 2
+    least: int = 1
     prior: float = 2.0
     head: int = 1_000_000
     max_bytes: int = 160_000_000
@@ -156,7 +156,8 @@ class Filter:
 
     def __init__(self, segments: pa.Table, total: int, probes: int):
         self.total, self.probes = max(total, 1), probes
-        self.size, self.at = np.zeros(self.total, np.uint64), np.zeros(self.total, np.uint64)
+        # The segments that are here only: a task of one segment holds nothing that grows with their number.
+        self.numbers = self.size = self.at = np.zeros(0, np.int64)
         chunks = segments.column("words").chunks
         self.words = np.zeros(0, np.uint64)
         if chunks:
@@ -167,15 +168,18 @@ class Filter:
             ends = np.frombuffer(offsets, "<i8" if long else "<i4")[own.offset : own.offset + len(own) + 1].astype(np.int64)
             self.words = np.frombuffer(data, "<u8", int(ends[-1] - ends[0]) // 8, int(ends[0])) if ends[-1] > ends[0] else self.words
             numbers = segments.column("segment").to_numpy()
-            self.size[numbers], self.at[numbers] = np.diff(ends) // 8, (ends[:-1] - ends[0]) // 8
+            order = np.argsort(numbers)
+            self.numbers = numbers[order].astype(np.int64)
+            self.size, self.at = (np.diff(ends) // 8)[order].astype(np.uint64), ((ends[:-1] - ends[0]) // 8)[order].astype(np.uint64)
 
     def level(self, key: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by repeated probes; 0 for what isn't in these segments."""
         got = np.zeros(len(key), np.uint8)
         if not len(self.words):
             return got
-        segment = segment_of(key, self.total)
-        own = np.flatnonzero(self.size[segment] > 0)
+        number = segment_of(key, self.total)
+        segment = np.minimum(np.searchsorted(self.numbers, number), len(self.numbers) - 1)
+        own = np.flatnonzero((self.numbers[segment] == number) & (self.size[segment] > 0))
         for j in range(1, 256):
             if not len(own):
                 break

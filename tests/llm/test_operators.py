@@ -130,10 +130,10 @@ def test_filter_finds_levels():
     assert (lm.wide(lm.thin(h).tobytes()) == h).all()
 
 
-@pytest.mark.parametrize("max_bytes", [10**9, 0])  # broadcast, and by shuffle
-def test_model_score(docs, max_bytes):
+@pytest.mark.parametrize(("max_bytes", "least"), [(10**9, 1), (0, 1), (0, 2)])  # broadcast, and by shuffle; all n-grams unless a caller leaves some out
+def test_model_score(docs, max_bytes, least):
     """The model's score from exact counts, each put to the count that its level stands for; a filter with room has next to no false hits."""
-    s = lm.Settings(bits=64, probes=8, segment=3000, max_bytes=max_bytes)
+    s = lm.Settings(bits=64, probes=8, segment=3000, max_bytes=max_bytes, **({} if least == 1 else {"least": least}))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     marked = lambda t: ["<", *plain_words(ascii_lower(t)), ">"]
     learned = [marked(r[1]) for r in rows() if not held(r[0])]
@@ -147,10 +147,10 @@ def test_model_score(docs, max_bytes):
         for i in range(1, len(ws)):
             before = stands(one[ws[i - 1]]) if i > 1 else float(len(learned))
             p = (stands(one[ws[i]]) + 0.1) / (n + 0.1 * (v + 1))
-            p = (min(stands(two[*ws[i - 1 : i + 1]], 2), before) + s.prior * p) / (before + s.prior)
+            p = (min(stands(two[*ws[i - 1 : i + 1]], least), before) + s.prior * p) / (before + s.prior)
             if i > 1:
-                context = min(stands(two[*ws[i - 2 : i]], 2), stands(one[ws[i - 2]]) if i > 2 else float(len(learned)))
-                p = (min(stands(three[*ws[i - 2 : i + 1]], 2), context) + s.prior * p) / (context + s.prior)
+                context = min(stands(two[*ws[i - 2 : i]], least), stands(one[ws[i - 2]]) if i > 2 else float(len(learned)))
+                p = (min(stands(three[*ws[i - 2 : i + 1]], least), context) + s.prior * p) / (context + s.prior)
             total += math.log10(p)
         return total
 
