@@ -196,6 +196,26 @@ def json_inside(text: Column, schema: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), schema)
 
 
+def tool_payload(response: Column) -> Column:
+    """The object that a tool's response (JSON) carries, as a VARIANT: its structuredContent, or what that has in its only field `result`; else the JSON in the first
+    text of its content; else the response itself. Null where that is no object, and for JSON that can't be read."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    is_object = lambda v: kind(v).startswith("OBJECT")
+    at = lambda v, path: F.try_variant_get(v, path, "variant")
+    whole = F.try_parse_json(response)
+    structured = at(whole, "$.structuredContent")
+    inner = at(structured, "$.result")
+    alone = F.size(F.map_keys(F.try_variant_get(structured, "$", "map<string,variant>"))) == 1
+    content = at(whole, "$.content")
+    texts = F.filter(F.try_variant_get(content, "$", "array<variant>"), lambda item: kind(at(item, "$.text")) == "STRING")
+    said = F.try_parse_json(F.try_variant_get(F.get(texts, F.lit(0)), "$.text", "string"))
+    return (
+        F.when(is_object(structured), F.when(is_object(inner) & alone, inner).otherwise(structured))
+        .when(kind(content).startswith("ARRAY"), F.when(is_object(said), said))
+        .when(is_object(whole), whole)
+    )
+
+
 def bucket_location(location: Column) -> Column:
     """{bucket, prefix} of gs://bucket/prefix; the prefix is empty or ends with a slash; null if it is no such location."""
     rest = F.regexp_extract(location, "^gs://[^/]+/+(.*)$", 1)

@@ -178,3 +178,21 @@ def ingest_batches(spark, sf):
     cursors = values(spark, [(k[7:], v) for k, v in marks.items() if k.startswith("cursor ")], "source_id string, cursor string")
     n = held.join(ends_edited, "document_id", "left").groupBy("source_id").agg(F.count("*").alias("documents"), F.count("e").alias("edited"), F.count_if(F.col("title") == "b").alias("renamed"))
     return cursors.join(n, "source_id", "left").fillna(0)
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN '{"n":' || user_id || '}' WHEN 1 THEN '{"n":' || user_id || ',"result":{}}' WHEN 2 THEN '{"n":' || user_id || '}'
+  WHEN 4 THEN '{"n":' || user_id || ',"structuredContent":null}' END AS payload FROM events""")
+def tool_payloads(spark, sf):
+    """A tool's response for every event, in seven forms: a result alone, a result among others, JSON in a text, a text that is none, the object itself, broken JSON, an array."""
+    n = lambda before, after: F.concat(F.lit(before), F.col("user_id").cast("string"), F.lit(after))
+    forms = [
+        n('{"structuredContent": {"result": {"n": ', "}}}"),
+        n('{"structuredContent": {"result": {}, "n": ', "}}"),
+        n('{"content": [{"type": "image"}, {"text": 1}, {"text": "{\\"n\\": ', '}"}, {"text": "{}"}]}'),
+        n('{"content": [{"text": "seen ', ' times"}, {"text": "{}"}]}'),
+        n('{"structuredContent": null, "n": ', "}"),
+        n('{"n": ', ""),
+        n("[", "]"),
+    ]
+    raw = F.get(F.array(*forms), (F.col("event_id") % 7).cast("int"))
+    return t(spark, sf, "events").select("event_id", F.to_json(text.tool_payload(raw)).alias("payload"))

@@ -57,3 +57,18 @@ def test_auth_failure(spark):
     frame = spark.createDataFrame([(h,) for h in cases], "h string")
     found = frame.select("h", audit.auth_failure(F.col("h"), F.lit(1000.0), ["b1"], "t", "i", ["a"], ["read"]).alias("r")).collect()
     assert {r.h: r.r for r in found} == cases
+
+
+def test_tool_payloads(spark):
+    of = {
+        None: None, "": None, "{": None, "1": None, '"x"': None, "null": None, "[{}]": None, "{}": "{}",
+        '{"structuredContent": [1], "content": "x"}': '{"content":"x","structuredContent":[1]}',
+        '{"structuredContent": {}}': "{}",
+        '{"structuredContent": {"result": 1}}': '{"result":1}',
+        '{"structuredContent": {"result": {"a": {"result": {}}}}, "content": [{"text": "{}"}]}': '{"a":{"result":{}}}',
+        '{"content": []}': None, '{"content": [1, null, {"text": "[1]"}]}': None, '{"content": [{"text": ""}]}': None,
+        '{"content": [{"text": "{\\"a\\": [null]}"}]}': '{"a":[null]}',
+    }
+    df = spark.createDataFrame([(i, raw) for i, raw in enumerate(of)], "i int, raw string")
+    got = {r.i: r.p for r in df.select("i", F.to_json(text.tool_payload(F.col("raw"))).alias("p")).collect()}
+    assert [got[i] for i in range(len(of))] == list(of.values())
