@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import extraction, graph, keyword_index, scope, store, vector_index
 from ..session import scratch
+from ..sources import loaders
 from ..streaming import ingest as stream
 from .queries import CEILING_VALUES, CEILINGS, CHUNKS_SQL, COSINE_SQL, ENTITIES_SQL, KEYWORD_SQL, ORACLE_SQL, TERMS, VECTOR, chunks, docs, edges, entities, query, t, values
 
@@ -196,3 +197,54 @@ def tool_payloads(spark, sf):
     ]
     raw = F.get(F.array(*forms), (F.col("event_id") % 7).cast("int"))
     return t(spark, sf, "events").select("event_id", F.to_json(text.tool_payload(raw)).alias("payload"))
+
+
+WORDS_OF = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
+
+
+def _words_of():
+    return F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+
+
+def _exported(spark, made):
+    folder = scratch(spark, "export")
+    made.select(F.to_json("o").alias("value")).write.mode("append").text(folder)
+    return folder
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {WORDS_OF} AS words, doc_id % 23 = 0 OR doc_id % 31 = 0 AS own, CASE WHEN doc_id % 10 > 0 THEN doc_id - doc_id % 10 END AS parent FROM documents),
+told AS (SELECT d.*, d.own OR (d.parent IS NOT NULL AND coalesce(p.own, true)) AS restricted FROM d LEFT JOIN d p ON p.doc_id = d.parent),
+made AS (SELECT *, '# Page ' || doc_id || chr(10) || chr(10) || CASE WHEN parent IS NOT NULL THEN 'Path: Page ' || parent || ' > Page ' || doc_id || chr(10) || chr(10) ELSE '' END || words AS body FROM told)
+SELECT 'DOCS/' || doc_id AS path, CASE WHEN restricted THEN '' ELSE sha256(body) END AS content_hash, CASE WHEN NOT restricted THEN 'Page ' || doc_id END AS title, CASE WHEN NOT restricted THEN 'https://wiki.example.org/pages/' || doc_id END AS url, restricted
+FROM made WHERE restricted OR (doc_id % 3 > 0 AND strlen(body) <= 1000000)""")
+def wiki_pages(spark, sf):
+    """Every document as a page of an export, under a cursor that knows a third of them; pages below restricted ones are restricted too."""
+    k = F.col("doc_id")
+    parent = F.when(k % 10 > 0, (k - k % 10).cast("string"))
+    read = F.struct(F.struct(F.struct(F.when(k % 23 == 0, F.array(F.lit("someone"))).otherwise(F.array().cast("array<string>")).alias("results")).alias("user")).alias("restrictions"))
+    page = F.struct(
+        k.cast("string").alias("id"), F.concat(F.lit("Page "), k).alias("title"), F.struct((k % 7).cast("long").alias("number")).alias("version"),
+        F.when(parent.isNotNull(), F.array(F.struct(parent.alias("id"), F.concat(F.lit("Page "), parent).alias("title")))).alias("ancestors"), F.when(k % 31 > 0, F.struct(read.alias("read"))).alias("restrictions"),
+        F.struct(F.struct(F.concat(F.lit("<p>"), _words_of(), F.lit("</p>")).alias("value")).alias("storage")).alias("body"), F.struct(F.concat(F.lit("/pages/"), k).alias("webui")).alias("_links"))
+    source = loaders.Source("confluence", _exported(spark, t(spark, sf, "documents").select(page.alias("o"))), options={"space": "DOCS", "web": "https://wiki.example.org"})
+    known = t(spark, sf, "documents").where(k % 3 < 2).select(F.lit(loaders.selection(source)).alias("selection"), F.concat(F.lit("DOCS/"), k).alias("path"), F.when(k % 3 == 0, k % 7).otherwise(99).cast("string").alias("generation"))
+    return loaders.load(spark, source, known).items.select("path", "content_hash", "title", "url", "restricted")
+
+
+@query(rf"""WITH made AS (SELECT doc_id, doc_id % 19 = 0 AS restricted, '# DOC-' || doc_id || ': Issue ' || doc_id || chr(10) || chr(10) || concat_ws(' · ', 'Type: ' || nullif(source, ''), 'Status: ' || nullif(lang, '')) || CASE WHEN nullif(source, '') IS NULL AND nullif(lang, '') IS NULL THEN '' ELSE chr(10) END
+|| 'Components: c' || doc_id % 4 || ', c' || doc_id % 5 || chr(10) || 'Labels: l' || doc_id % 3 || chr(10) || 'Links: ' || CASE WHEN doc_id % 2 = 0 THEN 'blocks' ELSE 'is blocked by' END || ' DOC-' || doc_id // 2 || chr(10)
+|| CASE WHEN {WORDS_OF} <> '' THEN chr(10) || '## Description' || chr(10) || chr(10) || {WORDS_OF} || chr(10) ELSE '' END AS body FROM documents)
+SELECT 'DOC-' || doc_id AS path, CASE WHEN restricted THEN '' ELSE sha256(body) END AS content_hash, CASE WHEN NOT restricted THEN 'DOC-' || doc_id || ': Issue ' || doc_id END AS title, restricted
+FROM made WHERE restricted OR (doc_id % 4 > 0 AND strlen(body) <= 1000000)""")
+def tracker_issues(spark, sf):
+    """Every document as an issue of an export, under a cursor that knows a quarter of them."""
+    k = F.col("doc_id")
+    name = lambda c: F.struct(c.alias("name"))
+    other = F.struct(F.concat(F.lit("DOC-"), F.floor(k / 2)).alias("key"))
+    link = F.struct(F.struct(F.lit("blocks").alias("outward"), F.lit("is blocked by").alias("inward")).alias("type"), F.when(k % 2 == 0, other).alias("outwardIssue"), F.when(k % 2 == 1, other).alias("inwardIssue"))
+    fields = F.struct(
+        F.concat(F.lit("Issue "), k).alias("summary"), F.concat(F.lit("u"), k % 5).alias("updated"), F.when(k % 19 == 0, name(F.lit("internal"))).alias("security"), name(F.col("source")).alias("issuetype"), F.col("lang").alias("status"),
+        F.array(name(F.concat(F.lit("c"), k % 4)), name(F.concat(F.lit("c"), k % 5))).alias("components"), F.array(F.concat(F.lit("l"), k % 3)).alias("labels"), F.array(link).alias("issuelinks"), _words_of().alias("description"))
+    source = loaders.Source("jira", _exported(spark, t(spark, sf, "documents").select(F.struct(F.concat(F.lit("DOC-"), k).alias("key"), fields.alias("fields")).alias("o"))), options={"edition": "server"})
+    known = t(spark, sf, "documents").where(k % 4 == 0).select(F.lit(loaders.selection(source)).alias("selection"), F.concat(F.lit("DOC-"), k).alias("path"), F.concat(F.lit("u"), k % 5).alias("generation"))
+    return loaders.load(spark, source, known).items.select("path", "content_hash", "title", "restricted")
