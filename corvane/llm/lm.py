@@ -8,7 +8,8 @@ model interpolates triples with pairs and pairs with words: p3 = (c(abc) + prior
 The filter is made of segments, one for about so many bytes of text, so that it grows with what was read at an
 unchanged error rate. Up to `max_bytes` of segments are broadcast to the tasks that score. Beyond, the distinct n-grams of
 each slice of texts are sent to the segment that holds them, probed there, and their levels sent back: each text
-is then read and shuffled once more, however many segments there are.
+is then read and shuffled once more, however many segments there are. Where texts are learned from and scored at once, one shuffle
+brings their n-grams both to be counted and to be looked up, as compressed differences of ascending keys.
 
 Tasks add counts up over TOKENS tokens, and send one row a segment, not one an n-gram. Exact word counts come
 out of the same shuffle for the base score: the commonest words, at most `head`, are broadcast, the counts of the others
@@ -22,17 +23,20 @@ training text every count is 0; columns named like a new one are replaced.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import SLICE_ROWS, add_columns, remainder, short_batches
+from .common import SLICE_ROWS, add_columns, forget, remainder, short_batches
 
 #: Hashes of the marks for the begin and end of a text (fixed values).
 BEGIN, END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -270,12 +274,7 @@ def train(docs: DataFrame, text: str = "text", settings: Settings = Settings())
 
     built = materialize(_counted(docs, text, n_segments).groupBy("segment").applyInArrow(build, "segment int, words binary, h binary, c binary"), "segments")
 
-    def unpack(batches):
-        for b in batches:
-            for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(np.frombuffer(c, "<i8"))], names=["h", "c"])
-
-    counts = materialize(built.select("h", "c").mapInArrow(unpack, "h long, c long"), "tokens")
+    counts = materialize(built.select("h", "c").mapInArrow(_unpacked, "h long, c long"), "tokens")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     size = built.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
     return Model(s, n_segments, built.select("segment", "words"), counts, tokens, distinct, texts, size)
@@ -335,6 +334,11 @@ _LONG, _DOUBLE = T.LongType(), T.DoubleType()
 SUMS = [T.StructField("n_tokens", _LONG), T.StructField("__known", _LONG), T.StructField("__base", _DOUBLE), T.StructField("score", _DOUBLE), T.StructField("__rest", T.ArrayType(_LONG))]
 
 
+def _numbered(done: DataFrame) -> DataFrame:
+    """Numbers to join on, which are written with the rows: the table is read twice."""
+    return done.withColumn("__row", F.monotonically_increasing_id())
+
+
 def _by_broadcast(docs: DataFrame, model: Model, scorer: Scorer, head) -> DataFrame:
     """Sums of each text, all segments being sent to the tasks."""
     # As one chunk, which all tasks of a worker read where it lies.
@@ -354,7 +358,7 @@ def _by_broadcast(docs: DataFrame, model: Model, scorer: Scorer, head) -> DataFr
         return work
 
     with short_batches(docs.sparkSession):
-        done = materialize(add_columns(docs, ["__bytes"], SUMS, make, drop=("__bytes",), rows=SLICE_ROWS // 4), "scored")
+        done = materialize(_numbered(add_columns(docs, ["__bytes"], SUMS, make, drop=("__bytes",), rows=SLICE_ROWS // 4)), "scored")
     sent.destroy()
     return done
 
@@ -398,22 +402,163 @@ def _by_shuffle(docs: DataFrame, model: Model, scorer: Scorer, head) -> DataFram
         return pa.table([*[texts.column(c) for c in keep], *[pa.array(v, k) for v, k in zip(got, kinds)]], names=[*keep, *[f.name for f in SUMS]])
 
     schema = T.StructType([*[sliced.schema[c] for c in keep], *SUMS])
-    return materialize(sliced.groupBy("__slice").cogroup(level.groupBy("__slice")).applyInArrow(score_, schema), "scored")
+    return materialize(_numbered(sliced.groupBy("__slice").cogroup(level.groupBy("__slice")).applyInArrow(score_, schema)), "scored")
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` without the text, with n_tokens, n_known, base_score and score (log10 probabilities), train_tokens.
+def coded(values: np.ndarray) -> bytes:
+    """Ascending 64-bit integers in few bytes: their differences, as planes of bytes from the lowest on, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
-    base_score: unigrams, add 0.1. score: the model's, all counts from the filter.
-    """
+
+def decoded(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def _small(values: np.ndarray, kind: str) -> bytes:
+    return pa.compress(values.astype(kind).tobytes(), codec="zstd", asbytes=True)
+
+
+def _large(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.zeros(0, kind) if not n else np.frombuffer(pa.decompress(raw, decompressed_size=np.dtype(kind).itemsize * n, codec="zstd", asbytes=True), kind)
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(slice, rows): written slices of about SLICE_BYTES of text, each whole in one row, compressed. A longer text is a slice of its own."""
+
+    def run(batches):
+        forget()
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def slice_():
+            out = pa.BufferOutputStream()
+            table = pa.Table.from_batches(held)
+            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["slice", "rows"])
+
+        for whole in batches:
+            sizes, first = pc.fill_null(pc.binary_length(whole.column("__bytes")), 0).to_pylist(), 0
+            for k, n in enumerate(sizes):
+                if size and size + n > SLICE_BYTES:
+                    held += [whole.slice(first, k - first)] if k > first else []
+                    yield slice_()
+                    number, held, size, first = number + 1, [], 0, k
+                # Rows without text count too, so that very many of them aren't one slice.
+                size += n + 64
+            held += [whole.slice(first)] if len(sizes) > first else []
+        if held:
+            yield slice_()
+        release()
+
+    with short_batches(docs.sparkSession, 64):
+        return materialize(docs.mapInArrow(run, "slice long, rows binary"), "slices")
+
+
+SENT = "segment int, slice long, n int, k binary, c binary, m int, h binary, hc binary"
+
+
+def _together(docs: DataFrame, settings: Settings, n_segments: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(slices, levels, counts) with one shuffle of n-grams: each slice of texts sends its distinct n-grams to their segments, with how often they
+    occur in its texts to learn from. A segment adds these up, fills its part of the filter, and probes it for all that the slices sent."""
+    s, total = settings, n_segments
+    slices = _packed(docs)
+    names = [x.split()[0] for x in SENT.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+
+    def send(batches):
+        forget()
+        words = Hasher()
+        for b in batches:
+            for number, raw in zip(b.column("slice").to_pylist(), b.column("rows").to_pylist()):
+                table = pa.ipc.open_stream(raw).read_all()
+                learn = np.asarray(table.column("__learn").to_pylist(), bool)
+                h, n = words.tokens(table.column("__bytes").to_pylist())
+                firsts, learned = np.cumsum(n) - n, np.repeat(learn, n)
+                one, pair, triple = keys(h, firsts)
+                whole = learned.copy()
+                whole[firsts] = False  # a first token has no triple
+                k, back = np.unique(np.concatenate([one, pair, triple]), return_inverse=True)
+                c = np.bincount(back, weights=np.concatenate([learned, learned, whole]), minlength=len(k)).astype(np.int64)
+                u, uc = np.unique(h[learned], return_counts=True)
+                seg, useg = segment_of(k, total), segment_of(u >> np.uint64(16), total)
+                own = np.unique(seg)
+                at, uat = np.append(np.searchsorted(seg, own), len(k)), np.append(np.searchsorted(useg, own), len(u))
+                for i in range(0, len(own), 256):
+                    rows = []
+                    for j in range(i, min(i + 256, len(own))):
+                        x, y = slice(at[j], at[j + 1]), slice(uat[j], uat[j + 1])
+                        rows.append((own[j], number, x.stop - x.start, coded(k[x]), _small(c[x], "<u4"), y.stop - y.start, coded(u[y]), _small(uc[y], "<u4")))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
+        release()
+
+    def answer(sent: pa.Table) -> pa.Table:
+        n, m = sent.column("n").to_pylist(), sent.column("m").to_pylist()
+        every = lambda f, of, sizes, *more: np.concatenate([f(raw, *more, size) for raw, size in zip(sent.column(of).to_pylist(), sizes)])
+        k, back = np.unique(every(decoded, "k", n), return_inverse=True)
+        c = np.bincount(back, weights=every(_large, "c", n, "<u4"), minlength=len(k)).astype(np.int64)
+        there = c > 0
+        own = pa.table({"segment": sent.column("segment")[:1], "words": pa.array([fill(k[there], levels(c[there], s.base), s).tobytes()], pa.binary())})
+        level = Filter(own, total, s.probes).level(k)[back]
+        h, at = np.unique(every(decoded, "h", m), return_inverse=True)
+        hc = np.bincount(at, weights=every(_large, "hc", m, "<u4"), minlength=len(h)).astype(np.int64)
+        ends = np.cumsum(n)
+        found = [_small(level[z - size : z], "u1") for z, size in zip(ends.tolist(), n)]
+        segment = sent.column("segment")[0].as_py()
+        built = pa.table({
+            "segment": pa.array([segment] * (len(n) + 1), pa.int32()), "slice": pa.array([*sent.column("slice").to_pylist(), None], pa.int64()), "n": pa.array([*n, len(h)], pa.int32()),
+            "l": pa.array([*found, None], pa.binary()), "h": pa.array([None] * len(n) + [h.tobytes()], pa.binary()), "c": pa.array([None] * len(n) + [hc.tobytes()], pa.binary())})
+        del sent, k, back, level
+        release()
+        return built
+
+    with short_batches(docs.sparkSession, 4):
+        answered = materialize(slices.mapInArrow(send, SENT).groupBy("segment").applyInArrow(answer, "segment int, slice long, n int, l binary, h binary, c binary"), "answers")
+    counts = materialize(answered.where("slice IS NULL").select("h", "c").mapInArrow(_unpacked, "h long, c long"), "tokens")
+    return slices, answered.where("slice IS NOT NULL").select("segment", "slice", "n", "l"), counts
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(np.frombuffer(c, "<i8"))], names=["h", "c"])
+
+
+def _scored(slices: DataFrame, level: DataFrame, scorer: Scorer, head, kept: T.StructType) -> DataFrame:
+    """The sums of each text of each slice, from the levels that its segments sent back."""
+
+    def score_(texts: pa.Table, found: pa.Table) -> pa.Table:
+        scorer.head = head.value
+        table = pa.ipc.open_stream(texts.column("rows")[0].as_py()).read_all()
+        h, n = Hasher().tokens(table.column("__bytes").to_pylist())
+        _, back = np.unique(np.concatenate(keys(h, np.cumsum(n) - n)), return_inverse=True)
+        found = found.sort_by("segment")
+        every = np.concatenate([_large(raw, "u1", k) for raw, k in zip(found.column("l").to_pylist(), found.column("n").to_pylist())])
+        got = scorer.work(h, n, *every[back].reshape(3, -1))
+        sums = [pa.array(v, k) for v, k in zip(got, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())])]
+        return pa.table([*[table.column(c) for c in kept.names], *sums], names=[*kept.names, *[f.name for f in SUMS]])
+
+    schema = T.StructType([*kept.fields, *SUMS])
+    return materialize(_numbered(slices.groupBy("slice").cogroup(level.groupBy("slice")).applyInArrow(score_, schema)), "scored")
+
+
+NEW = ("n_tokens", "n_known", "base_score", "score", "train_tokens")
+
+
+def _read(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*NEW, text)], F.col(f"`{text}`").cast("binary").alias("__bytes"))
+
+
+def _finished(model: Model, sums: Callable[[Scorer, Broadcast], DataFrame]) -> DataFrame:
+    """What sums() gives for each text, completed by the exact counts of the words outside the head."""
     total, v = float(model.tokens), model.distinct
     top = _head(model).toArrow()
     order = np.argsort(top.column("h").to_numpy().view(np.uint64))
-    head = docs.sparkSession.sparkContext.broadcast((top.column("h").to_numpy().view(np.uint64)[order].copy(), top.column("c").to_numpy()[order].copy()))
-    new = ("n_tokens", "n_known", "base_score", "score", "train_tokens")
-    read = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*new, text)], F.col(f"`{text}`").cast("binary").alias("__bytes"))
-    way = _by_broadcast if model.size <= model.settings.max_bytes else _by_shuffle
-    done = way(read, model, Scorer(model, (np.zeros(0, np.uint64), np.zeros(0, np.int64))), head).withColumn("__row", F.monotonically_increasing_id())
+    head = model.counts.sparkSession.sparkContext.broadcast((top.column("h").to_numpy().view(np.uint64)[order].copy(), top.column("c").to_numpy()[order].copy()))
+    done = sums(Scorer(model, (np.zeros(0, np.uint64), np.zeros(0, np.int64))), head)
     head.destroy()
     rare = done.select("__row", F.explode("__rest").alias("h")).groupBy("__row", "h").agg(F.count("*").alias("n"))
     c = F.coalesce("c", F.lit(0))
@@ -422,7 +567,30 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return out.drop("__row", "__known", "__base", "__k", "__b")
 
 
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """`docs` without the text, with n_tokens, n_known, base_score and score (log10 probabilities), train_tokens.
+
+    base_score: unigrams, add 0.1. score: the model's, all counts from the filter.
+    """
+    way = _by_broadcast if model.size <= model.settings.max_bytes else _by_shuffle
+    return _finished(model, lambda scorer, head: way(_read(docs, text), model, scorer, head))
+
+
 def score_held_out(docs: DataFrame, key: str = "doc_id", text: str = "text", mod: int = 10, settings: Settings = Settings()) -> DataFrame:
-    """Train on texts whose key leaves a remainder, score all; held_out: those that leave none."""
+    """Train on texts whose key leaves a remainder, score all; held_out: those that leave none.
+
+    Up to a quarter of `max_bytes` of text the filter surely is within it, however short the words are: it is broadcast. Beyond, texts are learned from and scored with one
+    shuffle of n-grams (unless some are left out by `least`).
+    """
     marked = docs.withColumn("held_out", F.coalesce(remainder(F.col(f"`{key}`"), mod) == 0, F.lit(False)))
-    return score(marked, train(marked.where("NOT held_out"), text, settings), text)
+    learned = marked.where("NOT held_out")
+    size = learned.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
+    if settings.least > 1 or size <= settings.max_bytes // 4:
+        return score(marked, train(learned, text, settings), text)
+    n_segments = max(1, -(-size // settings.segment))
+    read = _read(marked, text)
+    kept = T.StructType([f for f in read.schema.fields if f.name != "__bytes"])
+    slices, level, counts = _together(read.withColumn("__learn", ~F.col("held_out")), settings, n_segments)
+    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    model = Model(settings, n_segments, level.limit(0), counts, tokens, distinct, learned.count(), 0)
+    return _finished(model, lambda scorer, head: _scored(slices, level, scorer, head, kept))

@@ -130,8 +130,22 @@ def test_filter_finds_levels():
     assert (lm.wide(lm.thin(h).tobytes()) == h).all()
 
 
-@pytest.mark.parametrize(("max_bytes", "least"), [(10**9, 1), (0, 1), (0, 2)])  # broadcast, and by shuffle; all n-grams unless a caller leaves some out
-def test_model_score(docs, max_bytes, least):
+@pytest.mark.parametrize("size", [0, 1, 2, 5000])
+def test_coded_keys(size):
+    values = np.unique(np.random.default_rng(size).integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
+    assert (lm.decoded(lm.coded(values), len(values)) == values).all()
+
+
+def test_slices_hold_all_rows(docs, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_BYTES", 500)
+    read = docs.withColumn("__bytes", F.col("text").cast("binary"))
+    got = [r for raw in lm._packed(read).collect() for r in pa.ipc.open_stream(bytes(raw.rows)).read_all().to_pylist()]
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["__bytes"] or b"") for r in got) == sorted((r[0] is not None, r[0] or 0, (r[1] or "").encode()) for r in rows())
+
+
+# Broadcast, both in one shuffle, and the model and its use apart; all n-grams unless a caller leaves some out.
+@pytest.mark.parametrize(("max_bytes", "least", "apart"), [(10**9, 1, False), (0, 1, False), (0, 1, True), (0, 2, False)])
+def test_model_score(docs, max_bytes, least, apart):
     """The model's score from exact counts, each put to the count that its level stands for; a filter with room has next to no false hits."""
     s = lm.Settings(bits=64, probes=8, segment=3000, max_bytes=max_bytes, **({} if least == 1 else {"least": least}))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
@@ -155,7 +169,8 @@ def test_model_score(docs, max_bytes, least):
         return total
 
     want = {(r[0], len(marked(r[1])) - 1): score(r[1]) for r in rows()}
-    got = lm.score_held_out(docs, settings=s).collect()
+    by_id = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    got = (lm.score(docs, lm.train(docs.where(~by_id), settings=s)) if apart else lm.score_held_out(docs, settings=s)).collect()
     assert len(got) == len(rows())
     for r in got:
         assert r.score == pytest.approx(want[r.doc_id, r.n_tokens], rel=1e-6)
