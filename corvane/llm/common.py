@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a Python function sees at once. Bounds memory where texts are long.
 SLICE_ROWS = 256
+#: Bytes of text that a Python function sees at once; a longer text comes alone.
+SLICE_TEXT = 4 << 20
 
 
 #: What clears the caches that operators keep in a worker from task to task.
@@ -63,8 +67,23 @@ def running(items: Column, zero: Column, add: Callable[[Column, Column], Column]
     return F.when(F.size(items) > 0, F.flatten(F.zip_with(chunks, heads, within)))
 
 
+def cuts(batch: pa.RecordBatch, columns: list[int], rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Beginnings and lengths of slices of at most so many rows and bytes in the given columns, but of one row at least."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for i in columns:
+        x = batch.column(i)
+        if pa.types.is_string(x.type) or pa.types.is_binary(x.type) or pa.types.is_large_string(x.type) or pa.types.is_large_binary(x.type):
+            sizes += pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        within = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")) - at
+        n = max(1, min(rows, within, batch.num_rows - at))
+        yield at, n
+        at += n
+
+
 def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list[list]]], drop: tuple[str, ...] = (), rows: int = SLICE_ROWS) -> DataFrame:
-    """`df` with more columns, made by Python from the columns `inputs`, at most `rows` rows at a time.
+    """`df` with more columns, made by Python from the columns `inputs`, at most `rows` rows and SLICE_TEXT bytes of them at a time.
 
     `make()` runs once in each task and returns a function from lists (one for each input) to lists
     (one for each field). Columns in `drop` are read but not returned. A column of `df` that has the
@@ -81,8 +100,8 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], m
         forget()
         work = make()
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
+            for at, size in cuts(whole, list(range(n, n + len(inputs))), rows, SLICE_TEXT):
+                b = whole.slice(at, size)
                 got = work(*[b.column(n + i).to_pylist() for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(v, type=k) for v, k in zip(got, kinds, strict=True)]], names=[*keep, *new])
 
