@@ -296,14 +296,15 @@ def pages(spark: SparkSession, source: Source, cursor: DataFrame | None) -> Load
     # An ancestor without an id can't be looked up.
     nameless = F.exists(F.coalesce("ancestors", F.array().cast("array<struct<id:string,title:string>>")), lambda a: a["id"].isNull())
     told = all_.join(shut.withColumn("shut", F.lit(True)), "id", "left").withColumn("restricted", F.col("own") | F.coalesce("shut", F.lit(False)) | nameless)
-    told = materialize(told.withColumns({"path": F.concat_ws("/", F.lit(space), "id"), "generation": F.coalesce(F.col("version.number").cast("string"), F.lit(""))}), "pages-told")
+    # Without bodies: these are looked up of changed pages alone.
+    told = materialize(told.select("id", F.concat_ws("/", F.lit(space), "id").alias("path"), F.coalesce(F.col("version.number").cast("string"), F.lit("")).alias("generation"), "restricted"), "pages-told")
     listed = told.where("NOT restricted")
     changed, incremental = _unread(listed, source, cursor)
     title = F.coalesce(F.nullif("title", F.lit("")), "path")
     trail = F.filter(F.coalesce("ancestors.title", F.array().cast("array<string>")), lambda t: t != "")
     way = F.when(F.size(trail) > 0, F.concat(F.lit("Path: "), F.array_join(F.concat(trail, F.array(title)), " > "), F.lit("\n\n"))).otherwise("")
     body = F.concat(F.lit("# "), title, F.lit("\n\n"), way, F.coalesce(markup.html_markdown(F.coalesce("body.storage.value", F.lit(""))), F.lit("")))
-    made = changed.select("path", title.alias("title"), body.alias("body"), "restricted", F.col("_links.webui").alias("webui"))
+    made = all_.join(changed.select("id", "path", "restricted"), "id").select("path", title.alias("title"), body.alias("body"), "restricted", F.col("_links.webui").alias("webui"))
     gone = told.where("restricted").select("path", F.lit(None).cast("string").alias("title"), F.lit("").alias("body"), "restricted", F.lit(None).cast("string").alias("webui"))
     url = F.concat(F.lit(source.options.get("web", "").rstrip("/")), F.coalesce("webui", F.lit("")))
     return Loaded(_of_texts(made.unionByName(gone), url), listed.select("path"), _cursor(listed, source), incremental, {})
