@@ -27,7 +27,11 @@ WIDE_GROUP = 10_000
 #: Words whose ids a task keeps at hand.
 CACHE_WORDS = 600_000
 
-PHRASE_END = re.compile(rb"([A-Za-z]+)([.,;:!?]+)")
+#: Letters of Latin-1 in UTF-8, then what closes them: ASCII marks but the apostrophe, which begins token runs with letters.
+WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if WORD.fullmatch(c.encode()) and c.isalpha())
+#: Runs on which a tokenizer must answer as the short way does.
+PROBES = [LETTERS, LETTERS.lower(), LETTERS[::-1], "Word", "\u00dcber,", "l\u00e9s***", "a...", "don", "s", "\u00dfe(["]
 
 
 class Words(dict):
@@ -40,18 +44,28 @@ class Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {ord(c): level.pre_tokenize_str(c)[0][0] for c in LETTERS}
+        self.short = True
+        self.short = all(self[p.encode()] == self.encode(p.encode()) for p in PROBES)
+        self.clear()
 
     def __missing__(self, run: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        # ASCII letters are lower-cased, and what closes a phrase is a token run of its own.
-        if parts := PHRASE_END.fullmatch(run):
-            got = self[parts[1].lower()] + self[parts[2]]
-        elif run.isascii() and not run.islower() and run.isalpha():
-            got = self[run.lower()]
-        else:
+        # Letters are lower-cased and go to the model as they are; what closes them is a token run of its own. All else takes the tokenizer's whole way.
+        parts = WORD.fullmatch(run) if self.short else None
+        if not parts:
             got = self.encode(run)
+        elif parts[2]:
+            got = self[parts[1]] + self[parts[2]]
+        elif (lower := run.decode().lower()) != run.decode():
+            got = self[lower.encode()]
+        else:
+            got = np.array([t.id for t in self.model.tokenize(lower.translate(self.shown))], "<u4").tobytes()
         if len(run) < 100:
             self[run] = got
         return got
