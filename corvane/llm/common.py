@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -26,10 +27,13 @@ KEPT: list[Callable[[], None]] = []
 
 
 def forget() -> None:
-    """Clear what other operators left in this worker, and give back what Arrow keeps of freed buffers: workers outlive their tasks."""
+    """Clear what other operators left in this worker, and give back what Arrow and the C library keep of freed memory: workers outlive their tasks."""
     for clear in KEPT:
         clear()
     pa.default_memory_pool().release_unused()
+    # glibc only; elsewhere freed memory stays with the worker.
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 @contextmanager

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import short_batches
+from .common import forget, short_batches
 from .lm import Hasher
 
 K1, B = 1.2, 0.75
@@ -45,7 +45,7 @@ LONG = 8
 #: One in so many shards is searched first, for the thresholds.
 FIRST = 8
 MAX_TERMS = 4_000_000
-INDEX = "shard long, n int, keys binary, known binary, lengths binary, terms binary, ends binary, docs binary, tf binary"
+INDEX = "shard long, n int, keys binary, known binary, lengths binary, terms binary, df binary, docs binary, tf binary"
 #: Bounds are sums in another order than scores: so much more, for rounding. Scores are rounded, so that equal documents tie in every shard.
 ROUND, DIGITS, SAME = 1 + 1e-9, 9, 1e-9
 #: Long lists that are looked up at once.
@@ -66,7 +66,18 @@ def spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _terms(words: Hasher, text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct terms of a text in order, their counts, and the number of words."""
     h = np.frombuffer(b"".join(map(words.__getitem__, (text or b"").lower().split())), "<u8")
-    return *np.unique(h, return_counts=True), len(h)
+    term, count = np.unique(h, return_counts=True)
+    return term, count.astype(np.int32), len(h)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Integers from 0 on, in one, two, four or eight bytes each, as the largest asks for."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def _unpacked(raw, n: int) -> np.ndarray:
+    """`n` integers of _packed()."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}") if n else np.zeros(0, np.uint8)
 
 
 def _row(number: int, keys: list[int | None], parts: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
@@ -80,9 +91,10 @@ def _row(number: int, keys: list[int | None], parts: list[tuple[np.ndarray, np.n
     term = term[at]
     ends = np.append(np.flatnonzero(term[1:] != term[:-1]) + 1, len(term)) if len(term) else np.zeros(0)
     terms = term[ends.astype(np.int64) - 1] if len(term) else term
-    columns = (np.array([x or 0 for x in own], "<i8"), np.array([x is not None for x in own], np.uint8), np.array([parts[i][2] for i in order], "<i4"), terms, ends.astype("<i8"), doc[at].astype("<i4"), tf[at].astype("<i4"))
+    columns = (np.array([x or 0 for x in own], "<i8"), np.array([x is not None for x in own], np.uint8), np.array([parts[i][2] for i in order], "<i4"), terms)
+    posted = [_packed(np.diff(ends.astype("<i8"), prepend=0)), _packed(doc[at]), _packed(tf[at])]
     names = [c.split()[0] for c in INDEX.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(own)], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(own)], pa.int32()), *[pa.array([c], pa.binary()) for c in (*[c.tobytes() for c in columns], *posted)]], names=names)
 
 
 @dataclass
@@ -103,6 +115,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows:
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         words, keys, parts, size, number = Hasher(), [], [], 0, TaskContext.get().partitionId() << 32
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -119,8 +132,9 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows:
 
     def frequencies(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for terms, ends in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, "<i8")), pa.array(np.diff(np.frombuffer(ends, "<i8"), prepend=0))], names=["h", "df"])
+            for terms, df in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = np.frombuffer(terms, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(_unpacked(df, len(h)).astype(np.int64))], names=["h", "df"])
 
     def lengths(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,7 +142,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows:
             yield pa.RecordBatch.from_arrays([pa.array([sum(total)], pa.int64())], names=["words"])
 
     with short_batches(docs.sparkSession, 1):
-        counts = materialize(shards.select("terms", "ends").mapInArrow(frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")), "frequencies")
+        counts = materialize(shards.select("terms", "df").mapInArrow(frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")), "frequencies")
     n = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = shards.select("lengths").mapInArrow(lengths, "words long").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     return Index(shards, counts, n, words / max(n, 1))
@@ -169,21 +183,24 @@ class Shard:
     def load(row: dict, mean: float) -> Shard:
         """From n and the buffers of the other columns of INDEX."""
         n, get = row["n"], lambda c, t: np.frombuffer(row[c], t)
-        length, ends, docs = get("lengths", "<i4").astype(float), get("ends", "<i8"), get("docs", "<i4")
-        begin = np.concatenate([[0], ends])
-        tf, size = get("tf", "<i4").astype(float), np.diff(begin)
+        length, terms = get("lengths", "<i4").astype(float), get("terms", "<u8")
+        size = _unpacked(row["df"], len(terms)).astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        docs, tf = _unpacked(row["docs"], int(begin[-1])), _unpacked(row["tf"], int(begin[-1])).astype(float)
         weight = (K1 * (1 - B + B * length / max(mean, 1e-9)))[docs]
         weight += tf
-        np.divide(tf * (K1 + 1), weight, out=weight)
+        tf *= K1 + 1
+        np.divide(tf, weight, out=weight)
         del tf
         # Places where another list, or another block of a list, begins.
         block = docs // BLOCK
         new = np.ones(len(docs), bool)
         new[1:] = block[1:] != block[:-1]
         new[begin[:-1]] = True
-        pairs = np.flatnonzero(new)
+        pairs = np.flatnonzero(new).astype(np.int32 if len(docs) < 1 << 31 else np.int64)
+        del new
         top = np.maximum.reduceat(weight, pairs) if len(pairs) else np.zeros(0)
-        pair = np.searchsorted(pairs, begin)
+        pair = np.searchsorted(pairs, begin).astype(pairs.dtype)
         bound = np.maximum.reduceat(top, pair[:-1]) if len(top) else np.zeros(0)
         heavy = np.flatnonzero(size * LONG > n)
         rows = np.full(len(size), -1)
@@ -192,7 +209,7 @@ class Shard:
         for i, k in enumerate(heavy.tolist()):
             long[i, docs[begin[k] : begin[k + 1]]] = weight[begin[k] : begin[k + 1]]
             most[i, block[pairs[pair[k] : pair[k + 1]]]] = top[pair[k] : pair[k + 1]]
-        return Shard(n, get("keys", "<i8"), get("known", np.uint8) > 0, get("terms", "<u8"), begin, docs, weight, bound, rows, long, most, pair, block[pairs], np.append(pairs, len(docs)))
+        return Shard(n, get("keys", "<i8"), get("known", np.uint8) > 0, terms, begin, docs, weight, bound, rows, long, most, pair, block[pairs], np.append(pairs, pairs.dtype.type(len(docs))))
 
     def places(self, terms: np.ndarray) -> np.ndarray:
         """The list of each term, -1 where there is none."""
@@ -300,20 +317,30 @@ def weigh(queries: DataFrame, index: Index, key: str, text: str) -> DataFrame:
 HIT = "array<struct<s:double,u:boolean,k:long>>"
 
 
+def _best_of(batches, query: tuple, mean: float, k: int) -> list[tuple]:
+    """Each query's best k in shards that come one after the other: of two shards one is gone before the next is loaded."""
+    _, at, vocabulary, term, weights, least = query
+    names, best = [c.split()[0] for c in INDEX.split(", ")][1:], [NONE] * len(least)
+    for b in batches:
+        for i in range(b.num_rows):
+            shard = Shard.load({c: b.column(j)[i].as_py() if c == "n" else b.column(j)[i].as_buffer() for j, c in enumerate(names)}, mean)
+            place = shard.places(vocabulary)
+            for q in range(len(best)):
+                best[q] = shard.search(place[term[at[q] : at[q + 1]]], weights[at[q] : at[q + 1]], k, best[q], least[q])
+            del shard
+        # The batch too, and what Arrow keeps of it.
+        del b
+        pa.default_memory_pool().release_unused()
+    return best
+
+
 def _search(shards: DataFrame, mean: float, sent, k: int) -> DataFrame:
     """(query, hits) from these shards: a query's best k of each task."""
 
-    names = [c.split()[0] for c in INDEX.split(", ")][1:]
-
     def run(batches):
-        queries, at, vocabulary, term, weights, least = sent.value
-        best = [NONE] * len(queries)
-        for b in batches:
-            for i in range(b.num_rows):
-                shard = Shard.load({c: b.column(j)[i].as_py() if c == "n" else b.column(j)[i].as_buffer() for j, c in enumerate(names)}, mean)
-                place = shard.places(vocabulary)
-                for q in range(len(queries)):
-                    best[q] = shard.search(place[term[at[q] : at[q + 1]]], weights[at[q] : at[q + 1]], k, best[q], least[q])
+        forget()
+        queries = sent.value[0]
+        best = _best_of(batches, sent.value, mean, k)
         kind = pa.list_(pa.struct([("s", pa.float64()), ("u", pa.bool_()), ("k", pa.int64())]))
         for i in range(0, len(queries), 512):
             own = [j for j in range(i, min(i + 512, len(queries))) if len(best[j][0])]
