@@ -3,7 +3,10 @@
 Texts with equal sets are one point. MinHash bands tell only which points belong together: a pair of similarity s shares a band with probability
 1 - (1 - s^rows)^bands; at 0.8, 25 bands of 5 miss 5 of 100,000 pairs, and fewer above. All else is exact, and nothing is capped.
 
-The least point of a band leads it. First each point is compared with one leader, that with which it shares most bands, which joins large groups
+First op2's way: a fingerprint of each set, and the vantage-point tree of simhash.py, in which a ball of half the radius round each fingerprint decides which leaves it
+reaches; what meets within TREE_RADIUS bits is compared exactly. At a similarity of 0.8 about 10 bits of 64 differ, for which the tree prunes next to nothing, so bands find what lies farther apart.
+
+The least point of a band leads it. Each point is also compared with one leader, that with which it shares most bands, which joins large groups
 by one pair a member. Bands that are still of more than one component then join their points to families. Within a family an exact
 set-similarity join finds what links: shingles are ordered by how many of the family's points have them, the rarest first; of two similar sets the smaller has a
 shingle of the other among its first (1 - 2s/(1+s)) n + 1, and that is among the first (1 - s) m + 1 of the larger; where the first and the last of such shingles
@@ -26,10 +29,12 @@ from pyspark.sql import types as T
 
 from ..session import broadcast_if_small, materialize
 from .common import add_columns
-from .simhash import SEED, components
+from .simhash import SEED, components, near_pairs
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
+#: Bits within which the tree finds fingerprints.
+TREE_RADIUS = 2
 #: Shingles in a block of a family.
 BLOCK = 1 << 20
 #: Bits of a point's marks: each shingle sets one.
@@ -81,18 +86,35 @@ def band_hashes(own: np.ndarray, bands: int, rows: int) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(m.tobytes(), k)).view(np.int64)) for k, m in enumerate(low.reshape(bands, rows))]
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """op2's majority of bits, of a set of shingles, as a signed 64-bit integer; 0 for an empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), CHUNK):
+        ones += np.unpackbits(own[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
+def tree_pairs(points: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of `points` (p, fp) that op2's tree brings together; of equal fingerprints each point with the least."""
+    heads = materialize(points.groupBy("fp").agg(F.min("p").alias("head")), "fingerprint-heads")
+    found = materialize(near_pairs(heads.select("fp"), radius), "tree-links")
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"of_{c}"))
+    apart = found.join(head("a"), "a").join(head("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return apart.unionByName(points.join(heads, "fp").where("p <> head").select(F.col("head").alias("a"), F.col("p").alias("b")))
+
+
 def points_of(docs: DataFrame, text: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """`docs` with __set (a long, equal for equal sets of shingles), __n (its size) and __bands."""
+    """`docs` with __set (a long, equal for equal sets of shingles), __n (its size), __bands and __fp."""
     import xxhash
 
     def make():
         def work(texts):
             sets = [shingles(t, shingle) for t in texts]
-            return [[int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) for s in sets], [len(s) for s in sets], [band_hashes(s, bands, rows) for s in sets]]
+            return [[int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) for s in sets], [len(s) for s in sets], [band_hashes(s, bands, rows) for s in sets], [set_fingerprint(s) for s in sets]]
 
         return work
 
-    fields = [T.StructField("__set", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("__set", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__fp", T.LongType())]
     return add_columns(docs.withColumn("__bytes", F.col(f"`{text}`").cast("binary")), ["__bytes"], fields, make, drop=("__bytes",))
 
 
@@ -198,20 +220,21 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     numbered = docs.drop("component_id", "representative").withColumn("__row", F.monotonically_increasing_id())
     own = materialize(points_of(numbered, text, shingle, bands, rows), "shingled")
     best = F.min(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.col("__row").alias("row")))
-    points = materialize(own.groupBy("__set").agg(best.alias("best"), F.first("__n").alias("n"), F.first("__bands").alias("bands")), "points")
+    points = materialize(own.groupBy("__set").agg(best.alias("best"), F.first("__n").alias("n"), F.first("__bands").alias("bands"), F.first("__fp").alias("fp")), "points")
+    near = materialize(tree_pairs(points.select(F.col("__set").alias("p"), "fp"), TREE_RADIUS), "tree-candidates")
 
     alike = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
     each = points.select(F.explode("bands").alias("band"), F.col("__set").alias("p"), "n")
     low = each.groupBy("band").agg(F.min(F.struct("p", "n")).alias("low"), F.count("*").alias("members")).where("members > 1")
     heads = materialize(low, "heads")
     shared = materialize(each.join(heads, "band"), "shared")
-    chosen = points.join(broadcast_if_small(materialize(shared.select(F.col("p").alias("__set")).distinct(), "met")), "__set").select("__set", F.col("best.row").alias("__row"))
+    chosen = points.join(broadcast_if_small(materialize(shared.select(F.col("p").alias("__set")).union(near.select("a")).union(near.select("b")).distinct(), "met")), "__set").select("__set", F.col("best.row").alias("__row"))
     texts = materialize(own.select("__row", F.col(f"`{text}`").cast("binary").alias("t")).join(broadcast_if_small(materialize(chosen, "chosen")), "__row").select("__set", "t"), "texts")
 
     # One leader a point at first, that with which it shares most bands: most of a large group is one component then.
     led = shared.where((F.col("p") != F.col("low.p")) & alike(F.col("n"), F.col("low.n"))).withColumn("head", F.col("low.p"))
     nearest = led.groupBy("p", "head").agg(F.count("*").alias("bands")).groupBy("p").agg(F.min(F.struct((-F.col("bands")).alias("less"), "head"))["head"].alias("a"))
-    links = materialize(confirmed(materialize(nearest.select("a", F.col("p").alias("b")), "nearest-candidates"), texts, shingle, similarity), "nearest")
+    links = materialize(confirmed(materialize(nearest.select("a", F.col("p").alias("b")).unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest-candidates"), texts, shingle, similarity), "nearest")
     members = materialize(components(links), "members")
 
     # Then all points of bands that aren't one component yet, by family.
@@ -228,4 +251,4 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     roots = materialize(linked.groupBy("root").agg(F.min("best").alias("best")), "roots")
     joined = linked.drop("best").join(roots, "root").select("__set", F.col("best").alias("joined"))
     final = materialize(points.join(joined, "__set", "left").select("__set", F.coalesce("joined", "best").alias("__best")), "final")
-    return own.drop("__n", "__bands").join(final, "__set").withColumns({"component_id": F.col("__best.key"), "representative": F.col("__best.row") == F.col("__row")}).drop("__best", "__row", "__set")
+    return own.drop("__n", "__bands", "__fp").join(final, "__set").withColumns({"component_id": F.col("__best.key"), "representative": F.col("__best.row") == F.col("__row")}).drop("__best", "__row", "__set")
