@@ -25,6 +25,8 @@ from .scope import scoped
 
 #: Folders of an index, and files that a folder's rows are spread over while they are written.
 BUCKETS, SPREAD = 64, 4
+#: Bytes of content whose words a task of the writing gets, on average: more content is spread over more files of a folder.
+PART_BYTES = 2 << 20
 #: Of a cover whose words are adjacent.
 DENSITY = 0.1
 CANDIDATES = 20
@@ -43,7 +45,11 @@ def postings(chunks: DataFrame, key: str = "chunk_id", buckets: int = BUCKETS) -
     text = F.concat_ws(" ", *heading, F.coalesce("content", F.lit("")))
     words = chunks.select(F.col(f"`{key}`").alias(key), *held, simple_tokens(text).alias("words"))
     each = words.select(key, *held, F.size("words").alias("length"), F.posexplode("words").alias("place", "token"))
-    placed = each.withColumns({"bucket": bucket(F.col("token"), buckets), "spread": F.pmod(F.xxhash64(key), F.lit(SPREAD))}).repartition("bucket", "spread")
+    size = chunks.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+    spread = max(SPREAD, -(-size // (buckets * PART_BYTES)))
+    marked = each.withColumns({"bucket": bucket(F.col("token"), buckets), "spread": F.pmod(F.xxhash64(key), F.lit(spread))})
+    # Partitions grow in number with the content, not in size.
+    placed = marked.repartition(buckets * spread, "bucket", "spread") if spread > SPREAD else marked.repartition("bucket", "spread")
     # Grouped by what rows were dealt by, and more: no second shuffle.
     return placed.groupBy("bucket", "spread", "token", key, *held).agg(F.array_sort(F.collect_set("place")).alias("places"), F.max("length").alias("length")).drop("spread")
 
