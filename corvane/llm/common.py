@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,15 @@ def forget() -> None:
         trim(0)
 
 
+def one_thread() -> None:
+    """Let OpenBLAS use one thread in this worker: a task has one core, and threads that wait for their next product keep other tasks' cores busy."""
+    maps = Path("/proc/self/maps")  # elsewhere its threads stay as they are
+    for path in {line.split(maxsplit=5)[-1].strip() for line in maps.read_text().splitlines() if "openblas" in line} if maps.exists() else ():
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if limit := getattr(ctypes.CDLL(path), name, None):
+                limit(1)
+
+
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     """What runs within sends at most so many rows at once to Python workers, where these need their memory for a model."""

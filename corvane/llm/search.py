@@ -1,10 +1,14 @@
 """Exact BM25 top-k: an inverted index written by shard, block-max WAND pruning in each, merged exactly under global statistics.
 
+A text is indexed and searched for once, whatever its copies: an indexed one holds the keys of all of them, in their order, and counts as
+many documents; of a document among the best, its k first keys are found. Of equal queries one is searched, and each has its rows.
+
 A shard is a run of documents of one task, of bounded text, in the order of their lengths. Its postings are
 written once, one row a shard. Documents are cut into blocks of BLOCK; each long list of postings has a largest weight in each
 block, each short one a largest weight in the shard. For a query, the lists of a shard are sorted by how many documents they have,
 the most first, which is the order in which their cursors would reach a next document. The bounds are added up in this order; the
-list at which the sum reaches a share of the threshold is the pivot. Lists from the pivot on are walked. Those before it
+list at which the sum reaches a share of the threshold is the pivot. Lists from the pivot on are walked: short ones one after the other, long ones of
+several queries as one product of matrices. Those before it
 aren't: a document with nothing else can't be among the best k, and only documents that their own weights so far and their block's
 bounds let through are looked up in them, list after list, until the bounds of those left can't lift them any more. Blocks
 that no document gets through are skipped.
@@ -25,7 +29,7 @@ keys repeat or are null (`query` tells them apart); an empty table gives an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import forget, short_batches
+from .common import forget, one_thread, short_batches
 from .lm import Hasher
 
 K1, B = 1.2, 0.75
@@ -45,11 +49,13 @@ LONG = 8
 #: One in so many shards is searched first, for the thresholds.
 FIRST = 8
 MAX_TERMS = 4_000_000
-INDEX = "shard long, n int, keys binary, known binary, lengths binary, terms binary, df binary, docs binary, tf binary"
+INDEX = "shard long, n int, keys binary, known binary, copies binary, lengths binary, terms binary, df binary, docs binary, tf binary"
 #: Bounds are sums in another order than scores: so much more, for rounding. Scores are rounded, so that equal documents tie in every shard.
 ROUND, DIGITS, SAME = 1 + 1e-9, 9, 1e-9
 #: Long lists that are looked up at once.
 LOOK = 8
+#: Queries that are searched in a shard together: their sums over long lists are one product of matrices.
+TOGETHER = 64
 #: Documents that are looked up in one round, without the most promising ones first.
 MANY = 256
 #: The lists before the pivot stay below this share of the threshold, so that few documents need them looked up.
@@ -65,7 +71,7 @@ def spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _terms(words: Hasher, text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct terms of a text in order, their counts, and the number of words."""
-    h = np.frombuffer(b"".join(map(words.__getitem__, (text or b"").lower().split())), "<u8")
+    h = words.hashes((text or b"").lower().split())
     term, count = np.unique(h, return_counts=True)
     return term, count.astype(np.int32), len(h)
 
@@ -80,10 +86,15 @@ def _unpacked(raw, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{len(raw) // n}") if n else np.zeros(0, np.uint8)
 
 
-def _row(number: int, keys: list[int | None], parts: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-    """A shard as a row of INDEX: documents in order of length, postings by term, then document."""
-    order = sorted(range(len(keys)), key=lambda i: (parts[i][2], i))
-    own = [keys[i] for i in order]
+def _row(number: int, keys: list[int | None], parts: list[tuple[np.ndarray, np.ndarray, int]], copies: list[int] | None = None) -> pa.RecordBatch:
+    """A shard as a row of INDEX: documents in order of length, postings by term, then document.
+
+    copies: how many of `keys`, one after the other and in the order of equal scores, belong to each document; one without it.
+    """
+    order = np.array(sorted(range(len(parts)), key=lambda i: (parts[i][2], i)), np.int64)
+    many = np.array(copies or [1] * len(parts), "<i4")
+    first = np.cumsum(many) - many
+    own = [keys[i] for i in spread(first[order], (first + many)[order]).tolist()]
     n = np.array([len(parts[i][0]) for i in order])
     term, tf = (np.concatenate([parts[i][k] for i in order]) for k in (0, 1))
     doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
@@ -91,10 +102,10 @@ def _row(number: int, keys: list[int | None], parts: list[tuple[np.ndarray, np.n
     term = term[at]
     ends = np.append(np.flatnonzero(term[1:] != term[:-1]) + 1, len(term)) if len(term) else np.zeros(0)
     terms = term[ends.astype(np.int64) - 1] if len(term) else term
-    columns = (np.array([x or 0 for x in own], "<i8"), np.array([x is not None for x in own], np.uint8), np.array([parts[i][2] for i in order], "<i4"), terms)
+    columns = (np.array([x or 0 for x in own], "<i8"), np.array([x is not None for x in own], np.uint8), many[order], np.array([parts[i][2] for i in order], "<i4"), terms)
     posted = [_packed(np.diff(ends.astype("<i8"), prepend=0)), _packed(doc[at]), _packed(tf[at])]
     names = [c.split()[0] for c in INDEX.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(own)], pa.int32()), *[pa.array([c], pa.binary()) for c in (*[c.tobytes() for c in columns], *posted)]], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(parts)], pa.int32()), *[pa.array([c], pa.binary()) for c in (*[c.tobytes() for c in columns], *posted)]], names=names)
 
 
 @dataclass
@@ -116,35 +127,41 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows:
         from pyspark import TaskContext
 
         forget()
-        words, keys, parts, size, number = Hasher(), [], [], 0, TaskContext.get().partitionId() << 32
+        words, keys, copies, parts, size, number = Hasher(), [], [], [], 0, TaskContext.get().partitionId() << 32
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys.append(k)
+            for t, known, n in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                keys += sorted(known) + [None] * (n - len(known))
+                copies.append(n)
                 parts.append(_terms(words, t))
-                size += len(t or b"")
-                if size >= SHARD_BYTES or len(keys) >= shard_rows:
-                    yield _row(number, keys, parts)
-                    keys, parts, size, number = [], [], 0, number + 1
-        if keys:
-            yield _row(number, keys, parts)
-
-    shards = materialize(docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("binary")).mapInArrow(run, INDEX), "index")
+                size += len(t)
+                if size >= SHARD_BYTES or len(parts) >= shard_rows:
+                    yield _row(number, keys, parts, copies)
+                    keys, copies, parts, size, number = [], [], [], 0, number + 1
+        if parts:
+            yield _row(number, keys, parts, copies)
+
+    # A text is indexed once, with the keys of all its copies.
+    each = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("t"))
+    texts = each.groupBy(F.sha2("t", 256).alias("digest")).agg(F.first("t").alias("t"), F.collect_list("k").alias("known"), F.count("*").alias("n"))
+    shards = materialize(texts.select("t", "known", "n").mapInArrow(run, INDEX), "index")
 
     def frequencies(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for terms, df in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for terms, size, docs_, copies in zip(*[b.column(i).to_pylist() for i in range(4)]):
                 h = np.frombuffer(terms, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(_unpacked(df, len(h)).astype(np.int64))], names=["h", "df"])
+                ends = np.cumsum(_unpacked(size, len(h)), dtype=np.int64)
+                if len(h):
+                    df = np.add.reduceat(np.frombuffer(copies, "<i4")[_unpacked(docs_, int(ends[-1]))], np.append(0, ends[:-1]), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(df)], names=["h", "df"])
 
-    def lengths(batches) -> Iterator[pa.RecordBatch]:
+    def totals(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total = [int(np.frombuffer(x, "<i4").sum(dtype=np.int64)) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(total)], pa.int64())], names=["words"])
+            each = [(np.frombuffer(n, "<i4"), np.frombuffer(x, "<i4").astype(np.int64)) for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(n.sum(dtype=np.int64)) for n, _ in each)], pa.int64()), pa.array([sum(int(n @ x) for n, x in each)], pa.int64())], names=["n", "words"])
 
     with short_batches(docs.sparkSession, 1):
-        counts = materialize(shards.select("terms", "df").mapInArrow(frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")), "frequencies")
-    n = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = shards.select("lengths").mapInArrow(lengths, "words long").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+        counts = materialize(shards.select("terms", "df", "docs", "copies").mapInArrow(frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")), "frequencies")
+    n, words = shards.select("copies", "lengths").mapInArrow(totals, "n long, words long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "words")]).first()
     return Index(shards, counts, n, words / max(n, 1))
 
 
@@ -166,8 +183,11 @@ class Shard:
     n: int
     keys: np.ndarray
     known: np.ndarray
+    #: Where the keys of each document, and of what repeats its text, begin.
+    copy: np.ndarray
     terms: np.ndarray
     begin: np.ndarray
+    size: np.ndarray
     docs: np.ndarray
     weight: np.ndarray
     bound: np.ndarray
@@ -177,6 +197,8 @@ class Shard:
     pair: np.ndarray
     block: np.ndarray
     start: np.ndarray
+    #: The block of each document.
+    of: np.ndarray
     seen: Seen = field(default_factory=Seen)
 
     @staticmethod
@@ -209,7 +231,8 @@ class Shard:
         for i, k in enumerate(heavy.tolist()):
             long[i, docs[begin[k] : begin[k + 1]]] = weight[begin[k] : begin[k + 1]]
             most[i, block[pairs[pair[k] : pair[k + 1]]]] = top[pair[k] : pair[k + 1]]
-        return Shard(n, get("keys", "<i8"), get("known", np.uint8) > 0, terms, begin, docs, weight, bound, rows, long, most, pair, block[pairs], np.append(pairs, pairs.dtype.type(len(docs))))
+        copy = np.concatenate([[0], np.cumsum(get("copies", "<i4"), dtype=np.int64)])
+        return Shard(n, get("keys", "<i8"), get("known", np.uint8) > 0, copy, terms, begin, size, docs, weight, bound, rows, long, most, pair, block[pairs], np.append(pairs, pairs.dtype.type(len(docs))), np.arange(n) // BLOCK)
 
     def places(self, terms: np.ndarray) -> np.ndarray:
         """The list of each term, -1 where there is none."""
@@ -218,45 +241,63 @@ class Shard:
         return np.where(there, at, -1)
 
     def search(self, at: np.ndarray, weights: np.ndarray, k: int, best: tuple, least: float = 0.0) -> tuple:
-        """(scores, keys, known) of the best k of what is here and what `best` already has; scores below `least` may be left out.
+        """search_all() of one query."""
+        return self.search_all([(at, weights)], k, [best], [least])[0]
 
-        at: the query's terms as places() tells them.
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, best: list[tuple], least: Sequence[float]) -> list[tuple]:
+        """(scores, keys, known) of each query's best k of what is here and what `best` already has; scores below `least` may be left out.
+
+        queries: the places of a query's terms, as places() tells them, and their weights. Bounds of blocks and long lists that are walked are products for all of them at once.
         """
-        there = np.flatnonzero(at >= 0)
-        if not len(there):
-            return best
-        at, weights = at[there], weights[there]
-        size = self.begin[at + 1] - self.begin[at]
-        order = np.argsort(-size, kind="stable")
-        at, weights, size = at[order], weights[order], size[order]
-        n_long = int((self.row[at] >= 0).sum())
-        row, short, w_short = self.row[at[:n_long]], at[n_long:], weights[n_long:]
-        # Bounds of the long lists in each block, added up one list after the other; of the short ones together.
-        upto = np.cumsum(weights[:n_long, None] * self.most[row], axis=0) * ROUND if n_long else np.zeros((1, self.most.shape[1]))
-        reach = max(least, best[0][-1] - SAME if len(best[0]) == k else 0.0)
-        self.seen.blocks += upto.shape[1]
-        self.seen.postings += int(size.sum())
-        open_ = upto[-1] + float(w_short @ self.bound[short]) * ROUND >= reach
+        ready, walk, before = [], np.zeros((len(queries), len(self.long))), np.zeros((len(queries), len(self.long)))
+        for i, (at, weights) in enumerate(queries):
+            there = at >= 0
+            at, weights = at[there], weights[there]
+            row, size = self.row[at], self.size[at]
+            self.seen.postings += int(size.sum())
+            heavy = row >= 0
+            short, w_short = at[~heavy], weights[~heavy]
+            # The pivot: long lists from it on are added whole, those before it together stay below a share of the threshold.
+            order = np.flatnonzero(heavy)
+            order = order[np.argsort(-size[order], kind="stable")]
+            reach = max(least[i], best[i][0][-1] - SAME if len(best[i][0]) == k else 0.0)
+            pivot = int(np.searchsorted(np.cumsum(weights[order] * self.bound[at[order]]) * ROUND, PIVOT * reach))
+            before[i, row[order[:pivot]]] = weights[order[:pivot]]
+            walk[i, row[order[pivot:]]] = weights[order[pivot:]]
+            ready.append((row[order], weights[order], size[order], pivot, short, w_short, reach))
+        # Bounds of the long lists in each block, of those before the pivot and of all; of the short ones together.
+        below = before @ self.most * ROUND
+        above = walk @ self.most * ROUND
+        walked = walk @ self.long
+        return [self._one(*q, below[i], above[i], walked[i], k, best[i], least[i]) if len(q[0]) or len(q[4]) else best[i] for i, q in enumerate(ready)]
+
+    def _one(self, row: np.ndarray, weights: np.ndarray, size: np.ndarray, pivot: int, short: np.ndarray, w_short: np.ndarray, reach: float, below: np.ndarray, above: np.ndarray, walked: np.ndarray, k: int, best: tuple, least: float) -> tuple:
+        """A query of search_all(): its long lists, the most frequent first, the first `pivot` of which aren't walked, and its short ones."""
+        self.seen.blocks += len(below)
+        open_ = below + above + float(w_short @ self.bound[short]) * ROUND >= reach
         if not open_.any():
             return best
-        # Lists at or past the pivot of every block are walked, but for blocks that are out of reach already.
+        # Short lists are walked, but for blocks that are out of reach already.
         begin, end, w = self.begin[short], self.begin[short + 1], w_short
         if 2 * open_.sum() < len(open_):
             first, last = self.pair[short], self.pair[short + 1]
             p, w = spread(first, last), np.repeat(w_short, last - first)
             own = open_[self.block[p]]
             begin, end, w = self.start[p[own]], self.start[p[own] + 1], w[own]
+        score = walked
         posts = spread(begin, end)
-        score = np.bincount(self.docs[posts], np.repeat(w, end - begin) * self.weight[posts], self.n) if len(posts) else np.zeros(self.n)
-        self.seen.walked += len(posts)
-        # The pivot: long lists from it on are added whole, those before it together stay below a share of the threshold.
-        pivot = int((upto.max(axis=1) < PIVOT * reach).sum()) if n_long else 0
-        if pivot < n_long:
-            score = score + weights[pivot:n_long] @ self.long[row[pivot:]]
-            self.seen.walked += int(size[pivot:n_long].sum())
-        block = np.arange(self.n) // BLOCK
-        hope = score * ROUND + (upto[pivot - 1][block] if pivot else 0.0)
-        left = open_[block] & (hope > 0)
+        if len(posts):
+            weight = self.weight.take(posts)
+            weight *= np.repeat(w, end - begin)
+            score = score + np.bincount(self.docs.take(posts), weight, self.n)
+        self.seen.walked += len(posts) + int(size[pivot:].sum())
+        block = self.of
+        hope = score * ROUND
+        if pivot:
+            hope += np.repeat(below, BLOCK)[: self.n]
+        left = hope > 0
+        if not open_.all():
+            left &= open_[block]
         for some in (4 * k, self.n):
             # Of many documents the most promising first: their scores raise the threshold for the rest.
             own = np.flatnonzero(left & (hope >= reach))
@@ -267,6 +308,10 @@ class Shard:
             left[own] = False
             self.seen.blocks_scored += int((np.bincount(block[own], minlength=1) > 0).sum())
             got = score[own]
+            if pivot:
+                # Bounds of the first lists in the blocks of these documents, added up one list after the other.
+                at = block[own]
+                upto = np.cumsum(weights[:pivot, None] * self.most[row[:pivot]], axis=0) * ROUND if pivot > LOOK else None
             for z in range(pivot, 0, -LOOK):
                 if not len(own):
                     break
@@ -275,14 +320,21 @@ class Shard:
                 got = got + weights[a:z] @ self.long[row[a:z, None], own[None, :]]
                 self.seen.looked_up += (z - a) * len(own)
                 if a:
-                    keep = got * ROUND + upto[a - 1][block[own]] >= reach
-                    own, got = own[keep], got[keep]
+                    keep = got * ROUND + upto[a - 1][at] >= reach
+                    own, got, at = own[keep], got[keep], at[keep]
             got = np.round(got, DIGITS)
             hit = (got > 0) & (got >= reach)
-            best = merge(best, (got[hit], self.keys[own[hit]], self.known[own[hit]]), k)
+            best = merge(best, self.named(own[hit], got[hit], k), k)
             reach = max(least, best[0][-1] - SAME if len(best[0]) == k else 0.0)
         return best
 
+    def named(self, own: np.ndarray, score: np.ndarray, k: int) -> tuple:
+        """(scores, keys, known) of documents; of those with one text the first k keys."""
+        first = self.copy[own]
+        n = np.minimum(self.copy[own + 1] - first, k)
+        at = spread(first, first + n)
+        return np.repeat(score, n), self.keys[at], self.known[at]
+
 
 NONE = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))
 
@@ -297,21 +349,23 @@ def merge(a: tuple, b: tuple, k: int) -> tuple:
     return score[order], key[order], known[order]
 
 
-def weigh(queries: DataFrame, index: Index, key: str, text: str) -> DataFrame:
-    """(query, q, terms, weights, n) of each row of queries, written: query numbers the rows, weights are counts in the query times idf."""
+def weigh(queries: DataFrame, index: Index, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (query, terms, weights, n) of each distinct text, weights are counts in it times idf; (query, asked, q), the rows of queries that have it, numbered, and their keys."""
 
     def run(batches):
         words = Hasher()
         for b in batches:
-            for row, q, t in zip(*[b.column(i).to_pylist() for i in range(3)]):
+            for row, t in zip(*[b.column(i).to_pylist() for i in range(2)]):
                 h, c, _ = _terms(words, t)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.int64()), pa.array([q] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["query", "q", "h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["query", "h", "c"])
 
-    read = queries.select(F.monotonically_increasing_id().alias("query"), F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("binary"))
-    each = materialize(read.mapInArrow(run, "query long, q long, h long, c long"), "query-terms")
+    read = queries.select(F.monotonically_increasing_id().alias("asked"), F.col(f"`{key}`").cast("long").alias("q"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("t"))
+    texts = materialize(read.groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("asked").alias("query"), F.first("t").alias("t"), F.collect_list(F.struct("asked", "q")).alias("rows")), "query-texts")
+    each = materialize(texts.select("query", "t").mapInArrow(run, "query long, h long, c long"), "query-terms")
     idf = F.log1p((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    pairs = each.join(index.frequencies, "h").groupBy("query").agg(F.first("q").alias("q"), F.sort_array(F.collect_list(F.struct("h", (F.col("c") * idf).alias("w")))).alias("p"))
-    return materialize(pairs.select("query", "q", F.col("p.h").alias("terms"), F.col("p.w").alias("weights"), F.size("p").alias("n")), "queries")
+    pairs = each.join(index.frequencies, "h").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("h", (F.col("c") * idf).alias("w")))).alias("p"))
+    ready = materialize(pairs.select("query", F.col("p.h").alias("terms"), F.col("p.w").alias("weights"), F.size("p").alias("n")), "queries")
+    return ready, texts.select("query", F.inline("rows"))
 
 
 HIT = "array<struct<s:double,u:boolean,k:long>>"
@@ -325,8 +379,9 @@ def _best_of(batches, query: tuple, mean: float, k: int) -> list[tuple]:
         for i in range(b.num_rows):
             shard = Shard.load({c: b.column(j)[i].as_py() if c == "n" else b.column(j)[i].as_buffer() for j, c in enumerate(names)}, mean)
             place = shard.places(vocabulary)
-            for q in range(len(best)):
-                best[q] = shard.search(place[term[at[q] : at[q + 1]]], weights[at[q] : at[q + 1]], k, best[q], least[q])
+            for a in range(0, len(best), TOGETHER):
+                some = [(place[term[at[q] : at[q + 1]]], weights[at[q] : at[q + 1]]) for q in range(a, min(a + TOGETHER, len(best)))]
+                best[a : a + TOGETHER] = shard.search_all(some, k, best[a : a + TOGETHER], least[a : a + TOGETHER])
             del shard
         # The batch too, and what Arrow keeps of it.
         del b
@@ -339,6 +394,7 @@ def _search(shards: DataFrame, mean: float, sent, k: int) -> DataFrame:
 
     def run(batches):
         forget()
+        one_thread()
         queries = sent.value[0]
         best = _best_of(batches, sent.value, mean, k)
         kind = pa.list_(pa.struct([("s", pa.float64()), ("u", pa.bool_()), ("k", pa.int64())]))
@@ -359,7 +415,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
         raise ValueError(f"keys are integers: {query_key} is {queries.schema[query_key].dataType.simpleString()}")
     spark = docs.sparkSession
     index = index or build(docs, key, text)
-    ready = weigh(queries, index, query_key, query_text)
+    ready, asked = weigh(queries, index, query_key, query_text)
     n_groups = max(1, -(-ready.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // max_terms))
     parts = []
     first = F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0
@@ -388,5 +444,5 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     for p in parts[1:]:
         found = found.unionByName(p)
     merged = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
-    named = merged.join(ready.select("query", "q"), "query").select("query", F.col("q").alias("query_id"), F.posexplode("hits").alias("rank", "hit"))
+    named = merged.join(asked, "query").select(F.col("asked").alias("query"), F.col("q").alias("query_id"), F.posexplode("hits").alias("rank", "hit"))
     return named.select("query", "query_id", (F.col("rank") + 1).alias("rank"), F.when(~F.col("hit.u"), F.col("hit.k")).alias("doc_id"), (-F.col("hit.s")).alias("score"))
