@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import extraction, graph, keyword_index, scope, store, vector_index
-from ..session import scratch
+from ..session import materialize, scratch
 from ..sources import loaders
 from ..streaming import ingest as stream
 from .queries import CEILING_VALUES, CEILINGS, CHUNKS_SQL, COSINE_SQL, ENTITIES_SQL, KEYWORD_SQL, ORACLE_SQL, TERMS, VECTOR, chunks, docs, edges, entities, query, t, values
@@ -34,8 +34,10 @@ def keyword_index_search(spark, sf):
     folder = keyword_index.write_index(chunks)
     long_words = F.slice(F.array_sort(F.array_distinct(F.filter(text.simple_tokens(F.col("text")), lambda w: F.length(w) >= LONG))), 1, text.MAX_TERMS)
     searches = t(spark, sf, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("search"), F.concat(text.identifier_terms(F.col("text")), long_words).alias("terms"))
-    index = keyword_index.read_index(spark, folder, values(spark, CEILINGS, "source_id string, ceiling int"))
-    return keyword_index.search(index, searches).select("search", "chunk_id", "covers", F.round("keyword_score", 6).alias("keyword_score"), "rank")
+    searches = materialize(searches, "searches")
+    index = keyword_index.read_index(spark, folder, F.broadcast(values(spark, CEILINGS, "source_id string, ceiling int")))
+    asked = materialize(keyword_index.asked_of(index, searches), "asked")
+    return keyword_index.search(asked, searches).select("search", "chunk_id", "covers", F.round("keyword_score", 6).alias("keyword_score"), "rank")
 
 
 @query()

@@ -51,7 +51,7 @@ def values(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     d = t(spark, sf, "documents")
-    return scope.scoped(d.withColumns({"classification_rank": F.pmod("doc_id", F.lit(4)), "source_id": F.col("source")}), values(spark, CEILINGS, "source_id string, ceiling int"))
+    return scope.scoped(d.withColumns({"classification_rank": F.pmod("doc_id", F.lit(4)), "source_id": F.col("source")}), F.broadcast(values(spark, CEILINGS, "source_id string, ceiling int")))
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
